@@ -160,3 +160,86 @@ def block_words(offsets: np.ndarray, data: np.ndarray, lower: bool = True) -> tu
     hashes, starts = word_hashes(spaced, lower)
     bounds = np.searchsorted(starts, np.append(offsets[:-1] + np.arange(rows), len(spaced)))
     return hashes, bounds
+
+
+class HashIndex:
+    """Open-addressing index over distinct 64-bit keys for vectorised look-ups."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.ascontiguousarray(keys, U64)
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(self.keys)) * 2.5))))
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.probes = 0
+        spot, left = self._slot(self.keys), np.arange(len(self.keys))
+        while len(left):  # each round gives every free slot to one key
+            self.probes += 1
+            free = self.slots[spot] == -1
+            taken, first = np.unique(spot[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.slots[taken] = left[won]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, spot = left[rest], (spot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _MULT) >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among the index's keys, -1 where it is absent."""
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys) or not len(keys):
+            return out
+        live, slot = np.arange(len(keys)), self._slot(keys)
+        for _ in range(self.probes):
+            at = self.slots[slot]
+            full = at >= 0
+            same = full & (self.keys[np.maximum(at, 0)] == keys[live])
+            out[live[same]] = at[same]
+            more = full & ~same
+            live, slot = live[more], (slot[more] + 1) & ((1 << self.bits) - 1)
+            if not len(live):
+                break
+        return out
+
+
+class Tally:
+    """Counts of 64-bit keys, merged as they come; gives its content away when it grows large."""
+
+    def __init__(self, limit: int = 3_000_000):
+        self.limit, self.size = limit, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray) -> bool:
+        """True when the content should be taken."""
+        if len(keys):
+            self.parts.append(np.unique(keys, return_counts=True))
+            self.size += len(self.parts[-1][0])
+            if self.size > self.limit:
+                self.parts = [self._merged()]
+                self.size = len(self.parts[0][0])
+        return self.size > self.limit // 2 and len(self.parts) == 1
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, U64), np.empty(0, np.int64)
+        keys = np.concatenate([k for k, _ in self.parts])
+        counts = np.concatenate([c for _, c in self.parts])
+        found, where = np.unique(keys, return_inverse=True)
+        return found, np.bincount(where, counts, len(found)).astype(np.int64)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self._merged()
+        self.parts, self.size = [], 0
+        return out
+
+
+_MADE: dict = {}
+
+
+def once(key, make):
+    """What ``make`` returns, built once in a worker for a broadcast (or other long-lived) object."""
+    if id(key) not in _MADE:
+        if len(_MADE) > 3:
+            _MADE.clear()
+        _MADE[id(key)] = (key, make())
+    return _MADE[id(key)][1]

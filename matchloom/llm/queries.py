@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import bpe
+from matchloom.llm import bpe, ngram_lm
 from matchloom.llm.common import table
 
 
@@ -15,7 +15,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_frame(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ranks, public_tokenizers.PATTERN).drop("text")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document, learned from four of five folds."""
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
+    "op10_lm_score": op10_lm_score,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
