@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import bpe, ngram_lm
+from matchloom.llm import bpe, near_dup, ngram_lm
 from matchloom.llm.common import table
 
 
+def op6_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids, and of the bytes they decode to, for every document."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -21,6 +26,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_setsketch_near_dup": op6_setsketch_near_dup,
     "op10_lm_score": op10_lm_score,
     "op9_byte_bpe": op9_byte_bpe,
 }
