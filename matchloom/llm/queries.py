@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import bpe, near_dup, ngram_lm
+from matchloom.llm import bpe, mixing, near_dup, ngram_lm
 from matchloom.llm.common import table
 
 
+def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op6_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -26,6 +31,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_entropy_mix": op2_entropy_mix,
     "op6_setsketch_near_dup": op6_setsketch_near_dup,
     "op10_lm_score": op10_lm_score,
     "op9_byte_bpe": op9_byte_bpe,
