@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import bpe, mixing, near_dup, ngram_lm
+from matchloom.llm import bpe, imatch, mixing, near_dup, ngram_lm
 from matchloom.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op6_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    return imatch.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids, and of the bytes they decode to, for every document."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -31,6 +36,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_imatch": op7_imatch,
     "op2_entropy_mix": op2_entropy_mix,
     "op6_setsketch_near_dup": op6_setsketch_near_dup,
     "op10_lm_score": op10_lm_score,
