@@ -3,7 +3,7 @@
 A term is a lower-cased word. The lexicon holds the terms whose inverse document frequency lies in a
 band: those that occur in between N * ``RARE`` and N * ``COMMON`` of the N texts (at least 2, and the
 upper end never below 4). A text's distinct terms of the lexicon are sorted by their 64-bit hash;
-each of ``CHAINS`` * ``LEVELS`` randomised lexicons keeps a share of the terms (a fourth, an eighth, ...,
+each of ``CHAINS`` * ``LEVELS`` randomised lexicons keeps a share of the terms (an eighth, a 16th, ...,
 each level of a chain a part of the level above), and the hash of what it keeps, in order, is one part of
 the fingerprint. Coarse levels speak for short texts, fine levels for long ones. The likeness
 of two fingerprints is the share of equal parts among those that are not empty in both.
@@ -27,7 +27,7 @@ from matchloom.llm.common import Workspace
 RARE, COMMON = 1 / 2000, 1 / 200
 CHAINS, LEVELS = 16, 5
 #: The first level of a chain keeps one term in 2**FIRST_BITS, each later one half of the level above.
-FIRST_BITS = 2
+FIRST_BITS = 3
 BROADCAST = 1 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
