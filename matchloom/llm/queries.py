@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import bpe, imatch, mixing, near_dup, ngram_lm
+from matchloom.llm import bpe, imatch, mixing, near_dup, ngram_lm, pseudonyms
 from matchloom.llm.common import table
 
 
+def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses replaced by pseudonyms."""
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), found="n_replaced")
+
+
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -36,6 +41,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_feistel_pii": op1_feistel_pii,
     "op7_imatch": op7_imatch,
     "op2_entropy_mix": op2_entropy_mix,
     "op6_setsketch_near_dup": op6_setsketch_near_dup,
