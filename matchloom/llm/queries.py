@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchloom.llm import bpe, imatch, mixing, near_dup, ngram_lm, pseudonyms
+from matchloom.llm import bpe, imatch, mixing, near_dup, ngram_lm, pseudonyms, toxicity
 from matchloom.llm.common import table
 
 
@@ -19,6 +20,14 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document, learned from four of five folds of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    lexicon, weights = toxicity.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), "text", lexicon, weights).drop("text")
+
+
 def op6_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -44,6 +53,7 @@ QUERIES = {
     "op1_feistel_pii": op1_feistel_pii,
     "op7_imatch": op7_imatch,
     "op2_entropy_mix": op2_entropy_mix,
+    "op5_toxicity": op5_toxicity,
     "op6_setsketch_near_dup": op6_setsketch_near_dup,
     "op10_lm_score": op10_lm_score,
     "op9_byte_bpe": op9_byte_bpe,
