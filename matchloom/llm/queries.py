@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import bpe, imatch, mixing, near_dup, ngram_lm, pseudonyms, toxicity
+from matchloom.llm import bpe, imatch, mixing, near_dup, ngram_lm, pseudonyms, toxicity, vamana
 from matchloom.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return vamana.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids, and of the bytes they decode to, for every document."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -56,6 +61,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_setsketch_near_dup": op6_setsketch_near_dup,
     "op10_lm_score": op10_lm_score,
+    "op8_vamana": op8_vamana,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
