@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import bpe, imatch, mixing, near_dup, ngram_lm, pseudonyms, toxicity, vamana
+from matchloom.llm import bpe, chat, imatch, mixing, near_dup, ngram_lm, pseudonyms, toxicity, vamana, wordpiece
 from matchloom.llm.common import table
 
 
@@ -20,6 +20,17 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op3_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy longest-match tokens of every document."""
+    vocabulary = list(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", vocabulary)
+
+
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, its roles repaired at least cost, rendered in segments."""
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every document, learned from four of five folds of the labels."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +69,8 @@ QUERIES = {
     "op1_feistel_pii": op1_feistel_pii,
     "op7_imatch": op7_imatch,
     "op2_entropy_mix": op2_entropy_mix,
+    "op3_wordpiece_counts": op3_wordpiece_counts,
+    "op4_chat_repair": op4_chat_repair,
     "op5_toxicity": op5_toxicity,
     "op6_setsketch_near_dup": op6_setsketch_near_dup,
     "op10_lm_score": op10_lm_score,
