@@ -29,13 +29,15 @@ CHAINS, LEVELS = 16, 5
 #: The first level of a chain keeps one term in 2**FIRST_BITS, each later one half of the level above.
 FIRST_BITS = 3
 BROADCAST = 1 << 20
-SPACE = r"[\x20\x09-\x0D]+"
+#: A word that stands for the text itself, so that texts without a term of the lexicon keep a row.
+SELF = "\x01"
+#: Groups that one task's aggregation may hold before it sorts (a group is a text's terms).
+GROUPS = 100_000
 
 
-def distinct_terms(text: Column) -> Column:
-    """Hashes of the distinct lower-cased words of a text."""
-    words = F.filter(F.array_distinct(F.split(F.lower(text), SPACE)), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def split_words(text: Column) -> Column:
+    """Lower-cased words; an empty one where blanks meet. The one-character split takes no regex."""
+    return F.split(F.regexp_replace(F.lower(text), r"[\x09-\x0D]", " "), " ")
 
 
 def _kept(chain: int, depth: int):
@@ -45,7 +47,7 @@ def _kept(chain: int, depth: int):
 
 
 def parts(terms: Column, fallback: Column) -> Column:
-    """Fingerprint parts (array of int, 0 for an empty part) of a sorted array of term hashes."""
+    """Fingerprint parts (array of smallint, 0 for an empty part) of a sorted array of term hashes."""
     out = []
     for chain in range(CHAINS):
         level = terms
@@ -53,7 +55,8 @@ def parts(terms: Column, fallback: Column) -> Column:
             level = F.filter(level, _kept(chain, depth))
             out.append((level, chain * LEVELS + depth))
     nothing = F.size(terms) == 0
-    hashed = [F.when(nothing, F.hash(fallback, F.lit(i))).when(F.size(x) > 0, F.hash(F.xxhash64(x, F.lit(i)))).otherwise(F.lit(0)) for x, i in out]
+    short = lambda h: (F.pmod(h, F.lit(32767)) + 1).cast("smallint")
+    hashed = [F.when(nothing, short(F.xxhash64(fallback, F.lit(i)))).when(F.size(x) > 0, short(F.xxhash64(x, F.lit(i)))).otherwise(F.lit(0).cast("smallint")) for x, i in out]
     return F.array(*hashed)
 
 
@@ -66,7 +69,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.when(x == 0, F.lit("-")).otherwise(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))), ".")
+    return F.array_join(F.transform(fingerprint, lambda x: F.when(x == 0, F.lit("-")).otherwise(F.lower(F.hex(x.cast("long"))))), ".")
 
 
 def successors(texts: DataFrame, work: Workspace) -> DataFrame:
@@ -90,20 +93,22 @@ def successors(texts: DataFrame, work: Workspace) -> DataFrame:
 def lexicon(texts: DataFrame, text: str, work: Workspace) -> DataFrame:
     """(term, df) of the band, from the document frequencies in all texts."""
     n = texts.count()
-    often = texts.select(F.explode(distinct_terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    words = texts.select(F.explode(F.array_distinct(split_words(F.col(text)))).alias("word")).where("word <> ''")
+    often = words.select(F.xxhash64("word").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return work.keep(often.where((F.col("df") >= max(2.0, n * RARE)) & (F.col("df") <= max(4.0, n * COMMON))), "lexicon")
 
 
 def fingerprints(rows: DataFrame, lex: DataFrame, small: bool) -> DataFrame:
     """(k, th, sha, own, edited): parts for ``text`` and ``edit`` of each (k, th)."""
-    term = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"), F.lit(None).cast("string").alias("sha"))
-    about = F.struct(F.lit(2).alias("kind"), F.xxhash64("edit").alias("term"), F.sha2(F.col("edit"), 256).alias("sha"))
-    each = F.concat(F.transform(distinct_terms(F.col("text")), term(0)), F.transform(distinct_terms(F.col("edit")), term(1)), F.array(about))
-    flat = rows.select("k", "th", F.explode(each).alias("e")).select("k", "th", "e.*")
-    known = lex.select(F.col("term").alias("lt"))
-    joined = flat.join(F.broadcast(known) if small else known, F.col("term") == F.col("lt"), "left").where(F.col("lt").isNotNull() | (F.col("kind") == 2))
-    some = lambda k: F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("kind") == k, F.col("term")))))
-    grouped = joined.groupBy("k", "th").agg(some(0).alias("own"), some(1).alias("edited"), F.max("sha").alias("sha"), F.max(F.when(F.col("kind") == 2, F.col("term"))).alias("eh"))
+    both = F.array(F.struct(F.lit(0).alias("kind"), F.concat("text", F.lit(" " + SELF)).alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edit").alias("t")))
+    texts = rows.select("k", "th", F.sha2("edit", 256).alias("sha"), F.xxhash64("edit").alias("eh"), F.explode(both).alias("b")).select("k", "th", "sha", "eh", "b.kind", "b.t")
+    words = texts.select("k", "th", "kind", "sha", "eh", F.explode(split_words(F.col("t"))).alias("word")).where("word <> ''")
+    about = (F.col("word") == SELF) & (F.col("kind") == 0)
+    flat = words.select("k", "th", "kind", F.xxhash64("word").alias("term"), F.when(about, F.col("sha")).alias("sha"), F.when(about, F.col("eh")).alias("eh"))
+    known = lex.select("term").union(lex.sparkSession.range(1).select(F.xxhash64(F.lit(SELF)).alias("term")))
+    joined = flat.join(F.broadcast(known) if small else known, "term")
+    some = lambda k: F.array_sort(F.array_distinct(F.collect_list(F.when((F.col("kind") == k) & (F.col("term") != F.xxhash64(F.lit(SELF))), F.col("term")))))
+    grouped = joined.groupBy("k", "th").agg(some(0).alias("own"), some(1).alias("edited"), F.max("sha").alias("sha"), F.max("eh").alias("eh"))
     return grouped.select("k", "th", "sha", parts(F.col("own"), F.col("th")).alias("own"), parts(F.col("edited"), F.col("eh")).alias("edited"))
 
 
@@ -113,6 +118,7 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     The edited text has its last floor(n / 2) code points replaced by the first as many of the next row's.
     """
     work = Workspace(docs.sparkSession, "imatch")
+    docs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS))
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     texts = texts.withColumn("k", F.xxhash64("id")).withColumn("th", F.xxhash64("text"))
     follow = successors(texts, work)
