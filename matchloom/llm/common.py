@@ -17,7 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 
 
+#: Rows in an Arrow batch: texts can be long, and a worker holds a batch and its arrays at once.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +56,10 @@ class Workspace:
         self._paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def again(self, name: str) -> DataFrame:
+        """A table kept before, read again."""
+        return self.spark.read.parquet(self._paths[name])
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
@@ -122,7 +131,7 @@ def word_hashes(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.nd
 
 
 #: Bytes handled at once by the kernel; a longer single text makes a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def text_blocks(texts: pa.Array):

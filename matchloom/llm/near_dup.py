@@ -10,11 +10,12 @@
 4. Candidates are estimated by maximum likelihood over all registers, with both set sizes known
    exactly. Estimates under ``KEEP_FROM`` (five standard errors below the threshold) are not
    verified; all others are, on the full sets.
-5. Every bucket links its members to one centre first. Only pairs whose ends are then still in
-   different components are looked at again: all of them in buckets of at most ``SMALL`` nodes, and,
-   for larger buckets, those that share a shingle of their prefixes (rarest shingles first), which
-   loses no pair with J >= 0.75. So groups of thousands of copies cost a star, not a clique, and
-   no bucket is capped.
+5. Every bucket proposes links of its members to one centre first: the best of each member, then,
+   for ``STAR_ROUNDS`` rounds, the best between any two components found so far. Only pairs whose ends are
+   then still in different components are looked at again: all of them in buckets of at most ``SMALL`` nodes.
+   For the nodes of larger buckets an exact prefix join (shingles in order of rarity; bounds from
+   positions, from the shingles that no other component has, and from a parity bitmap) finds the pairs that can reach 0.75. So
+   groups of thousands of copies cost a star, not a clique, and no bucket is capped.
 
 Defined results: null or blank texts have an empty set, n_shingles 0 and link to nothing; a null
 id takes part, its component is the smallest id reachable and it is never kept; rows that repeat an
@@ -40,7 +41,10 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 KEEP_FROM = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
 #: Nodes of a bucket up to which its open pairs are listed directly.
-SMALL = 256
+SMALL = 16
+STAR_ROUNDS = 2
+#: Words (64 bits) of the parity bitmap of a set.
+PARITY = 4
 #: Buckets of text hashes whose list is broadcast to narrow a scan (at most 16 MB).
 SIEVE = 1 << 20
 
@@ -159,13 +163,23 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for i, s in enumerate(shingle_sets(batch.column(3))):
             node, n, label = (batch.column(c)[i].as_py() for c in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), x)) for x in (node, n, label)] + [pa.array(s.view(np.int64))], ["node", "n", "label", "shingle"])
+            parity = np.packbits(np.bincount((s % U64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1).view(np.int64)
+            same = [pa.array(np.full(len(s), x)) for x in (node, n, label, *parity)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(s.view(np.int64))], ["node", "n", "label", *_PARITY, "shingle"])
+
+
+_PARITY = [f"p{i}" for i in range(PARITY)]
 
 
 def sizes_allow(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def reaches(overlap, na: str, nb: str):
+    """Whether an overlap of two sets of na and nb makes for enough similarity."""
+    return overlap * (100 + PERCENT) >= (F.col(na) + F.col(nb)) * PERCENT
+
+
 class _Finder:
     def __init__(self, docs: DataFrame, doc_id: str, text: str):
         self.work = Workspace(docs.sparkSession, "near")
@@ -178,11 +192,9 @@ class _Finder:
         groups = work.keep(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.min("id").alias("low")), "groups")
         self.nodes = work.keep(rows.join(groups.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "n", "th", "sketch"), "nodes")
         open_ = self.buckets()
-        first = self.verify(self.best_centres(open_), "first")
-        labels = connected(first, work, "first")
+        labels = self.star_links(open_)
         rest = self.verify(self.estimate(self.open_pairs(open_, labels), "open"), "rest")
-        named = rest.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left")
-        second = connected(named.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), work, "second")
+        second = connected(self.named(rest, labels).select(F.col("x").alias("a"), F.col("y").alias("b")), work, "second")
         final = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         final = final.join(second.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").withColumn("label", F.coalesce("to", "label"))
         final = work.keep(final.select("h1", "h2", "label", "low"), "final")
@@ -199,9 +211,29 @@ class _Finder:
         centres = centres.select("key", "size", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
         return self.work.keep(bands.join(centres, "key"), "buckets")
 
-    def best_centres(self, members: DataFrame) -> DataFrame:
-        stars = members.where((F.col("node") != F.col("centre")) & sizes_allow("n", "centre_n")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-        return self.estimate(stars, "stars").groupBy("a").agg(F.max_by("b", F.struct("j", "b")).alias("b"))
+    def star_links(self, members: DataFrame) -> DataFrame:
+        """Components from links to centres that verify."""
+        stars = members.where((F.col("node") != F.col("centre")) & sizes_allow("n", "centre_n")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        stars = self.estimate(stars, "stars")
+        both = stars.select("a", "b", "j", F.col("a").alias("x")).union(stars.select("a", "b", "j", F.col("b").alias("x")))
+        pairs = both.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("j", "a", "b")).alias("p")).select("p.*").distinct()
+        edges = self.verify(pairs, "star")
+        labels = connected(edges, self.work, "star")
+        for i in range(STAR_ROUNDS):
+            stars = stars.join(self.work.again("star-pairs" if i == 0 else f"star{i - 1}-pairs"), ["a", "b"], "left_anti")
+            named = self.named(stars, labels).where("x <> y")
+            pairs = named.groupBy(F.least("x", "y"), F.greatest("x", "y")).agg(F.max_by(F.struct("a", "b"), F.struct("j", "a", "b")).alias("p")).select("p.*")
+            more = self.verify(pairs, f"star{i}")
+            edges = edges.union(more)
+            labels = connected(edges, self.work, f"star{i}")
+        return labels
+
+    @staticmethod
+    def named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs with the components x and y of their ends."""
+        side = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
+        rows = pairs.join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left")
+        return rows.withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")})
 
     def estimate(self, pairs: DataFrame, name: str) -> DataFrame:
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -233,23 +265,42 @@ class _Finder:
         large = open_.where(F.col("size") > SMALL).select("node", "n", "label").distinct()
         if large.isEmpty():
             return direct.distinct()
-        return direct.union(self.crossing(self.prefixes(large), "shingle")).distinct()
+        return direct.union(self.prefix_pairs(large)).distinct()
 
     @staticmethod
-    def crossing(rows: DataFrame, key: str) -> DataFrame:
-        x = rows.select(key, F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        y = rows.select(key, F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    def sides(rows: DataFrame, key: str, *more: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(rows.select(key, F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"), *[F.col(c).alias(f"{c}{x}") for c in more]) for x in "ab")
+
+    @classmethod
+    def crossing(cls, rows: DataFrame, key: str) -> DataFrame:
+        x, y = cls.sides(rows, key)
         return x.join(y, key).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes_allow("na", "nb")).select("a", "b")
 
-    def prefixes(self, nodes: DataFrame) -> DataFrame:
-        """The shingles of each node that a set with J >= 0.75 must share one of, rarest first."""
-        rows = self.with_text(nodes).select("node", "n", "label", "text").mapInArrow(_shingle_rows, "node long, n long, label long, shingle long")
+    def prefix_pairs(self, nodes: DataFrame) -> DataFrame:
+        """Pairs of different components that can reach the threshold, from an exact prefix join.
+
+        In order of (document frequency, hash), two sets that reach it share one of the first
+        n - ceil(0.75 n) + 1 shingles of either; at the first that they share, what follows bounds the
+        overlap, and so does the number of a set's shingles that occur in another set at all.
+        """
+        kinds = "".join(f"{p} long, " for p in _PARITY)
+        rows = self.with_text(nodes).select("node", "n", "label", "text").mapInArrow(_shingle_rows, f"node long, n long, label long, {kinds}shingle long")
         rows = self.work.keep(rows, "shingles")
-        often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-        ranked = rows.join(often.where("often > 1"), "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
-        order = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+        # A shingle of one component only can't be shared by a pair across two.
+        often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").drop("x", "y")
+        ranked = rows.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+        by_node = Window.partitionBy("node")
+        ranked = ranked.withColumn("place", F.row_number().over(by_node.orderBy("often", "shingle"))).withColumn("common", F.count(F.when(F.col("often") > 1, 1)).over(by_node))
         longest = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-        return ranked.withColumn("rank", order).where(F.col("rank") <= longest).where("often > 1").select("shingle", "node", "n", "label")
+        heads = ranked.where((F.col("place") <= longest) & (F.col("often") > 1) & (F.col("common") * 100 >= F.col("n") * PERCENT))
+        x, y = self.sides(self.work.keep(heads, "prefixes"), "shingle", "place", "common", *_PARITY)
+        left = 1 + F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+        differ = sum((F.bit_count(F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b"))) for p in _PARITY), F.lit(0))
+        at_most = F.floor((F.col("na") + F.col("nb") - differ) / 2)
+        good = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes_allow("na", "nb")
+        for bound in (F.least("commona", "commonb"), left, at_most):
+            good = good & reaches(bound, "na", "nb")
+        return x.join(y, (x.shingle == y.shingle) & good).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
