@@ -162,3 +162,18 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
         "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. All columns are those of ``docs``.
+
+    Rows that repeat an id and a text come as often as all of them together are taken.
+    """
+    from matchloom.llm.near_dup import rows_for
+
+    work = Workspace(docs.sparkSession, "mix")
+    thin = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    thin = thin.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    planned, _ = plan_mix(thin, "source", "text", work)
+    counts = planned.groupBy(F.xxhash64("c0").alias("__k"), F.col("c2").alias("__th")).agg(F.sum("copies").alias("__n"))
+    return rows_for(docs, doc_id, text, counts, "__n")

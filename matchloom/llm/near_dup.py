@@ -189,7 +189,7 @@ class _Finder:
     def run(self) -> DataFrame:
         work = self.work
         rows = work.keep(self.texts.select("id", "th", "text").mapInArrow(_sketch, f"id {self.kind}, th long, n long, h1 long, h2 long, sketch binary").withColumn("rid", F.monotonically_increasing_id()), "rows")
-        groups = work.keep(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.min("id").alias("low")), "groups")
+        groups = work.keep(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("low")), "groups")
         self.nodes = work.keep(rows.join(groups.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "n", "th", "sketch"), "nodes")
         open_ = self.buckets()
         labels = self.star_links(open_)
@@ -198,11 +198,14 @@ class _Finder:
         final = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         final = final.join(second.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").withColumn("label", F.coalesce("to", "label"))
         final = work.keep(final.select("h1", "h2", "label", "low"), "final")
-        lowest = final.groupBy("label").agg(F.min("low").alias("component_id"))
-        named = final.join(lowest, "label").select("h1", "h2", "component_id", F.lit(True).alias("linked"))
-        full = rows.select("id", "n", "h1", "h2").where("n > 0").join(named, ["h1", "h2"], "left")
-        out = full.select("id", "n", "component_id").union(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-        return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        lowest = final.groupBy("label").agg(F.min("low").alias("lowest"))
+        named = final.join(lowest, "label").select("h1", "h2", "lowest")
+        full = rows.select("id", "th", "n", "h1", "h2").where("n > 0").join(named, ["h1", "h2"], "left")
+        alone = F.struct(F.col("id").isNull().alias("none"), "id", "th").alias("lowest")
+        out = full.select("id", "th", "n", "lowest").union(rows.where("n = 0").select("id", "th", "n", alone))
+        component = F.col("lowest.id")
+        stays = F.col("id").eqNullSafe(component) & (F.col("th") == F.col("lowest.th"))
+        return out.select("id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), stays.alias("stays"))
 
     def buckets(self) -> DataFrame:
         """Members of the buckets of two or more nodes, with a centre picked by hash."""
@@ -305,4 +308,23 @@ class _Finder:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. See the module's text."""
-    return _Finder(docs, doc_id, text).run().withColumnRenamed("id", doc_id)
+    return _Finder(docs, doc_id, text).run().drop("th", "stays").withColumnRenamed("id", doc_id)
+
+
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component one, that of the smallest id (a null id last,
+    then by a text hash). All columns are those of ``docs``."""
+    found = _Finder(docs, doc_id, text).run().where("stays").select(F.xxhash64("id").alias("__k"), F.col("th").alias("__th"), F.lit(1).alias("__n"))
+    return rows_for(docs, doc_id, text, found.distinct(), "__n")
+
+
+def rows_for(docs: DataFrame, doc_id: str, text: str, counts: DataFrame, n: str) -> DataFrame:
+    """Each distinct (id, text) of ``docs`` as often as ``counts`` (__k, __th, n: hashes of both) says.
+
+    One shuffle of the texts; rows that repeat an id and a text are one.
+    """
+    keyed = docs.withColumns({"__k": F.xxhash64(f"`{doc_id}`"), "__th": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
+    joined = keyed.join(counts.where(F.col(n) > 0), ["__k", "__th"])
+    order = Window.partitionBy("__k", "__th").orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns]))
+    one = joined.withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    return one.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long")))).select(*[f"`{c}`" for c in docs.columns])
