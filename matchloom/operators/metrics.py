@@ -95,11 +95,11 @@ def curve(rows: DataFrame, score: str = "score", label: str = "label") -> DataFr
     per = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
     down = Window.partitionBy().orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()
-    run = per.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down), "P": F.sum("p").over(every), "N": F.sum(F.col("n") - F.col("p")).over(every)})
+    run = per.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down), "positives": F.sum("p").over(every), "negatives": F.sum(F.col("n") - F.col("p")).over(every)})
     # Negatives below a threshold's rows, and half of those that share its score.
-    below = F.col("N") - (F.col("seen") - F.col("tp"))
+    below = F.col("negatives") - (F.col("seen") - F.col("tp"))
     won = F.col("p") * (below + (F.col("n") - F.col("p")) / 2)
-    return run.agg(F.sum(F.try_divide(F.col("p"), F.col("P")) * F.col("tp") / F.col("seen")).alias("auc_pr"), F.try_divide(F.sum(won), F.max("P") * F.max("N")).alias("auc_roc"))
+    return run.agg(F.sum(F.try_divide(F.col("p"), F.col("positives")) * F.col("tp") / F.col("seen")).alias("auc_pr"), F.try_divide(F.sum(won), F.max("positives") * F.max("negatives")).alias("auc_roc"))
 
 
 def tag_relevance(ranked: DataFrame, k: int, words: vocab.Vocabulary = vocab.MUSIC) -> DataFrame:

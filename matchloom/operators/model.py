@@ -43,10 +43,11 @@ class Ranker:
 
     def fit(self, df: DataFrame, label: str = "label") -> Ranker:
         self.values = medians(df, self.features)
-        rows = balanced(impute(df, self.values), label).withColumn("fold", F.pmod(F.xxhash64("item_id", "target_id", F.lit(self.seed)), F.lit(self.folds))).cache()
+        rows = balanced(impute(df, self.values), label).withColumn("fold", F.pmod(F.xxhash64("item_id", "target_id", F.lit(self.seed)), F.lit(self.folds))).persist()
         assemble = VectorAssembler(inputCols=self.features, outputCol="raw_features")
         scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)
-        trees = GBTClassifier(labelCol=label, weightCol="weight", maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, seed=self.seed, rawPredictionCol="margin", probabilityCol="p", predictionCol="c")
+        trees = GBTClassifier(labelCol=label, weightCol="weight", maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, seed=self.seed, predictionCol="c")
+        trees.setRawPredictionCol("margin").setProbabilityCol("p")
         for fold in range(self.folds):
             fitted = Pipeline(stages=[assemble, scale, trees]).fit(rows.where(F.col("fold") != fold))
             margin = VectorAssembler(inputCols=["margin_of_1"], outputCol="margin_vector")

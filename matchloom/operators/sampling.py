@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as vec
+from matchloom.workspace import keep
 
 
 @dataclass(frozen=True)
@@ -57,48 +58,75 @@ def neighbours(vectors: DataFrame, k: int, key: str = "target_id", vector: str =
     return pairs.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _quota(candidates: DataFrame, n: int, seed: int, by: str | None = None, share: int | None = None) -> DataFrame:
-    """The first n candidate pairs by hash; or of each value of ``by`` the first ``share``."""
+def _quota(candidates: DataFrame, n: int, seed: int) -> DataFrame:
+    """The first n candidate pairs by hash."""
     rows = candidates.withColumn("h", order_key(seed, "item_id", "target_id"))
-    if by is not None:
-        rows = rows.withColumn("__p", F.row_number().over(Window.partitionBy(by).orderBy("h"))).where(F.col("__p") <= share).drop("__p", by)
     return rows.orderBy("h", "item_id", "target_id").limit(n).drop("h")
 
 
+def _probes(anchors: DataFrame, pool: DataFrame, tries: int, seed: int) -> DataFrame:
+    """Up to ``tries`` hashed targets for each anchor row, evenly over the pool's buckets.
+
+    ``pool`` numbers the targets of a bucket: no item is paired with the whole catalogue.
+    """
+    buckets = pool.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    listed = buckets.agg(F.sort_array(F.collect_list(F.struct("bucket", "size"))).alias("buckets"))
+    each = anchors.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).crossJoin(F.broadcast(listed))
+    each = each.withColumn("b", F.element_at("buckets", (F.col("j") % F.size("buckets") + 1).cast("int")))
+    number = F.conv(F.substring(order_key(seed, "item_id", "anchor", "j"), 1, 8), 16, 10).cast("long")
+    each = each.select("item_id", "side", F.col("b.bucket").alias("bucket"), (number % F.col("b.size")).alias("n"))
+    return each.join(pool, ["bucket", "n"])
+
+
 def draw(interactions: DataFrame, targets: DataFrame, item_tags: DataFrame, near: DataFrame, config: Negatives = Negatives(), seed: int = 42) -> DataFrame:
     """(item_id, target_id, kind): negatives for the positives of ``interactions``, never a pair that was pitched.
 
     conflict: the target's tags are disjoint from the anchor's (the accepted target's, else the item's); near: a
     neighbour (``near``: target_id, neighbour) of an accepted target; random: all others, evenly over tiers when
-    stratified. What a kind lacks is drawn at random. ``targets`` has target_id, tags, tier.
+    stratified. What a kind lacks is drawn at random.
 
-    Candidates of an item are hashed targets, PER_ITEM of them, so that no pair table of all items
-    with all targets is made.
+    Every positive probes some hashed targets; only when probes don't fill the quota, so that it is a
+    good part of all pairs, are the pairs listed. ``targets`` has target_id, tags, tier.
     """
     positives = interactions.where("label = 1").select("item_id", F.col("target_id").alias("anchor"))
     total = int(round(positives.count() * config.ratio))
     pitched = interactions.select("item_id", "target_id").distinct()
-    anchors = positives.distinct().join(targets.select(F.col("target_id").alias("anchor"), F.col("tags").alias("anchor_tags")), "anchor", "left").join(item_tags.select("item_id", "item_tags"), "item_id", "left")
     empty = F.array().cast("array<string>")
-    anchors = anchors.withColumn("side", F.when(F.size("anchor_tags") > 0, F.col("anchor_tags")).otherwise(F.coalesce("item_tags", empty)))
-    pool = targets.select("target_id", F.coalesce("tags", empty).alias("target_tags"), F.coalesce("tier", F.lit(0)).alias("bucket"))
-    pairs = anchors.select("item_id", "side").join(F.broadcast(pool), F.lit(True)).join(pitched, ["item_id", "target_id"], "left_anti")
+    tagged = targets.select(F.col("target_id").alias("anchor"), F.col("tags").alias("anchor_tags"))
+    anchors = positives.distinct().join(tagged, "anchor", "left").join(item_tags.select("item_id", "item_tags"), "item_id", "left")
+    anchors = keep(anchors.select("item_id", "anchor", F.when(F.size("anchor_tags") > 0, F.col("anchor_tags")).otherwise(F.coalesce("item_tags", empty)).alias("side")), "anchors")
+    pool = targets.select("target_id", F.coalesce("tags", empty).alias("target_tags"), F.coalesce("tier", F.lit(0)).alias("tier"))
+    pool = keep(pool, "pool")
+    tries = max(8, 4 * int(config.ratio + 1))
+
+    def numbered(bucket) -> DataFrame:
+        rows = pool.withColumn("bucket", bucket)
+        return rows.withColumn("n", (F.row_number().over(Window.partitionBy("bucket").orderBy("target_id")) - 1).cast("long"))
+
+    def listed() -> DataFrame:
+        return anchors.join(F.broadcast(pool), F.lit(True))
+
+    def chosen(rows: DataFrame, allowed, quota: int, salt: int, kind: str, taken: DataFrame) -> DataFrame:
+        if quota <= 0:
+            return anchors.limit(0).select("item_id", F.lit("").alias("target_id"), F.lit(kind).alias("kind"))
+        good = rows.where(allowed).select("item_id", "target_id").distinct().join(pitched, ["item_id", "target_id"], "left_anti").join(taken, ["item_id", "target_id"], "left_anti")
+        return keep(_quota(good, quota, salt).withColumn("kind", F.lit(kind)), kind)
+
     apart = (F.size("side") > 0) & (F.size("target_tags") > 0) & ~F.arrays_overlap("side", "target_tags")
-    conflict = _quota(pairs.where(apart).select("item_id", "target_id").distinct(), int(round(total * config.conflict)), seed).withColumn("kind", F.lit("conflict")).cache()
+    nothing = pitched.limit(0)
+    quota = int(round(total * config.conflict))
+    conflict = chosen(_probes(anchors, numbered(F.lit(0)), tries, seed), apart, quota, seed, "conflict", nothing)
+    if conflict.count() < quota:
+        conflict = chosen(listed(), apart, quota, seed, "conflict", nothing)
     used = conflict.select("item_id", "target_id")
-    close = positives.join(near.select(F.col("target_id").alias("anchor"), F.col("neighbour").alias("target_id")), "anchor").select("item_id", "target_id").distinct()
-    close = close.join(pitched, ["item_id", "target_id"], "left_anti").join(used, ["item_id", "target_id"], "left_anti")
-    close = _quota(close, int(round(total * config.near_miss)), seed + 1).withColumn("kind", F.lit("near")).cache()
+    close = positives.join(near.select(F.col("target_id").alias("anchor"), F.col("neighbour").alias("target_id")), "anchor")
+    close = chosen(close, F.lit(True), int(round(total * config.near_miss)), seed + 1, "near", used)
+    used = used.union(close.select("item_id", "target_id"))
     left = total - conflict.count() - close.count()
-    taken = used.union(close.select("item_id", "target_id"))
-    rest = pairs.select("item_id", "target_id", "bucket").distinct().join(taken, ["item_id", "target_id"], "left_anti")
-    if config.stratified:
-        buckets = max(1, pool.select("bucket").distinct().count())
-        even = _quota(rest, left, seed + 2, "bucket", -(-left // buckets)).withColumn("kind", F.lit("random")).cache()
-        more = left - even.count()
-        if more > 0:
-            extra = rest.drop("bucket").join(even.select("item_id", "target_id"), ["item_id", "target_id"], "left_anti")
-            even = even.unionByName(_quota(extra, more, seed + 3).withColumn("kind", F.lit("random")))
-    else:
-        even = _quota(rest.drop("bucket"), left, seed + 2).withColumn("kind", F.lit("random"))
-    return conflict.unionByName(close).unionByName(even)
+    bucket = F.col("tier") if config.stratified else F.lit(0)
+    other = chosen(_probes(anchors, numbered(bucket), tries, seed + 2), F.lit(True), left, seed + 2, "random", used)
+    missing = left - other.count()
+    if missing > 0:
+        used = used.union(other.select("item_id", "target_id"))
+        other = other.unionByName(chosen(listed(), F.lit(True), missing, seed + 3, "random", used))
+    return conflict.unionByName(close).unionByName(other)

@@ -1,6 +1,8 @@
-"""Registered queries and their SQL equivalents, by name."""
+"""All registered queries and their SQL equivalents, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from matchloom.plans import evaluation, fit, ingest
+
+QUERIES = ingest.QUERIES | fit.QUERIES | evaluation.QUERIES
+ORACLE_SQL = ingest.ORACLE_SQL | fit.ORACLE_SQL | evaluation.ORACLE_SQL

@@ -8,10 +8,11 @@ from matchloom.operators import metrics, model, profiles, rerank, sampling, tuni
 from matchloom.plans import domain as dm
 from matchloom.plans import fit
 from matchloom.plans.domain import CENTROID_SQL, HISTORY_SQL, ITEMS_SQL, TARGETS_SQL
+from matchloom.workspace import keep, shared_dir
 
 
 def scored(spark, d):
-    """Every item's interactions with an outcome: a hash score, the label and slice columns."""
+    """All pairs with an outcome: a hash score, the label and slice columns."""
     p = dm.labelled(spark, d).groupBy("item_id", "target_id").agg(F.max("label").alias("label"))
     i, t = F.col("item_id").cast("long"), F.col("target_id").cast("long")
     p = p.withColumn("score", ((i * 7919 + t * 104729) % 1009).cast("double") / 1009)
@@ -97,7 +98,7 @@ def penalty_grid(spark, d):
     i = fit.prepared(spark, d).select("item_id", F.col("item_tags").alias("asked_tags"))
     t = profiles.with_tags(dm.targets(spark, d), dm.PARTS).select("target_id", "tags", "primary_tags")
     rows = scored(spark, d).select("item_id", "target_id", "label", "score").join(i, "item_id").join(t, "target_id")
-    return dm.rounded(tuning.search(rows, tuning.grid(spark, {"no_match": [0.02, 0.3], "untagged": [0.3], "secondary": [0.4, 0.8], "breadth": [1, 4]})))
+    return dm.rounded(tuning.search(rows, tuning.grid(spark, {"no_match": [0.02, 0.3], "untagged": [0.3], "secondary": [0.4, 0.8], "breadth": [1, 4]}), dm.PARTS))
 
 
 def overtag_impact(spark, d):
@@ -146,7 +147,7 @@ def training(spark, d):
 
     known = split.where(~F.col("is_test"))
     built = profiles.build(dm.targets(spark, d), known, dm.items(spark, d), dm.NUMBERS, dm.DIM, dm.PARTS)
-    return pairs.featurize(split, fit.prepared(spark, d), built, dm.NUMBERS, dm.PARTS).cache()
+    return keep(pairs.featurize(split, fit.prepared(spark, d), built, dm.NUMBERS, dm.PARTS).select("item_id", "target_id", "is_test", "label", *FITTED), "training")
 
 
 FITTED = ["semantic_similarity", "semantic_l2_distance", "audio_zscore_mean", "genre_jaccard", "popularity_zscore", "target_size_log"]
@@ -163,7 +164,7 @@ def train_and_score(spark, d):
 def permutation_importance(spark, d):
     rows = training(spark, d)
     ranker = model.Ranker(FITTED, folds=2, trees=3, depth=3).fit(rows.where("not is_test").select("item_id", "target_id", "label", *FITTED))
-    test = rows.where("is_test").select("item_id", "target_id", "label", *FITTED).cache()
+    test = rows.where("is_test").select("item_id", "target_id", "label", *FITTED)
     return spark.createDataFrame(model.permutation_importance(ranker, test, FITTED[:3], repeats=2), "feature string, loss double")
 
 
@@ -174,8 +175,7 @@ def stream_upsert(spark, d):
     from matchloom.sources.tables import Store
     from matchloom.streaming.upsert import stream_upsert as start
 
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/matchloom"
-    base = f"{found.rstrip('/')}/stream-{uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid4().hex}"
     store = Store(spark, f"{base}/tables")
     rows = dm.read(spark, d, "events").select("user_id", "event_id", "event_type", F.col("ts").alias("updated_at"))
     rows.write.parquet(f"{base}/in")
@@ -223,7 +223,7 @@ ORACLE_SQL = {
     "median_impute": "with p as (select p_partkey, case when p_partkey % 7 <> 0 then p_size::double end size from part) select p_partkey, coalesce(size, (select median(size) from p)) size from p",
     "group_split_no_leak": f"with {HISTORY_SQL}, g as (select item_id, md5('42|' || item_id) h, count(*) n from labelled group by 1) select item_id, row_number() over (order by h) <= ceil(0.2 * (select count(*) from g)) is_test, n from g",
     "neighbors_topk": f"with {ITEMS_SQL}, {HISTORY_SQL}, {CENTROID_SQL}, {_NEAR} select target_id, neighbour, cast(rank as integer) rank from near",
-    "neg_conflict": f"with {TARGETS_SQL}, {HISTORY_SQL}, {_PITCHED}, cand as (select distinct item_id, t.target_id from positive p join tagged a on a.target_id = p.anchor, tagged t where len(a.tags) > 0 and len(t.tags) > 0 and not list_has_any(a.tags, t.tags)) select item_id, target_id from cand anti join pitched using (item_id, target_id) order by {_HASH.format(seed=42)}, item_id, target_id limit {_TOTAL}",
+    "neg_conflict": f"with {TARGETS_SQL}, {HISTORY_SQL}, {_PITCHED}, numbered as (select *, row_number() over (order by target_id) - 1 n from tagged), probes as (select item_id, anchor, ('0x' || substr(md5('42|' || item_id || '|' || anchor || '|' || j), 1, 8))::bigint % (select count(*) from tagged) n from (select distinct item_id, anchor from positive), range(0, 8) r(j)), cand as (select distinct item_id, t.target_id from probes p join tagged a on a.target_id = p.anchor join numbered t using (n) where len(a.tags) > 0 and len(t.tags) > 0 and not list_has_any(a.tags, t.tags)) select item_id, target_id from cand anti join pitched using (item_id, target_id) order by {_HASH.format(seed=42)}, item_id, target_id limit {_TOTAL}",
     "neg_near_miss": f"with {ITEMS_SQL}, {HISTORY_SQL}, {CENTROID_SQL}, {_NEAR}, {_PITCHED}, cand as (select distinct item_id, neighbour target_id from positive join near on near.target_id = anchor) select item_id, target_id from cand anti join pitched using (item_id, target_id) order by {_HASH.format(seed=43)}, item_id, target_id limit {_TOTAL}",
     "stream_upsert": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn = 1",
 }
