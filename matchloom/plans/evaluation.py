@@ -223,7 +223,13 @@ ORACLE_SQL = {
     "median_impute": "with p as (select p_partkey, case when p_partkey % 7 <> 0 then p_size::double end size from part) select p_partkey, coalesce(size, (select median(size) from p)) size from p",
     "group_split_no_leak": f"with {HISTORY_SQL}, g as (select item_id, md5('42|' || item_id) h, count(*) n from labelled group by 1) select item_id, row_number() over (order by h) <= ceil(0.2 * (select count(*) from g)) is_test, n from g",
     "neighbors_topk": f"with {ITEMS_SQL}, {HISTORY_SQL}, {CENTROID_SQL}, {_NEAR} select target_id, neighbour, cast(rank as integer) rank from near",
-    "neg_conflict": f"with {TARGETS_SQL}, {HISTORY_SQL}, {_PITCHED}, numbered as (select *, row_number() over (order by target_id) - 1 n from tagged), probes as (select item_id, anchor, ('0x' || substr(md5('42|' || item_id || '|' || anchor || '|' || j), 1, 8))::bigint % (select count(*) from tagged) n from (select distinct item_id, anchor from positive), range(0, 8) r(j)), cand as (select distinct item_id, t.target_id from probes p join tagged a on a.target_id = p.anchor join numbered t using (n) where len(a.tags) > 0 and len(t.tags) > 0 and not list_has_any(a.tags, t.tags)) select item_id, target_id from cand anti join pitched using (item_id, target_id) order by {_HASH.format(seed=42)}, item_id, target_id limit {_TOTAL}",
+    "neg_conflict": f"""with {TARGETS_SQL}, {HISTORY_SQL}, {_PITCHED}, anchors as (select distinct item_id, anchor, a.tags side from positive join tagged a on a.target_id = anchor where len(a.tags) > 0),
+      numbered as (select *, row_number() over (order by target_id) - 1 n from tagged),
+      probes as (select item_id, side, ('0x' || substr(md5('42|' || item_id || '|' || anchor || '|' || j), 1, 8))::bigint % (select count(*) from tagged) n from anchors, range(0, 8) r(j)),
+      probed as (select distinct item_id, t.target_id from probes join numbered t using (n) anti join pitched p on p.item_id = probes.item_id and p.target_id = t.target_id where len(t.tags) > 0 and not list_has_any(side, t.tags)),
+      listed as (select distinct anchors.item_id, t.target_id from anchors join tagged t on len(t.tags) > 0 and not list_has_any(side, t.tags) anti join pitched p on p.item_id = anchors.item_id and p.target_id = t.target_id),
+      cand as (select * from probed where (select count(*) from probed) >= {_TOTAL} union all select * from listed where (select count(*) from probed) < {_TOTAL})
+      select item_id, target_id from cand order by {_HASH.format(seed=42)}, item_id, target_id limit {_TOTAL}""",
     "neg_near_miss": f"with {ITEMS_SQL}, {HISTORY_SQL}, {CENTROID_SQL}, {_NEAR}, {_PITCHED}, cand as (select distinct item_id, neighbour target_id from positive join near on near.target_id = anchor) select item_id, target_id from cand anti join pitched using (item_id, target_id) order by {_HASH.format(seed=43)}, item_id, target_id limit {_TOTAL}",
     "stream_upsert": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn = 1",
 }
