@@ -28,14 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset (tests on
-    one machine) a temporary folder is made and remembered in the session."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found and sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc._jsc.sc().getCheckpointDir().get()
+    one machine) a temporary folder is made and set as the session's."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="matchloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="matchloom-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
