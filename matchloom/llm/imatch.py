@@ -11,7 +11,7 @@ of two fingerprints is the share of equal parts among those that are not empty i
 The band bounds the lexicon: at most (mean distinct terms of a text) / RARE terms. It is broadcast
 when its counted size is at most ``BROADCAST`` terms, else joined by a shuffle.
 
-Defined results: null counts as empty text. A text without a term of the lexicon has parts from the
+Defined results: null counts as empty text. A text of whose terms no lexicon keeps any has parts from the
 hash of its whole text, so only equal texts are alike. Rows that repeat an id and a text
 share a fingerprint; each gives a row. Rows with equal ids follow each other in order of a text hash. A
 null id comes first. A table of one text has itself as the next.
@@ -54,10 +54,11 @@ def parts(terms: Column, fallback: Column) -> Column:
         for depth in range(LEVELS):
             level = F.filter(level, _kept(chain, depth))
             out.append((level, chain * LEVELS + depth))
-    nothing = F.size(terms) == 0
     short = lambda h: (F.pmod(h, F.lit(32767)) + 1).cast("smallint")
-    hashed = [F.when(nothing, short(F.xxhash64(fallback, F.lit(i)))).when(F.size(x) > 0, short(F.xxhash64(x, F.lit(i)))).otherwise(F.lit(0).cast("smallint")) for x, i in out]
-    return F.array(*hashed)
+    hashed = F.array(*[F.when(F.size(x) > 0, short(F.xxhash64(x, F.lit(i)))).otherwise(F.lit(0).cast("smallint")) for x, i in out])
+    whole = F.array(*[short(F.xxhash64(fallback, F.lit(i))) for _, i in out])
+    # A transform of one element, so that the parts are made once for the test and the result.
+    return F.element_at(F.transform(F.array(hashed), lambda a: F.when(F.exists(a, lambda x: x != 0), a).otherwise(whole)), 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
