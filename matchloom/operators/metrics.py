@@ -122,3 +122,35 @@ def overtagging(profiles: DataFrame, thresholds=(4, 6, 8)) -> DataFrame:
     one = profiles.agg(F.count(F.lit(1)).alias("targets"), *[F.count_if(wide > t).alias(f"n{t}") for t in thresholds])
     rows = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"n{t}").alias("n_broad")) for t in thresholds]))
     return one.select("targets", rows.alias("r")).select("r.threshold", "targets", "r.n_broad", F.coalesce(F.try_divide(F.col("r.n_broad") * 100.0, F.col("targets")), F.lit(0.0)).alias("percent"))
+
+
+def standard_slices(rows: DataFrame, profiles: DataFrame, ks=KS) -> DataFrame:
+    """Ranking metrics by four slices in one pass: numbers known of the item; its popularity (split at the
+    median of the rows that know it); accepted items of the target (split at the median of all profiles);
+    the target's first primary tag. ``rows`` carry the features of their pairs."""
+    known = F.when(F.col("popularity_available") >= 1, F.col("item_popularity_norm"))
+    marked = median_split(rows.withColumn("__known", known), "__known", "__half")
+    side = median_split(profiles.select("target_id", "accepted", "primary_tags"), "accepted", "__half")
+    first = F.coalesce(F.try_element_at(F.array_sort("primary_tags"), F.lit(1)), F.lit("untagged"))
+    side = side.select("target_id", F.when(F.col("__half") == "high", "many_accepted").otherwise("few_accepted").alias("target_size"), first.alias("primary_tag"))
+    marked = marked.join(side, "target_id", "left").withColumns({
+        "audio": F.when(F.col("item_audio_available") >= 1, "with_audio").otherwise("without_audio"),
+        "popularity": F.when(F.col("__half").isNull(), "unknown_popularity").otherwise(F.concat("__half", F.lit("_popularity"))),
+        "target_size": F.coalesce("target_size", F.lit("few_accepted")),
+        "primary_tag": F.coalesce("primary_tag", F.lit("untagged")),
+    })
+    return slices(marked, ["audio", "popularity", "target_size", "primary_tag"], ks=ks)
+
+
+def at_k(names_: list[str], prefix: str) -> dict[int, str]:
+    """The columns ``prefix_at_k`` by k."""
+    import re
+
+    found = {n: re.fullmatch(rf"{re.escape(prefix)}_at_(\d+)", n) for n in names_}
+    return {int(m[1]): n for n, m in found.items() if m}
+
+
+def metric_curve(metrics_row: DataFrame, prefix: str) -> DataFrame:
+    """(k, value) of a one-row metrics table, as a plot wants it."""
+    pairs = [F.struct(F.lit(k).alias("k"), F.col(n).alias("value")) for k, n in sorted(at_k(metrics_row.columns, prefix).items())]
+    return metrics_row.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("value is not null")
