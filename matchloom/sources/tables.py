@@ -123,6 +123,24 @@ def load_bundle(store: Store, name: str):
     return PipelineModel.load(f"{store.root}/{name}/model"), store.read_state(f"{name}-metadata")
 
 
+def publish(store: Store, names: list[str], to: str, dry_run: bool = False) -> list[dict]:
+    """Copy tables to another place, which may be an object store; returns what was or would be copied.
+
+    Raises before anything is copied when a table is missing.
+    """
+    missing = [n for n in names if not store.exists(n)]
+    if missing:
+        raise FileNotFoundError(f"not in the store: {', '.join(missing)}")
+    manifest = []
+    for name in names:
+        source, target = f"{store.root}/{name}", f"{to.rstrip('/')}/{name}"
+        fs, path = store._fs(source)
+        manifest.append({"table": name, "from": source, "to": target, "bytes": fs.getContentSummary(path).getLength()})
+        if not dry_run:
+            store.spark.read.parquet(source).write.mode("overwrite").parquet(target)
+    return manifest
+
+
 def target_sources(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Targets that have a name, an id and a URL; at most ``limit``, all if none or not positive."""
     rows = df.where("target_name is not null and target_id is not null and target_url is not null and target_url <> ''").select("target_id", "target_name", "target_url")

@@ -59,6 +59,17 @@ def test_upsert(spark, tmp_path):
     assert store.read_state() == {"a": {"watermark": "x"}} and store.read_state("none") == {}
 
 
+def test_publish(spark, tmp_path):
+    store = tables.Store(spark, f"file://{tmp_path}/a")
+    store.write("t", spark.range(3))
+    there = f"file://{tmp_path}/b"
+    assert tables.publish(store, ["t"], there, dry_run=True)[0]["bytes"] > 0 and not tables.Store(spark, there).exists("t")
+    tables.publish(store, ["t"], there)
+    assert tables.Store(spark, there).read("t").count() == 3
+    with pytest.raises(FileNotFoundError):
+        tables.publish(store, ["t", "none"], there)
+
+
 def test_sync_moves_the_mark(spark, tmp_path):
     store = tables.Store(spark, f"file://{tmp_path}")
     asked = []
