@@ -49,6 +49,36 @@ def conflict(a: Column, b: Column, words: vocab.Vocabulary = vocab.MUSIC) -> Col
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b) & some
 
 
+def mask(tags: Column, words: vocab.Vocabulary = vocab.MUSIC) -> Column:
+    """A tag set as the bits of a long, by the vocabulary's order; at most 63 tags.
+
+    For pairs by the million: overlaps and conflicts of masks are a few machine operations.
+    """
+    if len(words.tags) > 63:
+        raise ValueError("a mask holds 63 tags")
+    out = F.lit(0).cast("long")
+    for i, t in enumerate(words.tags):
+        out = out + F.when(F.array_contains(tags, t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    return out
+
+
+def group_masks(words: vocab.Vocabulary) -> list[int]:
+    at = {t: i for i, t in enumerate(words.tags)}
+    return [sum(1 << at[t] for t in g if t in at) for g in words.conflicts]
+
+
+def masks_meet(a: Column, b: Column) -> Column:
+    return a.bitwiseAND(b) != 0
+
+
+def masks_conflict(a: Column, b: Column, words: vocab.Vocabulary = vocab.MUSIC) -> Column:
+    """``conflict`` over masks. Empty masks meet no group, so they need no test of their own."""
+    some = F.lit(False)
+    for g in group_masks(words):
+        some = some | (masks_meet(a, F.lit(g).cast("long")) & masks_meet(b, F.lit(g).cast("long")))
+    return ~masks_meet(a, b) & some
+
+
 def label_tags(label: Column, words: vocab.Vocabulary = vocab.MUSIC) -> Column:
     """Tags of one label: from the label maps, else from the patterns. A label that is mapped to no
     tags has none."""

@@ -71,9 +71,35 @@ def attribute_multiplier(p: Penalties = Penalties(), attributes=tuple(ATTRIBUTES
     return out
 
 
+def item_masks(rows: DataFrame, words: vocab.Vocabulary = vocab.MUSIC) -> DataFrame:
+    """Masks of item_tags and asked_tags, to be made before pairs are."""
+    return rows.withColumns({"item_mask": tg.mask(F.col("item_tags"), words), "asked_mask": tg.mask(F.col("asked_tags"), words)})
+
+
+def target_masks(rows: DataFrame, words: vocab.Vocabulary = vocab.MUSIC) -> DataFrame:
+    """Masks of tags and primary_tags, and the breadth, to be made before pairs are."""
+    return rows.withColumns({"target_mask": tg.mask(F.col("tags"), words), "primary_mask": tg.mask(F.col("primary_tags"), words), "breadth": breadth(F.col("primary_tags"), F.col("tags"))})
+
+
+def masked_rules(p: Penalties, words: vocab.Vocabulary, hard_filter: bool) -> Column:
+    """The explicit rule where tags are asked for, else the conflict filter, over masks."""
+    asked, primary, every = F.col("asked_mask"), F.col("primary_mask"), F.col("target_mask")
+    rest = primary.bitwiseAND(F.bitwise_not(asked))
+    kind = (
+        F.when(every == 0, "untagged")
+        .when(tg.masks_meet(asked, primary), F.when(tg.masks_conflict(asked, rest, words), "mixed").otherwise("primary"))
+        .when(tg.masks_meet(asked, every), "secondary")
+        .otherwise("none")
+    )
+    hard = F.when(tg.masks_conflict(F.col("item_mask"), every, words), F.lit(p.conflict)).otherwise(F.lit(1.0)) if hard_filter else F.lit(1.0)
+    return F.when(asked != 0, class_multiplier(kind, F.col("breadth"), p)).otherwise(hard)
+
+
 def reweigh(scored: DataFrame, p: Penalties = Penalties(), words: vocab.Vocabulary = vocab.MUSIC, hard_filter: bool = True) -> DataFrame:
     """score times the multipliers. A row that asks for tags (asked_tags) takes the explicit rule, all
-    others the conflict filter; attributes come on top."""
+    others the conflict filter; attributes come on top. Rows with masks are judged by those."""
+    if {"item_mask", "asked_mask", "target_mask", "primary_mask", "breadth"} <= set(scored.columns):
+        return scored.withColumn("score", F.col("score") * masked_rules(p, words, hard_filter) * attribute_multiplier(p))
     explicit = explicit_multiplier(F.col("asked_tags"), F.col("primary_tags"), F.col("tags"), p, words)
     hard = conflict_multiplier(F.col("item_tags"), F.col("tags"), p, words) if hard_filter else F.lit(1.0)
     rule = F.when(F.size("asked_tags") > 0, explicit).otherwise(hard)
@@ -92,6 +118,8 @@ def recommend(requests: DataFrame, profiles: DataFrame, score, n: int = 5, p: Pe
     wanted, tier; ``score`` makes the column score from the pairs. Without a candidate: no row."""
     from matchloom.operators.pairs import cross
 
+    if len(words.tags) <= 63:
+        requests, profiles = item_masks(requests, words), target_masks(profiles, words)
     pairs = cross(requests.withColumnRenamed("tier", "asked_tier") if "tier" in requests.columns else requests, profiles)
     if "tier" in requests.columns:
         pairs = pairs.where(F.col("asked_tier").isNull() | (F.col("tier") == F.col("asked_tier")))

@@ -67,9 +67,9 @@ FEATURES = {
 
 
 def full_catalog(spark, d):
-    """Every item with every target: base score, label of the pair, tags of both sides."""
-    i = prepared(spark, d).select("item_id", "item_tags", "embedding", "item_norm", *[f"item_{a}" for a in profiles.ATTRIBUTES])
-    t = built(spark, d).select("target_id", "target_name", "tags", "primary_tags", "centroid", "centroid_norm", "tier", "accepted", *profiles.ATTRIBUTES)
+    """Every item with every target: base score, tier, masks of the tags, attributes of both sides."""
+    i = rerank.item_masks(asked(prepared(spark, d)), dm.PARTS).select("item_id", "item_mask", "asked_mask", "embedding", "item_norm", *[f"item_{a}" for a in profiles.ATTRIBUTES])
+    t = rerank.target_masks(built(spark, d), dm.PARTS).select("target_id", "target_name", "target_mask", "primary_mask", "breadth", "centroid", "centroid_norm", "tier", *profiles.ATTRIBUTES)
     score = pairs.semantic()["semantic_similarity"]
     return pairs.cross(i, t).withColumn("score", F.round((score + 1) / 2, dm.DIGITS)).drop("embedding", "centroid")
 
@@ -132,7 +132,7 @@ def recommend_tier_filter(spark, d):
 
 def recommend_final(spark, d):
     """Base scores, all multipliers, best five targets with their names."""
-    rows = asked(full_catalog(spark, d)).withColumn("score", F.col("score").cast("double"))
+    rows = full_catalog(spark, d)
     best = rerank.top(rerank.reweigh(rows, words=dm.PARTS), 5, digits=12)
     return dm.rounded(best.select("item_id", "rank", "target_id", "target_name", "score"), 12)
 

@@ -221,6 +221,28 @@ def test_explicit_rule(spark, asked, primary, every, expected):
     assert df.select(rerank.explicit_multiplier(F.col("a"), F.col("p"), F.col("t")).alias("m")).first().m == pytest.approx(expected)
 
 
+def test_masks_are_the_sets(spark):
+    from itertools import combinations
+
+    from matchloom.functions import vocab
+
+    tags = ["pop", "rock", "hip_hop", "country", "indie_rock", "classical"]
+    sets = [list(c) for n in range(3) for c in combinations(tags, n)]
+    side = spark.createDataFrame([(s,) for s in sets], "x array<string>")
+    a = side.select(F.col("x").alias("asked_tags"), F.col("x").alias("item_tags"), F.lit(1.0).alias("score"))
+    b = side.select(F.col("x").alias("primary_tags")).crossJoin(side.select(F.col("x").alias("more"))).select("primary_tags", F.array_union("primary_tags", "more").alias("tags"))
+    empty = {f"{p}{n}": F.array().cast("array<string>") for n in profiles.ATTRIBUTES for p in ("", "item_")}
+    for hard in (True, False):
+        for none in (True, False):  # nothing asked for: the conflict filter
+            left = a.withColumn("asked_tags", F.array().cast("array<string>")) if none else a
+            plain = rerank.reweigh(left.crossJoin(b).withColumns(empty), hard_filter=hard)
+            masked = rerank.reweigh(rerank.item_masks(left).crossJoin(rerank.target_masks(b)).withColumns(empty), hard_filter=hard)
+            keys = ["item_tags", "asked_tags", "primary_tags", "tags", "score"]
+            assert plain.select(keys).exceptAll(masked.select(keys)).isEmpty()
+    with pytest.raises(ValueError):
+        rerank.target_masks(b, vocab.Vocabulary({str(i): ["x"] for i in range(64)}))
+
+
 def test_penalties_are_clamped():
     p = rerank.Penalties(no_match=-1, untagged=7, breadth=0)
     assert (p.no_match, p.untagged, p.breadth) == (1e-6, 1.0, 1)
