@@ -41,24 +41,39 @@ def split_words(text: Column) -> Column:
 
 
 def _kept(chain: int, depth: int):
-    """Whether a level keeps a term: some bits of the term's hash for the chain are zero."""
-    bits = (1 << FIRST_BITS) - 1 if depth == 0 else 1 << (FIRST_BITS + depth - 1)
-    return lambda t: F.xxhash64(t, F.lit(chain)).bitwiseAND(F.lit(bits).cast("long")) == 0
+    """Whether a level keeps a term. The first takes bits of the term's hash itself, other ones for each
+    chain; the rare terms left for deeper levels are hashed anew."""
+    if depth == 0:
+        return lambda t: t.bitwiseAND(F.lit(((1 << FIRST_BITS) - 1) << (FIRST_BITS * chain)).cast("long")) == 0
+    return lambda t: F.xxhash64(t, F.lit(chain)).bitwiseAND(F.lit(1 << (depth - 1)).cast("long")) == 0
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a transform of one element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def parts(terms: Column, fallback: Column) -> Column:
     """Fingerprint parts (array of smallint, 0 for an empty part) of a sorted array of term hashes."""
-    out = []
-    for chain in range(CHAINS):
-        level = terms
-        for depth in range(LEVELS):
-            level = F.filter(level, _kept(chain, depth))
-            out.append((level, chain * LEVELS + depth))
     short = lambda h: (F.pmod(h, F.lit(32767)) + 1).cast("smallint")
-    hashed = F.array(*[F.when(F.size(x) > 0, short(F.xxhash64(x, F.lit(i)))).otherwise(F.lit(0).cast("smallint")) for x, i in out])
-    whole = F.array(*[short(F.xxhash64(fallback, F.lit(i))) for _, i in out])
-    # A transform of one element, so that the parts are made once for the test and the result.
-    return F.element_at(F.transform(F.array(hashed), lambda a: F.when(F.exists(a, lambda x: x != 0), a).otherwise(whole)), 1)
+
+    def chain_parts(chain: int):
+        def body(first: Column) -> Column:
+            out, level = [], first
+            for depth in range(LEVELS):
+                level = level if depth == 0 else F.filter(level, _kept(chain, depth))
+                out.append(let(level, numbered(chain * LEVELS + depth)))
+            return F.array(*out)
+
+        return body
+
+    def numbered(i: int):
+        return lambda x: F.when(F.size(x) > 0, short(F.xxhash64(x, F.lit(i)))).otherwise(F.lit(0).cast("smallint"))
+
+    # The first level of a chain looks at all terms, once; all others at an eighth of them or less.
+    made = F.flatten(F.array(*[let(F.filter(terms, _kept(chain, 0)), chain_parts(chain)) for chain in range(CHAINS)]))
+    whole = F.array(*[short(F.xxhash64(fallback, F.lit(i))) for i in range(CHAINS * LEVELS)])
+    return let(made, lambda a: F.when(F.exists(a, lambda x: x != 0), a).otherwise(whole))
 
 
 def likeness(a: Column, b: Column) -> Column:
