@@ -57,6 +57,12 @@ class Workspace:
         """A table kept before, read again."""
         return self.spark.read.parquet(self._paths[name])
 
+    def names(self) -> list[str]:
+        return list(self._paths)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[n for n in self._paths if n not in names])
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
@@ -211,7 +217,7 @@ class HashIndex:
 class Tally:
     """Counts of 64-bit keys, merged as they come; gives its content away when it grows large."""
 
-    def __init__(self, limit: int = 3_000_000):
+    def __init__(self, limit: int = 1_000_000):
         self.limit, self.size = limit, 0
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 

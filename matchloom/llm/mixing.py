@@ -120,6 +120,7 @@ def _copies(sized: DataFrame, work: Workspace) -> DataFrame:
     solved = solve(bins.where("size > 0"), aims, work).select(F.col("source").alias("s"), "scale", "factor")
     rated = bins.where("size > 0").join(solved, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", F.round(rate(F.col("size"), F.col("scale"), F.col("factor")) * MICRO).cast("long").alias("rate"))
     rated = work.keep(rated, "rates")
+    work.drop(*[n for n in work.names() if n.startswith("state")])
     r = rated.select(F.col("source").alias("rs"), F.col("size").alias("rz"), "rate")
     docs = work.keep(sized.where("size > 0").select("source", "size", "rid", F.xxhash64("c0").alias("h")).join(r, F.col("source").eqNullSafe(F.col("rs")) & (F.col("size") == F.col("rz"))).drop("rs", "rz"), "rated")
     order = [F.col("size").desc(), F.col("h"), F.col("rid")]

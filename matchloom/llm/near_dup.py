@@ -198,6 +198,7 @@ class _Finder:
         final = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         final = final.join(second.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").withColumn("label", F.coalesce("to", "label"))
         final = work.keep(final.select("h1", "h2", "label", "low"), "final")
+        work.drop_all_but("rows", "final")  # the result reads no others
         lowest = final.groupBy("label").agg(F.min("low").alias("lowest"))
         named = final.join(lowest, "label").select("h1", "h2", "lowest")
         full = rows.select("id", "th", "n", "h1", "h2").where("n > 0").join(named, ["h1", "h2"], "left")
