@@ -50,6 +50,11 @@ def ranks():
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@pytest.fixture(scope="module")
+def both_encoders(ranks):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.Encoder(ranks)
+
+
 # ---------------------------------------------------------------- words and hashes
 
 
@@ -77,10 +82,8 @@ def test_hash_index():
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=5))
-def test_bpe_is_the_librarys(texts):
-    ranks = test_bpe_is_the_librarys.ranks = getattr(test_bpe_is_the_librarys, "ranks", None) or bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    known = test_bpe_is_the_librarys.known = getattr(test_bpe_is_the_librarys, "known", None) or (tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.Encoder(ranks))
-    library, encoder = known
+def test_bpe_is_the_librarys(both_encoders, texts):
+    library, encoder = both_encoders
     split = regex.compile(public_tokenizers.PATTERN).findall
     for text, (n, ids, decoded) in zip(texts, bpe.digests(texts, encoder, split), strict=True):
         expected = library.encode_ordinary(text)
@@ -216,7 +219,8 @@ def test_pseudonyms_keep_format_and_links(spark):
     a, b = regex.findall(r"(\S+)@mail7.example.com", got[2][0])
     assert a.lower() == b.lower() and a != "étion.34"
     number = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
-    assert [number(s.replace(" ", "")) for s in regex.findall(r"GB[\dA-Z ]+\d|DE\d+", got[3][0])] == [1, 1, 63 if False else number("DE00370400440532013000")]
+    accounts = [s.replace(" ", "") for s in regex.findall(r"GB[\dA-Z ]+\d|DE\d+", got[3][0])]
+    assert [number(s) for s in accounts[:2]] == [1, 1] and accounts[2] == "DE00370400440532013000" and got[3][1] == 2
     iso, dmy = regex.findall(r"(\d{4})-(\d\d)-(\d\d), (\d\d)/(\d\d)/(\d{4})", got[4][0])[0][:3], regex.findall(r"(\d\d)/(\d\d)/(\d{4})", got[4][0])[0]
     assert iso == dmy[::-1] and iso[0].startswith("19") and "2021-02-30" in got[4][0]
     assert "078-05-1120" not in got[5][0] and "666-12-1234" in got[5][0]
