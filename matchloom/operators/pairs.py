@@ -39,13 +39,14 @@ def prepare_items(items: DataFrame, columns: list[str], words: vocab.Vocabulary
     return out.withColumns({f"item_{a}": tg.attributes(f"item_{a}") if f"item_{a}" in items.columns else F.array().cast("array<string>") for a in ATTRIBUTES})
 
 
-def cross(items: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every item with every target. The full catalogue is the feature; it is broadcast behind a count."""
+def cross(items: DataFrame, targets: DataFrame, key: str = "target_id") -> DataFrame:
+    """Every item with every target. The full catalogue is the feature; it is broadcast behind a count,
+    and beyond BROADCAST_ROWS dealt by ``key`` into blocks that meet every item once."""
     n = targets.limit(BROADCAST_ROWS + 1).count()
     if n <= BROADCAST_ROWS:
         return items.crossJoin(F.broadcast(targets))
-    blocks = targets.select("target_id").distinct().count() // BROADCAST_ROWS + 1
-    dealt = targets.withColumn("__block", F.pmod(F.xxhash64("target_id"), F.lit(blocks)))
+    blocks = targets.select(key).distinct().count() // BROADCAST_ROWS + 1
+    dealt = targets.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)))
     copied = items.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     return copied.join(dealt, "__block").drop("__block")
 

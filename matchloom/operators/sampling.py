@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as vec
+from matchloom.operators.pairs import cross
 from matchloom.workspace import keep
 
 
@@ -53,7 +54,7 @@ def neighbours(vectors: DataFrame, k: int, key: str = "target_id", vector: str =
     """(key, neighbour, similarity, rank): the k most similar others, ties by key."""
     unit = vectors.where(F.col(vector).isNotNull()).select(F.col(key), vec.unit(F.col(vector)).alias("u"))
     other = unit.select(F.col(key).alias("neighbour"), F.col("u").alias("w"))
-    pairs = unit.join(other, F.col(key) != F.col("neighbour")).select(key, "neighbour", F.round(vec.dot(F.col("u"), F.col("w")), digits).alias("similarity"))
+    pairs = cross(unit, other, "neighbour").where(F.col(key) != F.col("neighbour")).select(key, "neighbour", F.round(vec.dot(F.col("u"), F.col("w")), digits).alias("similarity"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), "neighbour"))
     return pairs.withColumn("rank", place).where(F.col("rank") <= k)
 
