@@ -6,6 +6,9 @@ raw UTF-8 buffer of a batch, so no Python string is built for any word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -18,7 +21,7 @@ U64 = np.uint64
 
 
 #: Rows in an Arrow batch: texts can be long, and a worker holds a batch and its arrays at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -245,6 +248,20 @@ class Tally:
         return out
 
 
+def tidy(run):
+    """A worker's function over batches that gives memory back to the system when it ends: workers
+    live on between tasks, beside an executor that may need it then."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every system has the call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 _MADE: dict = {}
 
 

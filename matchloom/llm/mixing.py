@@ -176,5 +176,5 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     thin = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
     thin = thin.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     planned, _ = plan_mix(thin, "source", "text", work)
-    counts = planned.groupBy(F.xxhash64("c0").alias("__k"), F.col("c2").alias("__th")).agg(F.sum("copies").alias("__n"))
-    return rows_for(docs, doc_id, text, counts, "__n")
+    counts = planned.groupBy(F.xxhash64("c0").alias("__k"), F.col("c2").alias("__th")).agg(F.sum("copies").alias("__n"), F.count(F.lit(1)).alias("__rows"))
+    return rows_for(docs, doc_id, text, work.keep(counts, "counts"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import U64, Workspace, block_words, mix64, text_blocks
+from matchloom.llm.common import U64, Workspace, block_words, mix64, text_blocks, tidy
 from matchloom.llm.components import connected
 
 SHINGLE = 5
@@ -113,6 +113,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return grid[np.arange(len(grid)), like.argmax(1)]
 
 
+@tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, h1, h2, sketch = [], [], [], []
@@ -126,6 +127,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), column(h1), column(h2), pa.array(sketch, pa.binary())], ["id", "th", "n", "h1", "h2", "sketch"])
 
 
+@tidy
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -137,6 +139,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(np.repeat(part.column(1).to_numpy(), BANDS))], ["key", "node", "n"])
 
 
+@tidy
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [np.empty(0)]
@@ -150,6 +153,7 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows.filter(mask)
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
@@ -159,6 +163,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+@tidy
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, s in enumerate(shingle_sets(batch.column(3))):
@@ -315,17 +320,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component one, that of the smallest id (a null id last,
     then by a text hash). All columns are those of ``docs``."""
-    found = _Finder(docs, doc_id, text).run().where("stays").select(F.xxhash64("id").alias("__k"), F.col("th").alias("__th"), F.lit(1).alias("__n"))
-    return rows_for(docs, doc_id, text, found.distinct(), "__n")
+    found = _Finder(docs, doc_id, text).run().where("stays").groupBy(F.xxhash64("id").alias("__k"), F.col("th").alias("__th")).agg(F.lit(1).alias("__n"), F.count(F.lit(1)).alias("__rows"))
+    return rows_for(docs, doc_id, text, Workspace(docs.sparkSession, "stay").keep(found, "found"))
 
 
-def rows_for(docs: DataFrame, doc_id: str, text: str, counts: DataFrame, n: str) -> DataFrame:
-    """Each distinct (id, text) of ``docs`` as often as ``counts`` (__k, __th, n: hashes of both) says.
+def rows_for(docs: DataFrame, doc_id: str, text: str, counts: DataFrame) -> DataFrame:
+    """Each distinct (id, text) of ``docs`` as often as ``counts`` (__k, __th: hashes of both; __n; __rows:
+    rows that share them) says.
 
-    One shuffle of the texts; rows that repeat an id and a text are one.
+    One shuffle of the texts to a hash join, so that they needn't be sorted; only where rows repeat
+    an id and a text are they sorted, to keep one.
     """
+    wanted = counts.where("__n > 0")
     keyed = docs.withColumns({"__k": F.xxhash64(f"`{doc_id}`"), "__th": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    joined = keyed.join(counts.where(F.col(n) > 0), ["__k", "__th"])
-    order = Window.partitionBy("__k", "__th").orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns]))
-    one = joined.withColumn("__row", F.row_number().over(order)).where("__row = 1")
-    return one.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long")))).select(*[f"`{c}`" for c in docs.columns])
+    rows = keyed.join(wanted.hint("shuffle_hash"), ["__k", "__th"])
+    if not wanted.where("__rows > 1").isEmpty():
+        order = Window.partitionBy("__k", "__th").orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns]))
+        rows = rows.withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long")))).select(*[f"`{c}`" for c in docs.columns])

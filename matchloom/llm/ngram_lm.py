@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import U64, HashIndex, Tally, Workspace, block_words, mix64, text_blocks
+from matchloom.llm.common import U64, HashIndex, Tally, Workspace, block_words, mix64, text_blocks, tidy
 
 #: Words from this share of the training tokens on have their exact counts broadcast.
 HEAD_SHARE = 2.0**-21
@@ -157,7 +157,7 @@ def _counted(df: DataFrame, keys_of) -> DataFrame:
                         yield rows()
         yield rows()
 
-    return df.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +267,7 @@ def train(df: DataFrame, text: str, work: Workspace) -> tuple[Model, DataFrame]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["cell", "n"])
 
-    cells = texts.mapInArrow(ratios, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = texts.mapInArrow(tidy(ratios), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     histogram = np.zeros(3 * BINS * BINS)
     for row in cells:  # at most 3 * BINS * BINS rows
         histogram[row["cell"]] = row["n"]
@@ -315,7 +315,7 @@ def score(df: DataFrame, text: str, model: Model, words: DataFrame, work: Worksp
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cat(n, np.int64)), pa.array(cat(known_n, np.int64)), pa.array(cat(base, float)), pa.array(cat(best, float)), *lists], [*names, "n_tokens", "head_known", "head_base", "head_score", "rare", "times"])
 
     renamed = df.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, keep, strict=True)], F.col(f"`{text}`"))
-    parts = work.keep(renamed.mapInArrow(run, fields).withColumn("rid", F.monotonically_increasing_id()), "parts")
+    parts = work.keep(renamed.mapInArrow(tidy(run), fields).withColumn("rid", F.monotonically_increasing_id()), "parts")
     rare = parts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("rid", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
     tail = words.where(F.col("n") < max(1.0, model.total * HEAD_SHARE))
     count = F.coalesce(F.col("n"), F.lit(0))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import tidy
+
 MAX_LABELLED = 10_000
 MAX_TERMS = 800
 FUZZY = 5
@@ -266,7 +268,7 @@ def _apply(df: DataFrame, text: str, shared, schema: str, finish) -> DataFrame:
         for batch in batches:
             yield finish(batch, features(batch.column(batch.num_columns - 1).to_pylist(), lexicon), weights)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, fold: int = 0):
