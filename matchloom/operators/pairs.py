@@ -42,6 +42,11 @@ def prepare_items(items: DataFrame, columns: list[str], words: vocab.Vocabulary
 def cross(items: DataFrame, targets: DataFrame, key: str = "target_id") -> DataFrame:
     """Every item with every target. The full catalogue is the feature; it is broadcast behind a count,
     and beyond BROADCAST_ROWS dealt by ``key`` into blocks that meet every item once."""
+    if "item_id" in items.columns:
+        # Dealt by item over all cores: a small table would be one task, and rankings by item then need
+        # no shuffle of the pairs.
+        spark = items.sparkSession
+        items = items.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "item_id")
     n = targets.limit(BROADCAST_ROWS + 1).count()
     if n <= BROADCAST_ROWS:
         return items.crossJoin(F.broadcast(targets))
