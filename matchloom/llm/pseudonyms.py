@@ -14,7 +14,10 @@ iban     country, length, remainder modulo 97           digits and letters of th
 ssn      area, group and serial in use                  the three numbers in their ranges
 date     a day of 1900-2099 (ISO, or day and month      the day, within its century
          with a four-digit year; . / - )
-phone    + and 8-15 digits, or (ddd) ddd-dddd           all digits after the country code
+phone    + and 8-15 digits in groups of any size with   all digits after the country code
+         one blank, - or / (or only dots) between them,
+         or (ddd) ddd-dddd; ends with the last group
+         that fits into 15 digits
 ip       four numbers up to 255                         the four numbers
 email    local part, @, domain with a dot               letters and digits of the local part
 secret   32 hexadecimal digits or more                  the hexadecimal digits
@@ -37,13 +40,15 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "secret": EDGE + r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})" + END,
     "iban": EDGE + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + END,
-    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+?\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|\+\d{8,15}|\+\d{1,3}(?:[ -]\d{2,4}(?![\d]|\.\d)){2,5})(?![\p{L}\p{N}]|[.-]\d)",
+    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+?\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|\+\d{1,3} ?\(0\) ?\d(?:[ /.-]?\d){4,11}|\+\d(?:[ /-]?\d){7,14}|\+\d(?:\.?\d){7,14})(?![\p{L}\p{N}]|[.-]\d)",
     "date": EDGE + r"(?:(?:19|20)\d{2}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2(?:19|20)\d{2})(?![\p{L}\p{N}]|[-/.]\d)",
     "ssn": EDGE + r"(?<![-.])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "ip": EDGE + r"(?<![-.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)",
     "card": EDGE + r"(?:\d{4}([ -])\d{4}\3\d{4}\3\d{1,7}|\d{13,19})" + END,
 }
 ANY = "|".join(PATTERNS.values())
+#: The country codes of the telephone network, of one, two or three digits.
+COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: The letters that are permuted among each other.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
 HEX = ["0123456789abcdef", "0123456789ABCDEF"]
@@ -158,7 +163,7 @@ def card(m: Column, key: Column) -> Column:
 
 
 def phone(m: Column, key: Column) -> Column:
-    country = F.regexp_extract(m, r"^(?:\+?\d{1,3}[ .-]?(?=\()|\+\d{1,3}(?=[ -])|\+\d)?", 0)
+    country = F.regexp_extract(m, r"^(?:\+\d{1,3} ?\(0\) ?|\+?\d{1,3}[ .-]?(?=\()|" + COUNTRY + ")?", 0)
 
     def body(v):
         digits = digits_of(v["rest"])

@@ -229,6 +229,23 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert rewritten(spark, texts) == got and rewritten(spark, texts, key="other")[0] != got[0]
 
 
+def test_phones_in_national_spacings(spark):
+    # French, German, Spanish, British, American; the country code and the format stay.
+    numbers = ["+33 6 12 34 56 78", "+336 12345678", "+33 (0)6 12 34 56 78", "+33.6.12.34.56.78", "+49 170 1234567", "+49 30 123456", "+49 30/123456", "+34 91 1234567", "+34 612 34 56 78", "+44 20 7946 0958", "+44 7911 123456", "+1 212-555-0187", "+33612345678"]
+    got = rewritten(spark, [f"call {x}, or {x} 190.137.223.204." for x in numbers])
+    digits = lambda x: regex.sub(r"\D", "", x)
+    for number, (text, n) in zip(numbers, got, strict=True):
+        shape = regex.sub("d", "[0-9]", regex.escape(regex.sub(r"\d", "d", number)))
+        first, second = regex.fullmatch(rf"call ({shape}), or ({shape}) [0-9.]+", text).groups()
+        assert n == 3 and first == second != number and first[:2] == number[:2], number
+        assert "190.137" not in text
+    assert digits(got[0][0][5:22]) == digits(got[1][0][5:18]) == digits(got[12][0][5:17])  # one number, three spacings
+    # What follows is left alone when the whole has more than 15 digits; the number isn't.
+    long, short = rewritten(spark, ["+49 170 1234567 12345", "+49 30 1234"])
+    assert long[0].endswith(" 12345") and "1234567 " not in long[0] and long[1] == 1
+    assert rewritten(spark, ["+49 30 12", "3+12345678"]) == [("+49 30 12", 0), ("3+12345678", 0)] and short[1] == 1
+
+
 def test_pseudonyms_of_odd_rows(odd, none):
     out = pseudonyms.pseudonymise(odd)
     assert out.columns == odd.columns and Counter(out.collect()) == Counter(odd.collect())
