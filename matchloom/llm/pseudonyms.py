@@ -36,10 +36,27 @@ DEFAULT_KEY = "matchloom-example-key"
 
 #: The patterns of the kinds, in order of precedence.
 EDGE, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: The length of an account number by country; a spaced one ends there, so that a short
+#: word or a number after it isn't taken for its last group.
+ACCOUNTS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _spaced(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: [A-Z0-9]{{4}}){{{fours}}}" + (rf" [A-Z0-9]{{{rest}}}" if rest else "")
+
+
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "secret": EDGE + r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})" + END,
-    "iban": EDGE + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + END,
+    "iban": EDGE + r"(?:(?=[A-Z]{2}\d{2} )(?:" + "|".join(_spaced(n, c) for n, c in ACCOUNTS.items()) + ")" + END + r"|[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?))" + END,
     "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+?\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|\+\d{1,3} ?\(0\) ?\d(?:[ /.-]?\d){4,11}|\+\d(?:[ /-]?\d){7,14}|\+\d(?:\.?\d){7,14})(?![\p{L}\p{N}]|[.-]\d)",
     "date": EDGE + r"(?:(?:19|20)\d{2}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2(?:19|20)\d{2})(?![\p{L}\p{N}]|[-/.]\d)",
     "ssn": EDGE + r"(?<![-.])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",

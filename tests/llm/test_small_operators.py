@@ -246,6 +246,25 @@ def test_phones_in_national_spacings(spark):
     assert rewritten(spark, ["+49 30 12", "3+12345678"]) == [("+49 30 12", 0), ("3+12345678", 0)] and short[1] == 1
 
 
+def test_spaced_accounts_end_at_their_countrys_length(spark):
+    cases = {
+        "AT61 1904 3002 3457 3201": ["TO PAY", "2024", "BIC x", "BE68 5390 0754 7034", "A", "NOW PAY 2024 ABCD"],
+        "BE68 5390 0754 7034": ["2024 was", "BIC x", "AT61 1904 3002 3457 3201"],
+        "PL61 1090 1014 0000 0712 1981 2874": ["OK", "2024"],
+        "ES91 2100 0418 4502 0005 1332": ["Y", "2024"],
+        "DE89 3704 0044 0532 0130 00": ["AB", "2024"],
+        "FR14 2004 1010 0505 0001 3M02 606": ["2024"],
+    }
+    pairs = [(account, after) for account, more in cases.items() for after in more]
+    for (account, after), (text, n) in zip(pairs, rewritten(spark, [f"{a} {b}" for a, b in pairs]), strict=True):
+        new, rest = text[: len(account)], text[len(account) :]
+        assert new != account and [len(g) for g in new.split(" ")] == [len(g) for g in account.split(" ")], account
+        both = after.replace(" ", "").isalnum() and len(after) > 18 and after[2].isdigit()
+        assert (n == 2 and rest != f" {after}") if both else (n == 1 and rest == f" {after}"), (account, after)
+        flat = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
 def test_pseudonyms_of_odd_rows(odd, none):
     out = pseudonyms.pseudonymise(odd)
     assert out.columns == odd.columns and Counter(out.collect()) == Counter(odd.collect())
