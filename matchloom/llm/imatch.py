@@ -8,8 +8,13 @@ each level of a chain a part of the level above), and the hash of what it keeps,
 the fingerprint. Coarse levels speak for short texts, fine levels for long ones. The likeness
 of two fingerprints is the share of equal parts among those that are not empty in both.
 
-The band bounds the lexicon: at most (mean distinct terms of a text) / RARE terms. It is broadcast
-when its counted size is at most ``BROADCAST`` terms, else joined by a shuffle.
+Where a large group of copies or near copies shares its words, these are above the band. A text with
+fewer than ``LEAST`` of its known terms (band or above) in the band is therefore given its own rarest
+terms above it, up to that share, so that its parts speak for the whole text at any size of the group.
+
+The band's lower end bounds the lexicon: at most (mean distinct terms of a text) / RARE terms, and those
+above it are at most (mean distinct terms) / COMMON. All are broadcast when their counted size is at
+most ``BROADCAST`` terms; else those above the band are broadcast and the band is joined by a shuffle.
 
 Defined results: null counts as empty text. A text of whose terms no lexicon keeps any has parts from the
 hash of its whole text, so only equal texts are alike. Rows that repeat an id and a text
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import Workspace
 
 RARE, COMMON = 1 / 2000, 1 / 200
+#: The share of a text's known terms that its fingerprint is made of at least.
+LEAST = 1 / 4
 CHAINS, LEVELS = 16, 5
 #: The first level of a chain keeps one term in 2**FIRST_BITS, each later one half of the level above.
 FIRST_BITS = 3
@@ -107,11 +114,22 @@ def successors(texts: DataFrame, work: Workspace) -> DataFrame:
 
 
 def lexicon(texts: DataFrame, text: str, work: Workspace) -> DataFrame:
-    """(term, df) of the band, from the document frequencies in all texts."""
+    """(term, df, common) of the band and, as ``common``, above it, from the document frequencies in all texts."""
     n = texts.count()
     words = texts.select(F.explode(F.array_distinct(split_words(F.col(text)))).alias("word")).where("word <> ''")
     often = words.select(F.xxhash64("word").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return work.keep(often.where((F.col("df") >= max(2.0, n * RARE)) & (F.col("df") <= max(4.0, n * COMMON))), "lexicon")
+    return work.keep(often.where(F.col("df") >= max(2.0, n * RARE)).withColumn("common", F.col("df") > max(4.0, n * COMMON)), "lexicon")
+
+
+def chosen(band: Column, common: Column) -> Column:
+    """Sorted terms of a text: those of the band and, where they are too few, its rarest above it."""
+
+    def body(v):
+        wanted = F.ceil((F.size(v["band"]) + F.size(v["common"])) * F.lit(LEAST)).cast("int")
+        more = F.slice(v["common"], F.lit(1), F.greatest(F.lit(0), wanted - F.size(v["band"])))
+        return F.when(F.size(v["band"]) >= wanted, v["band"]).otherwise(F.array_sort(F.concat(v["band"], F.transform(more, lambda c: F.xxhash64(c)))))
+
+    return let(F.struct(band.alias("band"), common.alias("common")), body)
 
 
 def fingerprints(rows: DataFrame, lex: DataFrame, small: bool) -> DataFrame:
@@ -121,10 +139,20 @@ def fingerprints(rows: DataFrame, lex: DataFrame, small: bool) -> DataFrame:
     words = texts.select("k", "th", "kind", "sha", "eh", F.explode(split_words(F.col("t"))).alias("word")).where("word <> ''")
     about = (F.col("word") == SELF) & (F.col("kind") == 0)
     flat = words.select("k", "th", "kind", F.xxhash64("word").alias("term"), F.when(about, F.col("sha")).alias("sha"), F.when(about, F.col("eh")).alias("eh"))
-    known = lex.select("term").union(lex.sparkSession.range(1).select(F.xxhash64(F.lit(SELF)).alias("term")))
-    joined = flat.join(F.broadcast(known) if small else known, "term")
-    some = lambda k: F.array_sort(F.array_distinct(F.collect_list(F.when((F.col("kind") == k) & (F.col("term") != F.xxhash64(F.lit(SELF))), F.col("term")))))
-    grouped = joined.groupBy("k", "th").agg(some(0).alias("own"), some(1).alias("edited"), F.max("sha").alias("sha"), F.max("eh").alias("eh"))
+    # A term above the band as one number: its document frequency, then half of its hash. 0 in the band.
+    rank = F.when(F.col("common"), F.shiftleft(F.least(F.col("df"), F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("term").bitwiseAND(F.lit((1 << 32) - 1)))).otherwise(F.lit(0).cast("long"))
+    known = lex.select("term", rank.alias("rank"))
+    self = lex.sparkSession.range(1).select(F.xxhash64(F.lit(SELF)).alias("term"), F.lit(-1).cast("long").alias("rank"))
+    if small:
+        joined = flat.join(F.broadcast(known.union(self)), "term")
+    else:
+        above = F.broadcast(known.where("rank > 0").union(self))
+        joined = flat.join(above, "term").unionByName(flat.join(above, "term", "left_anti").join(known.where("rank = 0"), "term"))
+    some = lambda k, of, value: F.array_sort(F.array_distinct(F.collect_list(F.when((F.col("kind") == k) & of, F.col(value)))))
+    band, above = F.col("rank") == 0, F.col("rank") > 0
+    terms = [some(k, of, value).alias(f"{name}{k}") for k in (0, 1) for name, of, value in (("band", band, "term"), ("common", above, "rank"))]
+    grouped = joined.groupBy("k", "th").agg(*terms, F.max("sha").alias("sha"), F.max("eh").alias("eh"))
+    grouped = grouped.select("k", "th", "sha", "eh", chosen(F.col("band0"), F.col("common0")).alias("own"), chosen(F.col("band1"), F.col("common1")).alias("edited"))
     return grouped.select("k", "th", "sha", parts(F.col("own"), F.col("th")).alias("own"), parts(F.col("edited"), F.col("eh")).alias("edited"))
 
 

@@ -135,6 +135,25 @@ def test_imatch_of_odd_rows(spark):
     assert one[0].near_next == 1 and imatch.compare_with_edits(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [imatch.BROADCAST, 0])
+def test_imatch_of_a_large_group_of_near_copies(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(imatch, "BROADCAST", broadcast)
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(4000)]
+    text = rng.choice(words, 240).tolist()
+    docs = [(i, " ".join(rng.choice(words, 240))) for i in range(200)]
+    for i in range(100):  # a third of the rows: one word is changed in each
+        near = list(text)
+        near[rng.integers(240)] = f"x{i}"
+        docs.append((1000 + i, " ".join(near)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in imatch.compare_with_edits(df).collect()}
+    inside = [rows[1000 + i] for i in range(99)]
+    assert np.median([r.near_next for r in inside]) > 0.7 and min(r.near_next for r in inside) > 0.3
+    assert np.mean([r.near_edited > 0 for r in inside]) > 0.9
+    assert np.median([rows[i].near_next for i in range(199)]) < 0.05
+
+
 # ---------------------------------------------------------------- 8 nearest neighbours
 
 
