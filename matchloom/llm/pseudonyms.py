@@ -23,16 +23,33 @@ email    local part, @, domain with a dot               letters and digits of th
 secret   32 hexadecimal digits or more                  the hexadecimal digits
 
 What doesn't validate stays as it is. Defined results: null and empty texts stay as they are; a text
-without a digit or @ isn't searched further; very long texts are handled whole.
+without a digit or @ isn't searched further; very long texts, and very long numbers, addresses and
+domains in them, are handled whole, in time linear in their length.
+
+The key is the caller's and is never part of this library: who knows it can turn pseudonyms back.
+``key_of`` takes it from the session's settings; a session without one gets a random key, so that its
+pseudonyms link to each other but to those of no other session.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-DEFAULT_KEY = "matchloom-example-key"
+#: Where the key is looked for: a setting of the session, then a variable of the environment.
+KEY_SETTING, KEY_VARIABLE = "spark.matchloom.pseudonym.key", "MATCHLOOM_PSEUDONYM_KEY"
+_SESSION_KEYS: dict[str, str] = {}
+
+
+def key_of(spark: SparkSession) -> str:
+    """The configured key, or one random key for each application."""
+    configured = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE)
+    return configured or _SESSION_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
 
 #: The patterns of the kinds, in order of precedence.
 EDGE, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -54,7 +71,7 @@ def _spaced(length: int, countries: str) -> str:
 
 
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)++",
     "secret": EDGE + r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})" + END,
     "iban": EDGE + r"(?:(?=[A-Z]{2}\d{2} )(?:" + "|".join(_spaced(n, c) for n, c in ACCOUNTS.items()) + ")" + END + r"|[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?))" + END,
     "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+?\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|\+\d{1,3} ?\(0\) ?\d(?:[ /.-]?\d){4,11}|\+\d(?:[ /-]?\d){7,14}|\+\d(?:\.?\d){7,14})(?![\p{L}\p{N}]|[.-]\d)",
@@ -87,7 +104,8 @@ def feistel(digits: Column, radices: Column, key: Column, inverse: bool = False)
 
     def shifted(half, radix, other, form, i):
         seed = F.sha2(F.concat_ws("|", key, form, i.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ",")), 256)
-        moved = F.zip_with(half, F.transform(radix, lambda r, p: F.pmod(F.xxhash64(seed, p), r)), lambda x, m: x + sign * m)
+        # The hash of the other half is made once, not for each digit.
+        moved = let(seed, lambda s: F.zip_with(half, F.transform(radix, lambda r, p: F.pmod(F.xxhash64(s, p), r)), lambda x, m: x + sign * m))
         return F.zip_with(moved, radix, lambda x, r: F.pmod(x, r))
 
     def network(v):
@@ -143,12 +161,7 @@ def spread(value: Column, alphabets: list[str], key: Column) -> Column:
 
 def refill(value: Column, pattern: str, new: Column) -> Column:
     """``value`` with its characters of a class replaced, in order, by the strings of ``new``."""
-
-    def body(v):
-        seen = lambda i: F.size(F.filter(F.slice(v["c"], F.lit(1), i + 1), lambda x: x.rlike(pattern)))
-        return F.array_join(F.transform(v["c"], lambda c, i: F.when(c.rlike(pattern), F.get(v["n"], seen(i) - 1)).otherwise(c)), "")
-
-    return let(F.struct(chars(value).alias("c"), new.alias("n")), body)
+    return F.array_join(F.flatten(F.zip_with(F.split(value, pattern, -1), new, lambda gap, c: F.array(gap, F.coalesce(c, F.lit(""))))), "")
 
 
 def digits_of(value: Column) -> Column:
@@ -265,9 +278,11 @@ def pseudonym(m: Column, key: Column) -> Column:
     )
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = DEFAULT_KEY, found: str | None = None) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """``df`` with the column ``text`` rewritten; ``found`` names a column for the number of values
     replaced. Map-side only: no shuffle, no Python."""
+    if not key:
+        raise ValueError("a key is needed")
     column, secret_key = F.col(f"`{text}`"), F.lit(key)
     matches = F.regexp_extract_all(column, F.lit(ANY), F.lit(0))
     pairs = F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(m, secret_key).alias("new")))

@@ -12,7 +12,7 @@ from matchloom.llm.common import table
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal numbers, dates and addresses replaced by pseudonyms."""
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), found="n_replaced")
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), pseudonyms.key_of(spark), found="n_replaced")
 
 
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,7 +183,7 @@ def test_scores(spark, small):
 
 def rewritten(spark, texts, **more):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    return [(r.text, r.n) for r in pseudonyms.pseudonymise(df, found="n", **more).orderBy("i").collect()]
+    return [(r.text, r.n) for r in pseudonyms.pseudonymise(df, **{"key": "a key", "found": "n"} | more).orderBy("i").collect()]
 
 
 def test_feistel_permutes_and_inverts(spark):
@@ -266,9 +266,9 @@ def test_spaced_accounts_end_at_their_countrys_length(spark):
 
 
 def test_pseudonyms_of_odd_rows(odd, none):
-    out = pseudonyms.pseudonymise(odd)
+    out = pseudonyms.pseudonymise(odd, "k")
     assert out.columns == odd.columns and Counter(out.collect()) == Counter(odd.collect())
-    assert pseudonyms.pseudonymise(none).count() == 0
+    assert pseudonyms.pseudonymise(none, "k").count() == 0
 
 
 # ---------------------------------------------------------------- 4 chat
