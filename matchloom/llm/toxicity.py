@@ -1,14 +1,18 @@
 """Toxicity scores from a learned lexicon, matched by Levenshtein automata.
 
-1. Lexicon. From labelled training texts (at most ``MAX_LABELLED``, taken by hash), words and word
-   stems of 4 to 6 letters are kept whose likelihood ratio speaks for label 1; a given base list is
-   added. Counting is a Spark aggregation; at most ``MAX_TERMS`` terms reach the driver.
+1. Lexicon. From labelled training texts (at most ``MAX_LABELLED``, taken by hash), words of any length and
+   script and word stems of 4 to 6 letters are kept whose likelihood ratio speaks for label 1; a given
+   base list is added. In scripts without blanks between words, all runs of 2 to 4 letters stand for
+   words. Every term that passes the tests is kept: each is in ``LEAST_TEXTS`` of the sampled
+   texts at least, which bounds their number by the sample.
 2. Matching. The terms form a trie. The automaton that runs over a word is the trie intersected with
    Levenshtein automata: its states are sets of (trie node, edits so far), made when first met and kept in a
-   transition table, so that all words of a block step through it together. Words of FUZZY letters or
-   more match within one edit, shorter words and stems exactly.
-3. Context. A match between quotation marks, or with a word of reporting in the window before it, counts
-   as quotation; one with a second-person word in its window counts as address; all others as plain use.
+   transition table, so that all words of a block step through it together; the table is emptied between
+   blocks when it has grown large. Words of FUZZY letters or more match within one edit, shorter
+   words and stems exactly. Letters of all scripts have classes of their own where the lexicon uses them.
+3. Context. A match between a pair of quotation marks at most ``QUOTE_SPAN`` apart, or with a word of reporting
+   in the window before it, counts as quotation; one with a second-person word in its window counts as
+   address; all others as plain use. A mark without a partner quotes nothing.
 4. Score. A logistic model over sums of term weights by kind of match and context, fitted on
    the same labelled texts with a ridge towards prior weights, so that few labels change little.
 
@@ -19,6 +23,8 @@ that are null, or of ids without a text, are ignored; without any labels the pri
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +35,23 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import tidy
 
 MAX_LABELLED = 10_000
-MAX_TERMS = 800
 FUZZY = 5
-WINDOW = 40
+WINDOW, QUOTE_SPAN = 40, 400
 STEMS = (4, 5, 6)
+#: Lengths of the runs that stand for words where a script has no blanks.
+RUNS = (2, 3, 4)
 #: A term's least likelihood-ratio statistic, log odds and number of toxic texts.
 LEAST_G, LEAST_ODDS, LEAST_TEXTS = 15.0, 3.0, 4
+#: Cells of the transition table from which it is emptied before the next block.
+TABLE = 1 << 22
 #: The base list of terms, words that report speech, words that address someone.
 BASE_TERMS = ["idiot", "moron", "stupid", "loser", "clown", "trash", "scum", "worthless", "pathetic", "disgusting"]
-REPORTING = ["said", "says", "wrote", "called", "quote", "quoted", "quoting", "reported", "claimed"]
-ADDRESS = ["you", "your", "youre", "you're"]
+REPORTING = ["said", "says", "wrote", "called", "quote", "quoted", "quoting", "reported", "claimed", "dit", "écrit", "disait", "sagte", "schrieb", "nannte", "dijo", "dice", "escribió"]
+ADDRESS = ["you", "your", "youre", "you're", "tu", "toi", "vous", "votre", "du", "dich", "dein", "ihr", "tú", "usted", "vosotros"]
 QUOTES = '"“”„«»'
+#: Scripts that are written without blanks between words.
+DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+DENSE_RANGES = [(0x0E01, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 FEATURES = ("bias", "plain", "quoted", "fuzzy", "fuzzy_quoted", "address", "density")
 PRIOR = np.array([-3.0, 2.0, 0.3, 1.0, 0.1, 0.5, 0.5])
 RIDGE = np.array([0.01, 0.5, 2.0, 2.0, 2.0, 2.0, 0.5])
@@ -47,49 +59,60 @@ RIDGE = np.array([0.01, 0.5, 2.0, 2.0, 2.0, 2.0, 0.5])
 DEAD = 0
 
 
+@functools.cache
+def letters_of_words() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point whether it is part of a word, and whether its script has no blanks."""
+    solid = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), bool, 0x110000)
+    dense = np.zeros(0x110000, bool)
+    for low, high in DENSE_RANGES:
+        dense[low : high + 1] = True
+    return solid, dense & solid
+
+
 class Lexicon:
     """Terms (word or stem, with a weight) as an automaton that is determinised as words need it."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
-        # Letters beyond the table of classes are all one; terms with such letters can't be told apart.
-        words, stems = ({t: w for t, w in x.items() if all(ord(c) < 0x250 for c in t)} for x in (words, stems))
-        letters = sorted(set("".join([*words, *stems])))
+        solid, self.dense = letters_of_words()
+        letters = {c: i + 1 for i, c in enumerate(sorted(set("".join([*words, *stems]))))}
         self.other = len(letters) + 1
         #: Character classes: 0 separates words, then the lexicon's letters, then all other letters.
-        self.classes = np.zeros(0x250, np.int16)
-        for cp in range(0x250):
-            if chr(cp).isalnum():
-                self.classes[cp] = self.other
-        for i, c in enumerate(letters):
-            self.classes[ord(c)] = i + 1
+        self.classes = np.where(solid, self.other, 0).astype(np.int32)
+        for c, k in letters.items():
+            self.classes[ord(c)] = k
         self.children: list[dict[int, int]] = [{}]
         self.word_at: list[float] = [0.0]
         self.stem_at: list[float] = [0.0]
         self.slack: list[int] = [0]
+        self.long_word: list[bool] = [False]
         for terms, at in ((words, self.word_at), (stems, self.stem_at)):
             for term, weight in terms.items():
                 node = 0
                 path = [0]
                 for c in term:
-                    k = letters.index(c) + 1
+                    k = letters[c]
                     if k not in self.children[node]:
                         self.children[node][k] = len(self.children)
                         self.children.append({})
-                        self.word_at.append(0.0), self.stem_at.append(0.0), self.slack.append(0)
+                        self.word_at.append(0.0), self.stem_at.append(0.0), self.slack.append(0), self.long_word.append(False)
                     node = self.children[node][k]
                     path.append(node)
                 at[node] = max(at[node], weight)
                 if terms is words and len(term) >= FUZZY:
+                    self.long_word[node] = True
                     for n in path:  # an edit is worth following only towards a word long enough
                         self.slack[n] = 1
-        self.long_word = [False] * len(self.children)
-        for term in words:
-            if len(term) >= FUZZY:
-                node = 0
-                for c in term:
-                    node = self.children[node][letters.index(c) + 1]
-                self.long_word[node] = True
+        self.empty()
+
+    def __getstate__(self):
+        return self.words, self.stems  # the automaton is made anew where it is used
+
+    def __setstate__(self, terms):
+        self.__init__(*terms)
+
+    def empty(self) -> None:
+        """Forget all states but the first two; they are made again when met."""
         self.ids: dict[frozenset, int] = {frozenset(): DEAD}
         self.sets: list[frozenset] = [frozenset()]
         self.next = np.full((1024, self.other + 1), -1, np.int32)
@@ -132,11 +155,18 @@ class Lexicon:
                 out.update((c, 1) for k, c in self.children[node].items() if k != letter and self.slack[c])
         return self._state(self._closure(out))
 
-    def match(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def match(self, classes: np.ndarray, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of all words, and for each its weight as an exact word or stem, and as a near one;
-        ``classes`` ends with a 0."""
+        ``classes`` ends with a 0. Every letter marked ``dense`` may begin a word."""
+        if len(self.sets) * (self.other + 1) > TABLE:
+            self.empty()
         solid = classes > 0
-        starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        if dense is not None:
+            first |= dense
+            first[1:] |= solid[1:] & dense[:-1]
+        starts = np.flatnonzero(first)
         hit, near = np.zeros(len(starts)), np.zeros(len(starts))
         live, at = np.arange(len(starts)), starts.copy()
         state = np.full(len(starts), self.start, np.int32)
@@ -187,15 +217,14 @@ def _block(lowered: list[str], lexicon: Lexicon) -> np.ndarray:
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(points):
         return np.zeros((len(lowered), len(FEATURES) - 1))
-    classes = np.where(points < 0x250, lexicon.classes[np.minimum(points, 0x24F)], lexicon.other)
-    starts, hit, near = lexicon.match(classes)
+    points = np.minimum(points, 0x10FFFF)
+    dense = lexicon.dense[points]
+    starts, hit, near = lexicon.match(lexicon.classes[points], dense if dense.any() else None)
     begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in lowered])])
     found = np.flatnonzero((hit > 0) | (near > 0))
     at = starts[found]
     row = np.searchsorted(begin, at, "right") - 1
-    marks = np.flatnonzero(np.isin(points, [ord(c) for c in QUOTES]))
-    before = np.searchsorted(marks, at)
-    inside = (before - np.searchsorted(marks, begin[row])) % 2 == 1
+    inside = _quoted(joined, points, begin, at, row)
     reported, addressed = np.zeros(len(found), bool), np.zeros(len(found), bool)
     for i, (p, r) in enumerate(zip(at.tolist(), row.tolist(), strict=True)):
         ahead = joined[max(int(begin[r]), p - WINDOW) : p].split()
@@ -215,12 +244,39 @@ def _block(lowered: list[str], lexicon: Lexicon) -> np.ndarray:
 _REPORTING, _ADDRESS = frozenset(REPORTING), frozenset(ADDRESS)
 
 
+def _quoted(joined: str, points: np.ndarray, begin: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` (of texts ``row``) stand between two marks that belong together: the first
+    doesn't follow a letter or digit, the second follows no blank, and they are at most QUOTE_SPAN apart."""
+    out = np.zeros(len(at), bool)
+    marks = np.flatnonzero(np.isin(points, _QUOTES))
+    if not len(marks):
+        return out
+    for r in np.unique(row):
+        mine = marks[np.searchsorted(marks, begin[r]) : np.searchsorted(marks, begin[r + 1])].tolist()
+        opens, closes, i = [], [], 0
+        while i + 1 < len(mine):
+            a, b = mine[i], mine[i + 1]
+            if b - a <= QUOTE_SPAN and not (a > begin[r] and joined[a - 1].isalnum()) and not joined[b - 1].isspace():
+                opens.append(a), closes.append(b)
+                i += 1
+            i += 1
+        if opens:
+            here = np.flatnonzero(row == r)
+            k = np.searchsorted(opens, at[here]) - 1
+            out[here] = (k >= 0) & (at[here] < np.array(closes)[np.maximum(k, 0)])
+    return out
+
+
+_QUOTES = np.array([ord(c) for c in QUOTES], np.uint32)
+
+
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """From rows (text, toxic): the terms whose presence speaks for label 1."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
-    words = F.filter(words, lambda w: F.length(w).between(4, 40))
+    lowered = F.lower(F.coalesce("text", F.lit("")))
+    words = F.array_distinct(F.regexp_extract_all(lowered, F.lit(rf"[\p{{L}}\p{{M}}&&[^{DENSE}]]+"), F.lit(0)))
     stems = F.array_distinct(F.concat(*[F.transform(words, _stem(n)) for n in STEMS]))
-    each = F.concat(words, F.filter(stems, lambda s: s.isNotNull()))
+    runs = F.array_distinct(F.concat(*[F.transform(F.regexp_extract_all(lowered, F.lit(rf"(?=([{DENSE}]{{{n}}}))"), F.lit(1)), lambda r: F.concat(r, F.lit("*"))) for n in RUNS]))
+    each = F.concat(words, F.filter(stems, lambda s: s.isNotNull()), runs)
     size = rows.agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).first()
     pos, neg = float(size["p"] or 0), float(size["n"] or 0)
     if not pos or not neg:
@@ -230,13 +286,13 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     part = lambda x, share: F.when(x > 0, x * F.log(x / (t * share))).otherwise(0.0)
     g = 2 * (part(a, pos / (pos + neg)) + part(b, neg / (pos + neg)))
     odds = F.log(((a + 0.5) / (pos + 1)) / ((b + 0.5) / (neg + 1)))
-    best = counts.select("term", odds.alias("odds"), g.alias("g")).where((F.col("g") >= LEAST_G) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.col("g").desc(), "term").limit(MAX_TERMS).collect()
+    best = counts.select("term", odds.alias("odds"), g.alias("g")).where((F.col("g") >= LEAST_G) & (F.col("odds") >= LEAST_ODDS)).collect()
     words_, stems_ = dict.fromkeys(BASE_TERMS, 1.0), {}
     for r in sorted(best, key=lambda r: (len(r["term"]), r["term"])):
         weight = min(1.0, r["odds"] / 5.0)
         if r["term"].endswith("*"):
             stem = r["term"][:-1]
-            if not any(stem.startswith(s) for s in stems_):
+            if not any(stem[:k] in stems_ for k in range(1, len(stem))):
                 stems_[stem] = weight
         else:
             words_[r["term"]] = max(weight, words_.get(r["term"], 0.0))
