@@ -158,6 +158,7 @@ def test_imatch_of_a_large_group_of_near_copies(spark, monkeypatch, broadcast):
 
 
 def plain_nearest(ids, x, k=5):
+    x = x / np.abs(x).max(axis=1)[:, None]
     length = np.linalg.norm(x, axis=1)
     out = {}
     for i in np.flatnonzero(ids % 50 == 0):
@@ -191,6 +192,32 @@ def test_recall_over_shards(spark, monkeypatch):
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 1950] == [1000, 1001, 1002, 1003, 1004]
 
 
+@pytest.mark.parametrize("query_rows", [vamana.QUERY_ROWS, 7])
+def test_extreme_magnitudes_and_many_queries(spark, monkeypatch, query_rows):
+    monkeypatch.setattr(vamana, "QUERY_ROWS", query_rows)  # 7: the queries of a shard in several tasks
+    monkeypatch.setattr(vamana, "SHARD", 400)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 8)) * (10.0 ** rng.choice([-300, -200, 0, 200, 300], 1200))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vamana.nearest(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0).collect()
+    truth = plain_nearest(np.arange(1200), x)
+    assert len(got) == 5 * len(truth)
+    hits = [r for r in got if r.vec_id in dict(truth[r.query_id])]
+    assert len(hits) >= 0.9 * len(got)
+    assert all(r.score == pytest.approx(dict(truth[r.query_id])[r.vec_id], abs=1e-12) for r in hits)
+
+
+def test_groups_of_jittered_copies(spark, monkeypatch):
+    monkeypatch.setattr(vamana, "SHARD", 300)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 16))
+    x[::3] = x[0] * rng.uniform(0.5, 2, (500, 1)) + rng.normal(size=(500, 16)) * 1e-4  # a third: one direction, scaled and moved a little
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vamana.nearest(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0).collect()
+    truth = plain_nearest(np.arange(1500), x)
+    assert sum(r.vec_id in dict(truth[r.query_id]) for r in got) >= 0.9 * len(got)
+
+
 def test_vectors_that_take_no_part(spark):
     data = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, []), (6, [1.0, 1.0]), (7, [float("inf"), 0.0]), (None, [1.0, 0.0]), (100, [0.0, 0.0]), (8, [1.0])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
