@@ -1,13 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts tokens over all training texts in three passes: words; pairs of frequent words;
-triples both of whose pairs were kept. A pair or triple is kept when it makes up at least
-``NGRAM_SHARE`` of all training tokens, so at most 1 / NGRAM_SHARE of each order exist whatever the
-input: that bounds the filter that is broadcast. The filter holds, for an n-gram of count c, the
-keys (n-gram, 1) ... (n-gram, q) of its quantised log count q; a reader probes q = 1, 2, ... until
-a probe misses. Probabilities are Jelinek-Mercer mixtures of the quantised relative frequencies
-with the smoothed word probability (c + 0.5) / (N + 0.5 (V + 1)); the mixture weights come from
-EM over a histogram of likelihood ratios gathered from every training token.
+Training counts all words, and all pairs and triples of adjacent tokens, over all training texts. Every
+word, pair or triple that occurs ``LEAST`` times is kept, whatever the size of the input. The filter
+holds, for a key of count c, the entries (key, 1) ... (key, q) of its quantised log count q; a reader
+probes q = 1, 2, ... until a probe misses. Probabilities are Jelinek-Mercer mixtures of the quantised
+relative frequencies with the smoothed word probability (c + 0.5) / (N + 0.5 (V + 1)); the mixture
+weights come from EM over a histogram of likelihood ratios gathered from every training token, each
+with its own text's occurrence left out.
+
+The filter is made of segments by key hash, built where the counts are and stored as a table, so no key
+reaches the driver. At most ``FILTER_BYTES`` of segments are broadcast at once. A filter of that size takes one
+pass; a larger one takes a pass over the texts for each part, which adds the levels found to a column of
+three bytes a token. So broadcasts are bounded and nothing is dropped, at the cost of passes whose number
+grows with the keys kept.
 
 Exact word counts come from a broadcast of the words that make up HEAD_SHARE of the tokens or more
 (at most 1 / HEAD_SHARE words) and, for all other words, from a shuffled join on the word's hash.
@@ -29,11 +34,12 @@ from matchloom.llm.common import U64, HashIndex, Tally, Workspace, block_words,
 
 #: Words from this share of the training tokens on have their exact counts broadcast.
 HEAD_SHARE = 2.0**-21
-#: Words from this share on take part in n-grams; n-grams from the second share on are kept.
-CONTEXT_SHARE = 2.0**-17
-NGRAM_SHARE = 2.0**-22
+#: Occurrences from which a word, pair or triple is kept.
+LEAST = 2
 #: Base of the quantisation of counts, bits of the filter for each key, bits set by a key.
 BASE, BITS_PER_KEY, BITS_SET = 1.5, 16, 4
+#: Training tokens for each segment of the filter; bytes of segments that are broadcast at once.
+SEGMENT_TOKENS, FILTER_BYTES = 1 << 18, 96 << 20
 #: Bins of log10 likelihood ratios for EM.
 BINS, LOWEST, STEP = 64, -6.0, 0.25
 
@@ -61,41 +67,68 @@ def triple_keys(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix64(pair_keys(a, b) * U64(0xD6E8FEB86659FD93) + mix64(c + U64(3)))
 
 
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return ((keys >> U64(33)) % U64(segments)).astype(np.int64)
+
+
+def segment_column(key: str, segments: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(F.col(key), 33), F.lit(segments)).cast("int")
+
+
+def levels_of_counts(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(counts / LEAST) / np.log(BASE) + 1e-9).astype(np.int64)
+
+
+def least_of_level(levels: np.ndarray) -> np.ndarray:
+    """The least count of a level."""
+    return LEAST * BASE ** (levels - 1.0)
+
+
+def _mask(keys: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where an entry belongs (before it is taken modulo a size), and its bits of a 64-bit word."""
+    h = mix64(keys + U64((q * 0xA0761D6478BD642F) & (2**64 - 1)))
+    mask = np.zeros(len(h), U64)
+    for i in range(BITS_SET):
+        mask |= U64(1) << ((h >> U64(6 * i)) & U64(63))
+    return h >> U64(24), mask
+
+
+def build_segment(keys: np.ndarray, counts: np.ndarray, bits: int = BITS_PER_KEY) -> tuple[np.ndarray, int]:
+    """The words (64 bits) of a segment, and its highest level."""
+    level = levels_of_counts(counts)
+    words = np.zeros(max(1, int(level.sum()) * bits // 64), U64)
+    top = int(level.max(initial=0))
+    with np.errstate(over="ignore"):
+        for q in range(1, top + 1):
+            at, mask = _mask(keys[level >= q], q)
+            np.bitwise_or.at(words, (at % U64(len(words))).astype(np.int64), mask)
+    return words, top
+
+
 class LogBloom:
-    """Quantised counts in a Bloom filter whose keys each set bits of one 64-bit word."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, least: float):
-        self.least = max(1.0, least)
-        level = 1 + np.floor(np.log(np.maximum(counts / self.least, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
-        self.top = int(level.max(initial=0))
-        self.size = max(1, int(level.sum()) * BITS_PER_KEY // 64)
-        self.words = np.zeros(self.size, U64)
-        for q in range(1, self.top + 1):
-            word, mask = self._place(keys[level >= q], q)
-            np.bitwise_or.at(self.words, word, mask)
+    """Quantised counts of the keys of some segments (``first``, ...) out of ``segments``."""
 
-    def _place(self, keys: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-        h = mix64(keys + U64((q * 0xA0761D6478BD642F) & (2**64 - 1)))
-        mask = np.zeros(len(h), U64)
-        for i in range(BITS_SET):
-            mask |= U64(1) << ((h >> U64(6 * i)) & U64(63))
-        return ((h >> U64(24)) % U64(self.size)).astype(np.int64), mask
+    def __init__(self, first: int, segments: int, parts: list[bytes], top: int):
+        self.first, self.segments, self.top = first, segments, top
+        self.sizes = np.array([len(p) // 8 for p in parts], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.words = np.frombuffer(b"".join(parts), U64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, 0 where it is absent: probes go on while they hit."""
-        out = np.zeros(len(keys), np.int32)
-        live = np.arange(len(keys))
+        """The level of each key; 0 where it is absent or of another part. Probes go on while they hit."""
+        out = np.zeros(len(keys), np.uint8)
+        part = segment_of(keys, self.segments) - self.first
+        live = np.flatnonzero((part >= 0) & (part < len(self.sizes)))
+        offset, size = self.offsets[part[live]], self.sizes[part[live]].astype(U64)
         for q in range(1, self.top + 1):
             if not len(live):
                 break
-            word, mask = self._place(keys[live], q)
-            live = live[(self.words[word] & mask) == mask]
+            at, mask = _mask(keys[live], q)
+            hit = (self.words[offset + (at % size).astype(np.int64)] & mask) == mask
+            live, offset, size = live[hit], offset[hit], size[hit]
             out[live] = q
         return out
 
-    def lower(self, levels: np.ndarray) -> np.ndarray:
-        return self.least * BASE ** (levels - 1.0)
-
 
 class Model:
     """What the workers need to score: word counts of the head, filter, weights."""
@@ -119,29 +152,23 @@ class Model:
         at = self.index.find(hashes)
         return np.where(at >= 0, self.head_counts[np.maximum(at, 0)], 0) if len(self.head_counts) else np.zeros(len(at), np.int64)
 
-    def context(self, counts: np.ndarray) -> np.ndarray:
-        return counts >= max(2.0, self.total * CONTEXT_SHARE)
-
     def word_probability(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.total + 0.5 * (self.types + 1))
 
 
-def pairs_of(h: np.ndarray, bounds: np.ndarray, eligible: np.ndarray) -> np.ndarray:
-    """Places i such that tokens i-1 and i are of one text and both are frequent words."""
-    ok = eligible.copy()
-    ok[1:] &= eligible[:-1]
-    ok[bounds[:-1]] = False
-    return np.flatnonzero(ok)
-
+def grams(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of all pairs and triples of tokens of one text, each with the place at which it ends."""
+    inside = np.ones(len(h), bool)
+    inside[bounds[:-1][bounds[:-1] < len(h)]] = False
+    two = np.flatnonzero(inside)
+    both = inside.copy()
+    both[1:] &= inside[:-1]
+    three = np.flatnonzero(both)
+    return two, pair_keys(h[two - 1], h[two]), three, triple_keys(h[three - 2], h[three - 1], h[three])
 
-def triples_of(pair_at: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """Places i at which a kept pair ends right after another kept pair."""
-    at = pair_at[good]
-    return at[1:][np.diff(at) == 1] if len(at) else at
 
-
-def _counted(df: DataFrame, keys_of) -> DataFrame:
-    """(key, n) over all texts, counted within each task before the shuffle."""
+def _tallied(df: DataFrame, keys_of) -> DataFrame:
+    """(key, n) over all texts, counted within each task; a key may have several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
@@ -157,7 +184,11 @@ def _counted(df: DataFrame, keys_of) -> DataFrame:
                         yield rows()
         yield rows()
 
-    return df.mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(tidy(run), "key long, n long")
+
+
+def _counted(df: DataFrame, keys_of) -> DataFrame:
+    return _tallied(df, keys_of).groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -166,38 +197,43 @@ def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["key"].to_numpy().view(U64), got["n"].to_numpy()
 
 
-def _components(model: Model, h: np.ndarray, bounds: np.ndarray, own: int = 0):
-    """For each token: count, and the pair and triple estimates with the class of what is known of
-    its history (0: nothing, 1: a frequent word, 2: a kept pair). ``own`` is what the text itself
-    adds to each count: 1 for a training text, which is left out of its own estimates."""
-    counts = model.counts(h)
+def token_levels(model: Model, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(3, tokens): levels of each token (0 for a head word), of the pair and of the triple that end at it."""
+    out = np.zeros((3, len(h)), np.uint8)
+    if model.filter is not None and len(h):
+        rare = np.flatnonzero(model.counts(h) == 0)
+        out[0, rare] = model.filter.levels(h[rare])
+        two, pairs, three, triples = grams(h, bounds)
+        out[1, two] = model.filter.levels(pairs)
+        out[2, three] = model.filter.levels(triples)
+    return out
+
+
+def _components(model: Model, h: np.ndarray, bounds: np.ndarray, levels: np.ndarray, own: int = 0):
+    """For each token: exact count (0 beyond the head), its best known count, the pair and triple estimates,
+    and the class of what is known of its history (0: nothing, 1: a kept word, 2: a kept pair). ``own`` is
+    what the text itself adds to each count: 1 for a training text, which is left out of its own estimates."""
+    exact = model.counts(h)
     n = len(h)
     p2, p3, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int8)
-    if model.filter is None or not n:
-        return counts, p2, p3, known
-    eligible = model.context(counts)
-    after = np.zeros(n, bool)
-    after[1:] = eligible[:-1]
-    after[bounds[:-1]] = False
-    known[after] = 1
-    at = pairs_of(h, bounds, eligible)
-    f = model.filter
-    level = f.levels(pair_keys(h[at - 1], h[at]))
-    kept = level > 0
-    p2[at[kept]] = np.clip((f.lower(level[kept]) - own) / np.maximum(counts[at[kept] - 1] - own, 1), 0.0, 1.0)
+    value = np.where(levels > 0, least_of_level(levels.astype(float)), 0.0)
+    one = np.where(exact > 0, exact, value[0])
+    if not n:
+        return exact, one, p2, p3, known
+    kept = value - own >= LEAST
+    follows = np.ones(n, bool)
+    follows[bounds[:-1][bounds[:-1] < n]] = False
+    before = lambda x: np.where(follows, np.concatenate([np.zeros(1, x.dtype), x[:-1]]), 0)
+    word = before(one) - own
+    known[follows & (word >= LEAST)] = 1
+    at = kept[1] & follows
+    p2[at] = np.clip((value[1, at] - own) / np.maximum(word[at], 1), 0.0, 1.0)
     # A kept pair that ends at i - 1 is the history of token i, whatever token i is.
-    upper = np.zeros(n)
-    upper[at[kept]] = f.lower(level[kept] + 1)
-    history = np.zeros(n)
-    history[1:] = upper[:-1]
-    history[bounds[:-1]] = 0
+    history = before(np.where(kept[1], value[1] * BASE, 0.0))
     known[history > 0] = 2
-    three = triples_of(at, kept)
-    if len(three):
-        level = f.levels(triple_keys(h[three - 2], h[three - 1], h[three]))
-        some = level > 0
-        p3[three[some]] = np.clip((f.lower(level[some]) - own) / np.maximum(history[three[some]] - own, 1), 0.0, 1.0)
-    return counts, p2, p3, known
+    at = kept[2] & kept[1] & (history > 0)
+    p3[at] = np.clip((value[2, at] - own) / np.maximum(history[at] - own, 1), 0.0, 1.0)
+    return exact, one, p2, p3, known
 
 
 def _bin(ratio: np.ndarray) -> np.ndarray:
@@ -223,111 +259,178 @@ def _weights(histogram: np.ndarray) -> list[tuple[float, float, float]]:
     return out
 
 
-def train(df: DataFrame, text: str, work: Workspace) -> tuple[Model, DataFrame]:
-    """The model and the table (key, n) of all word counts, from the texts of ``df``."""
-    sc, texts = df.sparkSession.sparkContext, df.select(text)
-    words = work.keep(_counted(texts, lambda o, d: tokens(o, d)[0]), "words")
-    total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = Model(*_collect(words.where(F.col("n") >= max(1.0, total * HEAD_SHARE))), int(total), int(types))
-    least = max(2.0, total * NGRAM_SHARE)
+def _pack(levels: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    return [levels[:, a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    shared = sc.broadcast(model)
 
-    def pairs(offsets, data):
-        h, bounds = tokens(offsets, data)
-        m = shared.value
-        at = pairs_of(h, bounds, m.context(m.counts(h)))
-        return pair_keys(h[at - 1], h[at])
+def _unpack(found: list[bytes], bounds: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1) for x in found], axis=1) if found else np.zeros((3, 0), np.uint8)
+
+
+def _blocks(batch: pa.RecordBatch, text: int, levels: int | None, model: Model):
+    """Blocks of a batch: (first row, token hashes, bounds, levels); levels are probed or read."""
+    for row, offsets, data in text_blocks(batch.column(text)):
+        with np.errstate(over="ignore"):
+            h, bounds = tokens(offsets, data)
+            if levels is None:
+                found = token_levels(model, h, bounds)
+            else:
+                found = _unpack(batch.column(levels).slice(row, len(offsets) - 1).to_pylist(), bounds)
+        yield h, bounds, found
+
+
+def build_filter(texts: DataFrame, words: DataFrame, total: int, work: Workspace, bits: int = BITS_PER_KEY) -> tuple[DataFrame, int]:
+    """The stored segments (segment, words, top) of the filter, and their number.
 
-    two = _collect(_counted(texts, pairs).where(F.col("n") >= least))
-    sieve = sc.broadcast(LogBloom(two[0], np.ones(len(two[0])), 1.0))
+    One shuffle by segment serves the counting and the building.
+    """
+    segments = max(1, -(-total // SEGMENT_TOKENS))
 
-    def triples(offsets, data):
+    def keys(offsets, data):
         h, bounds = tokens(offsets, data)
-        m = shared.value
-        at = pairs_of(h, bounds, m.context(m.counts(h)))
-        at = triples_of(at, sieve.value.levels(pair_keys(h[at - 1], h[at])) > 0)
-        return triple_keys(h[at - 2], h[at - 1], h[at])
+        _, pairs, _, triples = grams(h, bounds)
+        return np.concatenate([pairs, triples])
+
+    rows = _tallied(texts, keys).union(words.select("key", "n").where(F.col("n") >= LEAST))
+    rows = rows.withColumn("segment", segment_column("key", segments)).repartition("segment")
+    kept = rows.groupBy("segment", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+
+    def build(found: pa.Table) -> pa.Table:
+        made, top = build_segment(found["key"].to_numpy().view(U64), found["n"].to_numpy(), bits)
+        return pa.table({"segment": found["segment"].slice(0, 1), "words": pa.array([made.tobytes()], pa.binary()), "top": pa.array([top], pa.int32())})
+
+    return work.keep(kept.groupBy("segment").applyInArrow(build, "segment int, words binary, top int"), "filter"), segments
+
+
+def parts_of_filter(stored: DataFrame, segments: int) -> Iterator[LogBloom]:
+    """The filter in parts of at most FILTER_BYTES (of one segment at least)."""
+    most, top = stored.agg(F.coalesce(F.max(F.length("words")), F.lit(8)), F.coalesce(F.max("top"), F.lit(0))).first()
+    step = max(1, FILTER_BYTES // most)
+    for first in range(0, segments, step):
+        got = {r["segment"]: bytes(r["words"]) for r in stored.where(F.col("segment").between(first, first + step - 1)).select("segment", "words").toLocalIterator()}
+        empty = np.zeros(1, U64).tobytes()
+        yield LogBloom(first, segments, [got.get(i, empty) for i in range(first, min(segments, first + step))], top)
 
-    three = _collect(_counted(texts, triples).where(F.col("n") >= least))
-    keys, counts = (np.concatenate([a, b]) for a, b in zip(two, three, strict=True))
-    model = Model(model.head_keys, model.head_counts, model.total, model.types, LogBloom(keys, counts, least))
+
+def with_levels(df: DataFrame, text: str, model: Model, part: LogBloom, work: Workspace, name: str) -> DataFrame:
+    """``df`` with the levels that this part of the filter knows added to the column __levels."""
+    old = "__levels" in df.columns
+    columns = [c for c in df.columns if c != "__levels"]
+    shared = df.sparkSession.sparkContext.broadcast(Model(model.head_keys, model.head_counts, model.total, model.types, part))
+    place, schema = columns.index(text), df.drop("__levels").schema.add("__levels", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed, row = [], 0
+            for h, bounds, found in _blocks(batch, place, None, shared.value):
+                if old:
+                    found = np.maximum(found, _unpack(batch.column(len(columns)).slice(row, len(bounds) - 1).to_pylist(), bounds))
+                row += len(bounds) - 1
+                packed += _pack(found, bounds)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(packed, pa.binary())], [*columns, "__levels"])
+
+    out = work.keep(df.select(*[f"`{c}`" for c in columns], *(["__levels"] if old else [])).mapInArrow(tidy(run), schema), name)
+    shared.unpersist()
+    return out
+
+
+def train(df: DataFrame, text: str, training: Column, work: Workspace, bits: int = BITS_PER_KEY) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the table (key, n) of all word counts, and ``df`` (with levels, where the filter takes
+    more than one pass), from the texts of the rows that are ``training``."""
+    sc, texts = df.sparkSession.sparkContext, df.where(training).select(text)
+    words = work.keep(_counted(texts, lambda o, d: tokens(o, d)[0]), "words")
+    total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    model = Model(*_collect(words.where(F.col("n") >= max(1.0, total * HEAD_SHARE))), int(total), int(types))
+    stored, segments = build_filter(texts, words, int(total), work, bits)
+    parts = parts_of_filter(stored, segments)
+    part, following, i = next(parts), next(parts, None), 0
+    while i or following is not None:  # more than one part
+        df = with_levels(df, text, model, part, work, f"levels{i}")
+        work.drop(*[n for n in work.names() if n == f"levels{i - 1}"])
+        i += 1
+        if following is None:
+            break
+        part, following = following, next(parts, None)
+    if not i:
+        model.filter = part
     shared = sc.broadcast(model)
+    read = 1 if i else None
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(3 * BINS * BINS, np.int64)
         m = shared.value
         for batch in batches:
-            for _, offsets, data in text_blocks(batch.column(0)):
-                with np.errstate(over="ignore"):
-                    h, bounds = tokens(offsets, data)
-                    counts, p2, p3, known = _components(m, h, bounds, own=1)
-                    p1 = m.word_probability(counts)
-                    seen += np.bincount((known.astype(np.int64) * BINS + _bin(p2 / p1)) * BINS + _bin(p3 / p1), minlength=len(seen))
+            for h, bounds, found in _blocks(batch, 0, read, m):
+                _, one, p2, p3, known = _components(m, h, bounds, found, own=1)
+                p1 = m.word_probability(one)
+                seen += np.bincount((known.astype(np.int64) * BINS + _bin(p2 / p1)) * BINS + _bin(p3 / p1), minlength=len(seen))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["cell", "n"])
 
-    cells = texts.mapInArrow(tidy(ratios), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    trained = df.where(training).select(text, *(["__levels"] if i else []))
+    cells = trained.mapInArrow(tidy(ratios), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     histogram = np.zeros(3 * BINS * BINS)
     for row in cells:  # at most 3 * BINS * BINS rows
         histogram[row["cell"]] = row["n"]
     model.weights = _weights(histogram.reshape(3, BINS, BINS))
-    return model, words
+    return model, words, df
 
 
 def score(df: DataFrame, text: str, model: Model, words: DataFrame, work: Workspace) -> DataFrame:
     """``df`` (without ``text``) with n_tokens, n_known, train_tokens, base_score and score."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    mine = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    mine = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "__levels"]
+    given = "__levels" in df.columns
     keep = [f for f in df.schema.fields if f.name not in (text, *mine)]
     names = [f"k{i}" for i in range(len(keep))]
-    fields = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, keep, strict=True)), "n_tokens long, head_known long, head_base double, head_score double, rare array<long>, times array<int>"])
+    fields = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, keep, strict=True)), "n_tokens long, head_known long, head_base double, head_score double, rare array<long>, times array<int>, apart array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        lam = np.log10(np.array(m.weights)[:, 0])
         weights = np.array(m.weights)
+        lam = np.log10(weights[:, 0])
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            n, known_n, base, best, rare, times, cuts = [], [], [], [], [], [], [0]
-            for _, offsets, data in text_blocks(texts):
-                with np.errstate(over="ignore"):
-                    h, bounds = tokens(offsets, data)
-                    counts, p2, p3, known = _components(m, h, bounds)
-                head = counts > 0
-                p1 = m.word_probability(counts)
+            n, known_n, base, best, rare, times, apart, cuts = [], [], [], [], [], [], [], [0]
+            for h, bounds, found in _blocks(batch, len(names), len(names) + 1 if given else None, m):
+                exact, one, p2, p3, known = _components(m, h, bounds, found)
+                head = exact > 0
+                p1 = m.word_probability(one)
                 mixed = weights[known, 0] * p1 + weights[known, 1] * p2 + weights[known, 2] * p3
                 starts = bounds[:-1]
                 n.append(np.diff(bounds))
                 known_n.append(np.add.reduceat(head.astype(np.int64), starts))
                 base.append(np.add.reduceat(np.where(head, np.log10(p1), 0.0), starts))
-                # A rare word is in no n-gram: its probability is the weight times that of the word,
-                # which the join below adds.
-                best.append(np.add.reduceat(np.where(head, np.log10(mixed), lam[known]), starts))
+                # Where no kept n-gram speaks for a word beyond the head, its probability is the weight times
+                # that of the word, whose exact count the join below brings.
+                alone = ~head & (p2 == 0) & (p3 == 0)
+                best.append(np.add.reduceat(np.where(alone, lam[known], np.log10(mixed)), starts))
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    found, often = np.unique(h[a:b][~head[a:b]], return_counts=True)
-                    rare.append(found)
+                    beyond = ~head[a:b]
+                    keys, where, often = np.unique(h[a:b][beyond], return_inverse=True, return_counts=True)
+                    rare.append(keys)
                     times.append(often)
-                    cuts.append(cuts[-1] + len(found))
+                    apart.append(np.bincount(where, alone[a:b][beyond], len(keys)))
+                    cuts.append(cuts[-1] + len(keys))
             cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v)) for v in (cat(rare, U64).view(np.int64), cat(times, np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cat(n, np.int64)), pa.array(cat(known_n, np.int64)), pa.array(cat(base, float)), pa.array(cat(best, float)), *lists], [*names, "n_tokens", "head_known", "head_base", "head_score", "rare", "times"])
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v)) for v in (cat(rare, U64).view(np.int64), cat(times, np.int32), cat(apart, np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(cat(n, np.int64)), pa.array(cat(known_n, np.int64)), pa.array(cat(base, float)), pa.array(cat(best, float)), *lists], [*names, "n_tokens", "head_known", "head_base", "head_score", "rare", "times", "apart"])
 
-    renamed = df.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, keep, strict=True)], F.col(f"`{text}`"))
+    renamed = df.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, keep, strict=True)], F.col(f"`{text}`"), *(["__levels"] if given else []))
     parts = work.keep(renamed.mapInArrow(tidy(run), fields).withColumn("rid", F.monotonically_increasing_id()), "parts")
-    rare = parts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("rid", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
+    work.drop(*[n for n in work.names() if n.startswith("levels")])
+    rare = parts.select("rid", F.explode(F.arrays_zip("rare", "times", "apart")).alias("w")).select("rid", F.col("w.rare").alias("key"), F.col("w.times").alias("times"), F.col("w.apart").alias("apart"))
     tail = words.where(F.col("n") < max(1.0, model.total * HEAD_SHARE))
     count = F.coalesce(F.col("n"), F.lit(0))
     each = F.log10((count + 0.5) / F.lit(model.total + 0.5 * (model.types + 1)))
-    added = rare.join(tail, "key", "left").groupBy("rid").agg(F.sum(each * F.col("times")).alias("rare_score"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).cast("long").alias("rare_known"))
+    added = rare.join(tail, "key", "left").groupBy("rid").agg(F.sum(each * F.col("times")).alias("rare_base"), F.sum(each * F.col("apart")).alias("rare_score"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).cast("long").alias("rare_known"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return parts.drop("rare", "times").join(added, "rid", "left").select(
+    return parts.drop("rare", "times", "apart").join(added, "rid", "left").select(
         *[F.col(n).alias(f.name) for n, f in zip(names, keep, strict=True)],
         "n_tokens",
         (F.col("head_known") + zero("rare_known")).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("head_base") + zero("rare_score")).alias("base_score"),
+        (F.col("head_base") + zero("rare_base")).alias("base_score"),
         (F.col("head_score") + zero("rare_score")).alias("score"),
     )
 
@@ -337,9 +440,9 @@ def fold(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5, F.lit(0))
 
 
-def score_documents(df: DataFrame, doc_id: str, text: str, held_out_fold: int = 1) -> DataFrame:
-    """Train on the rows of all folds but one; score every row."""
+def score_documents(df: DataFrame, doc_id: str, text: str, held_out_fold: int = 1, bits: int = BITS_PER_KEY) -> DataFrame:
+    """Train on the rows of all folds but one; score every row. ``bits`` of the filter for each entry."""
     work = Workspace(df.sparkSession, "lm")
     rows = df.select(F.col(doc_id), F.col(text), (fold(doc_id) == held_out_fold).alias("held_out"))
-    model, words = train(rows.where(~F.col("held_out")), text, work)
+    model, words, rows = train(rows, text, ~F.col("held_out"), work, bits)
     return score(rows, text, model, words, work)

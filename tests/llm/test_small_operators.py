@@ -143,11 +143,18 @@ def test_bloom_levels_never_fall_short():
     rng = np.random.default_rng(2)
     keys, counts = rng.integers(0, 2**63, 20_000).astype(np.uint64), rng.integers(2, 5000, 20_000)
     with np.errstate(over="ignore"):
-        f = ngram_lm.LogBloom(keys, counts, 2.0)
+        places = ngram_lm.segment_of(keys, 5)
+        built = [ngram_lm.build_segment(keys[places == i], counts[places == i]) for i in range(5)]
+        top = max(t for _, t in built)
+        f = ngram_lm.LogBloom(0, 5, [w.tobytes() for w, _ in built], top)
         levels = f.levels(keys)
-        assert (f.lower(levels + 1) > counts * 0.999).all()
-        assert (f.lower(levels) <= counts + 1e-6).mean() > 0.98
+        assert (levels >= ngram_lm.levels_of_counts(counts)).all()
+        assert (levels == ngram_lm.levels_of_counts(counts)).mean() > 0.98
         assert (f.levels(rng.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.02
+        # A part of the segments knows its own keys, and no others.
+        part = ngram_lm.LogBloom(2, 5, [w.tobytes() for w, _ in built[2:4]], top).levels(keys)
+        mine = (places == 2) | (places == 3)
+        assert (part[mine] == levels[mine]).all() and not part[~mine].any()
 
 
 def check_scores(rows, docs):
@@ -163,6 +170,75 @@ def check_scores(rows, docs):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows) == expected
 
 
+def plain_scores(docs):
+    """{(id, text): score}, one token at a time, with dictionaries in place of the filter."""
+    words = {i: [*(t or "").encode().lower().split(), None] for i, t in docs}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    training = [w for i, w in words.items() if fold(i) != 1]
+    count = Counter(tuple(w[k : k + n]) for w in training for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    total, types = sum(map(len, training)), sum(len(g) == 1 for g in count)
+    level = lambda c: 1 + math.floor(math.log(c / 2) / math.log(1.5) + 1e-9)
+    known = {g: 2 * 1.5 ** (level(c) - 1) for g, c in count.items() if c >= 2}
+    head = max(1.0, total * ngram_lm.HEAD_SHARE)
+    best = lambda x: count[x,] if count[x,] >= head else known.get((x,), 0.0)
+    p1 = lambda c: (c + 0.5) / (total + 0.5 * (types + 1))
+
+    def estimates(w, k, own):
+        two = known.get(tuple(w[k - 1 : k + 1]), 0.0) if k else 0.0
+        three = known.get(tuple(w[k - 2 : k + 1]), 0.0) if k > 1 else 0.0
+        before = best(w[k - 1]) - own if k else 0.0
+        earlier = known.get(tuple(w[k - 2 : k]), 0.0) if k > 1 else 0.0
+        history = earlier * 1.5 if earlier - own >= 2 else 0.0
+        kind = 2 if history else 1 if k and before >= 2 else 0
+        p2 = min(1.0, (two - own) / max(before, 1)) if two - own >= 2 else 0.0
+        p3 = min(1.0, (three - own) / max(history - own, 1)) if three - own >= 2 and two - own >= 2 and history else 0.0
+        return kind, p2, p3
+
+    cells = np.zeros((3, ngram_lm.BINS, ngram_lm.BINS))
+    for w in training:
+        for k in range(len(w)):
+            kind, p2, p3 = estimates(w, k, 1)
+            a, b = (int(ngram_lm._bin(np.array([p / p1(best(w[k]))]))[0]) for p in (p2, p3))
+            cells[kind, a, b] += 1
+    weights, out = ngram_lm._weights(cells), {}
+    for i, w in words.items():
+        out[i] = 0.0
+        for k, x in enumerate(w):
+            kind, p2, p3 = estimates(w, k, 0)
+            c = best(x) if p2 or p3 else count[x,]
+            out[i] += math.log10(weights[kind][0] * p1(c) + weights[kind][1] * p2 + weights[kind][2] * p3)
+    return out
+
+
+@pytest.mark.parametrize("head_share", [ngram_lm.HEAD_SHARE, 1e-3])
+def test_scores_against_a_plain_version(spark, small, monkeypatch, head_share):
+    monkeypatch.setattr(ngram_lm, "HEAD_SHARE", head_share)  # 1e-3 leaves most words beyond the head
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    want = plain_scores([(r.doc_id, r.text) for r in docs.collect()])
+    # So many bits that hardly a probe hits by chance.
+    got = {r.doc_id: r.score for r in ngram_lm.score_documents(docs, "doc_id", "text", bits=1024).collect()}
+    assert got == {i: pytest.approx(x, abs=1e-6) for i, x in want.items()}
+
+
+def test_a_filter_in_parts_gives_the_same_scores(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(ngram_lm, "SEGMENT_TOKENS", 25_000)
+    one = {r.doc_id: r.score for r in ngram_lm.score_documents(docs, "doc_id", "text").collect()}
+    monkeypatch.setattr(ngram_lm, "FILTER_BYTES", 1)  # a pass for each segment
+    assert {r.doc_id: r.score for r in ngram_lm.score_documents(docs, "doc_id", "text").collect()} == pytest.approx(one)
+
+
+def test_texts_that_occur_twice_score_higher(spark):
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(rng.choice([f"w{i}" for i in range(3000)], 60))
+    # Ids of which none is held out; a text that another row repeats is better known to the model.
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    twice = [text() for _ in range(50)]
+    docs = list(zip(ids, [*twice, *twice, *[text() for _ in range(300)]], strict=False))
+    rows = {r.doc_id: r.score - r.base_score for r in ngram_lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert min(rows[i] for i in ids[:100]) > max(rows[i] for i in ids[100:400])
+
+
 def test_scores_of_odd_rows(odd, none):
     rows = ngram_lm.score_documents(odd, "doc_id", "text").collect()
     check_scores(rows, [(r[0], r[1]) for r in ODD])
