@@ -403,6 +403,46 @@ def test_chat_frames(spark, monkeypatch):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def plain_chats(turns):
+    """{conversation: (turns, cost, rendering)}, one conversation at a time, without blocks."""
+    by = {}
+    for c, n, role, text in set(turns):
+        by.setdefault(c, []).append((n is None, n or 0, role is None, role or "", text or ""))
+    out = {}
+    for c, rows in by.items():
+        rows.sort()
+        roles = [chat.role_of(None if none else r) for _, _, none, r, _ in rows]
+        states, cost = chat.fold([chat.block_costs(roles)])
+        out[c] = (len(rows), cost, chat.render(chat.block_path(roles, states[0], states[-1]), [r[-1] for r in rows], states[0], True)[0])
+    return out
+
+
+@pytest.mark.parametrize(("block", "fan"), [(512, 512), (4, 3)])
+def test_chat_against_a_plain_version(spark, small, monkeypatch, block, fan):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    monkeypatch.setattr(chat, "FAN", fan)  # 3: matrices of long conversations are folded in levels
+    monkeypatch.setattr(chat, "GROUP_ROWS", 40)
+    roles = ["user", "assistant", "system", "human", None, "narrator", "gpt"]
+    turns = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{small}/conversations.parquet").collect()]
+    turns += [(-1, t, roles[t * t % 7], f"t{t:03d}") for t in range(150)] + [(-2, None, roles[t % 7], f"t{t:03d}") for t in range(100)]
+    turns += [(-3, 0, "user", f"t{t:03d}") for t in range(70)] + [(None, t % 5, roles[t % 3], f"t{t:03d}") for t in range(90)] + turns[:50]
+    # One host, all turns null or equal: no task may hold the conversation whole.
+    rows = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.segment):
+        n, _, shown = got.get(r.conv_id, (0, 0, ""))
+        assert r.n_in <= block and r.segment < r.segments
+        got[r.conv_id] = (n + r.n_in, r.cost, shown + r.text)
+    want = plain_chats(turns)
+    if block == 512:
+        assert got == want
+    # Shorter blocks may choose another of the cheapest repairs: as many turns, the cost, the texts in order, legal.
+    bare = lambda shown: regex.sub(r"<\|im_(start\|>\w+|end\|>)\n|\n", "", shown)
+    assert {c: (n, cost, bare(shown)) for c, (n, cost, shown) in got.items()} == {c: (n, cost, bare(shown)) for c, (n, cost, shown) in want.items()}
+    legal = regex.compile(r"(<\|im_start\|>system\n.*?<\|im_end\|>\n)?(<\|im_start\|>user\n.*?<\|im_end\|>\n<\|im_start\|>assistant\n.*?<\|im_end\|>\n)+", regex.S)
+    assert all(legal.fullmatch(shown) for _, _, shown in got.values())
+
+
 # ---------------------------------------------------------------- 2 mixing
 
 
