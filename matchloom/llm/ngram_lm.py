@@ -38,8 +38,9 @@ HEAD_SHARE = 2.0**-21
 LEAST = 2
 #: Base of the quantisation of counts, bits of the filter for each key, bits set by a key.
 BASE, BITS_PER_KEY, BITS_SET = 1.5, 16, 4
-#: Training tokens for each segment of the filter; bytes of segments that are broadcast at once.
-SEGMENT_TOKENS, FILTER_BYTES = 1 << 18, 96 << 20
+#: Training tokens for each segment of the filter; bytes of segments that are broadcast at once; bytes
+#: that tell the keys of a segment apart.
+SEGMENT_TOKENS, FILTER_BYTES, ID_BYTES = 1 << 19, 96 << 20, 5
 #: Bins of log10 likelihood ratios for EM.
 BINS, LOWEST, STEP = 64, -6.0, 0.25
 
@@ -71,8 +72,34 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> U64(33)) % U64(segments)).astype(np.int64)
 
 
-def segment_column(key: str, segments: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(F.col(key), 33), F.lit(segments)).cast("int")
+def ids_of(keys: np.ndarray) -> np.ndarray:
+    """What tells the keys of a segment apart: their low ID_BYTES."""
+    return keys & U64((1 << 8 * ID_BYTES) - 1)
+
+
+def pack(keys: np.ndarray, counts: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
+    """Rows (segment, ids, counts): a row holds all of the keys that belong to a segment, ID_BYTES each;
+    those with a count of 1 make rows of their own, without counts."""
+    for some in (counts == 1, counts > 1):
+        mine, often = keys[some], counts[some]
+        place = segment_of(mine, segments)
+        order = np.argsort(place, kind="stable")
+        found, first = np.unique(place[order], return_index=True)
+        ends = np.append(first, len(order))
+        ids = np.ascontiguousarray(mine[order]).view(np.uint8).reshape(-1, 8)[:, :ID_BYTES].tobytes()
+        cut = lambda data, width: pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer((ends * width).astype(np.int32).tobytes()), pa.py_buffer(data)])  # noqa: E731, B023
+        many = cut(often[order].astype(np.int64).tobytes(), 8) if often.max(initial=1) > 1 else pa.nulls(len(found), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), cut(ids, ID_BYTES), many], ["segment", "ids", "counts"])
+
+
+def unpack(ids: list[bytes], counts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a segment's rows, and their counts."""
+    data = np.frombuffer(b"".join(ids), np.uint8).reshape(-1, ID_BYTES)
+    wide = np.zeros((len(data), 8), np.uint8)
+    wide[:, :ID_BYTES] = data
+    often = [np.ones(len(i) // ID_BYTES, np.int64) if c is None else np.frombuffer(c, np.int64) for i, c in zip(ids, counts, strict=True)]
+    found, where = np.unique(wide.view(U64).ravel(), return_inverse=True)
+    return found, np.bincount(where, np.concatenate(often), len(found)).astype(np.int64)
 
 
 def levels_of_counts(counts: np.ndarray) -> np.ndarray:
@@ -84,23 +111,23 @@ def least_of_level(levels: np.ndarray) -> np.ndarray:
     return LEAST * BASE ** (levels - 1.0)
 
 
-def _mask(keys: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+def _mask(ids: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Where an entry belongs (before it is taken modulo a size), and its bits of a 64-bit word."""
-    h = mix64(keys + U64((q * 0xA0761D6478BD642F) & (2**64 - 1)))
+    h = mix64(ids + U64((q * 0xA0761D6478BD642F) & (2**64 - 1)))
     mask = np.zeros(len(h), U64)
     for i in range(BITS_SET):
         mask |= U64(1) << ((h >> U64(6 * i)) & U64(63))
     return h >> U64(24), mask
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, bits: int = BITS_PER_KEY) -> tuple[np.ndarray, int]:
+def build_segment(ids: np.ndarray, counts: np.ndarray, bits: int = BITS_PER_KEY) -> tuple[np.ndarray, int]:
     """The words (64 bits) of a segment, and its highest level."""
     level = levels_of_counts(counts)
     words = np.zeros(max(1, int(level.sum()) * bits // 64), U64)
     top = int(level.max(initial=0))
     with np.errstate(over="ignore"):
         for q in range(1, top + 1):
-            at, mask = _mask(keys[level >= q], q)
+            at, mask = _mask(ids[level >= q], q)
             np.bitwise_or.at(words, (at % U64(len(words))).astype(np.int64), mask)
     return words, top
 
@@ -120,12 +147,13 @@ class LogBloom:
         part = segment_of(keys, self.segments) - self.first
         live = np.flatnonzero((part >= 0) & (part < len(self.sizes)))
         offset, size = self.offsets[part[live]], self.sizes[part[live]].astype(U64)
+        ids = ids_of(keys[live])
         for q in range(1, self.top + 1):
             if not len(live):
                 break
-            at, mask = _mask(keys[live], q)
+            at, mask = _mask(ids, q)
             hit = (self.words[offset + (at % size).astype(np.int64)] & mask) == mask
-            live, offset, size = live[hit], offset[hit], size[hit]
+            live, ids, offset, size = live[hit], ids[hit], offset[hit], size[hit]
             out[live] = q
         return out
 
@@ -167,28 +195,24 @@ def grams(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return two, pair_keys(h[two - 1], h[two]), three, triple_keys(h[three - 2], h[three - 1], h[three])
 
 
-def _tallied(df: DataFrame, keys_of) -> DataFrame:
-    """(key, n) over all texts, counted within each task; a key may have several rows."""
+def _tallied(df: DataFrame, keys_of, rows_of, schema: str) -> DataFrame:
+    """What ``rows_of`` makes of the keys and counts of all texts, counted within each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
-
-        def rows():
-            keys, counts = tally.take()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
-
         for batch in batches:
             for _, offsets, data in text_blocks(batch.column(0)):
                 with np.errstate(over="ignore"):
                     if tally.add(keys_of(offsets, data)):
-                        yield rows()
-        yield rows()
+                        yield from rows_of(*tally.take())
+        yield from rows_of(*tally.take())
 
-    return df.mapInArrow(tidy(run), "key long, n long")
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _counted(df: DataFrame, keys_of) -> DataFrame:
-    return _tallied(df, keys_of).groupBy("key").agg(F.sum("n").alias("n"))
+    rows = lambda keys, counts: [pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])]
+    return _tallied(df, keys_of, rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +306,7 @@ def _blocks(batch: pa.RecordBatch, text: int, levels: int | None, model: Model):
 def build_filter(texts: DataFrame, words: DataFrame, total: int, work: Workspace, bits: int = BITS_PER_KEY) -> tuple[DataFrame, int]:
     """The stored segments (segment, words, top) of the filter, and their number.
 
-    One shuffle by segment serves the counting and the building.
+    Keys travel packed by segment, ID_BYTES each, in one shuffle; each segment is counted and built at once.
     """
     segments = max(1, -(-total // SEGMENT_TOKENS))
 
@@ -291,15 +315,20 @@ def build_filter(texts: DataFrame, words: DataFrame, total: int, work: Workspace
         _, pairs, _, triples = grams(h, bounds)
         return np.concatenate([pairs, triples])
 
-    rows = _tallied(texts, keys).union(words.select("key", "n").where(F.col("n") >= LEAST))
-    rows = rows.withColumn("segment", segment_column("key", segments)).repartition("segment")
-    kept = rows.groupBy("segment", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from pack(batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy(), segments)
+
+    schema = "segment int, ids binary, counts binary"
+    rows = _tallied(texts, keys, lambda k, n: pack(k, n, segments), schema)
+    rows = rows.union(words.where(F.col("n") >= LEAST).select("key", "n").mapInArrow(tidy(of_words), schema))
 
     def build(found: pa.Table) -> pa.Table:
-        made, top = build_segment(found["key"].to_numpy().view(U64), found["n"].to_numpy(), bits)
+        ids, counts = unpack(found["ids"].to_pylist(), found["counts"].to_pylist())
+        made, top = build_segment(ids[counts >= LEAST], counts[counts >= LEAST], bits)
         return pa.table({"segment": found["segment"].slice(0, 1), "words": pa.array([made.tobytes()], pa.binary()), "top": pa.array([top], pa.int32())})
 
-    return work.keep(kept.groupBy("segment").applyInArrow(build, "segment int, words binary, top int"), "filter"), segments
+    return work.keep(rows.groupBy("segment").applyInArrow(build, "segment int, words binary, top int"), "filter"), segments
 
 
 def parts_of_filter(stored: DataFrame, segments: int) -> Iterator[LogBloom]:
