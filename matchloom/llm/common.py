@@ -9,12 +9,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
@@ -30,10 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset (tests on
-    one machine) a temporary folder is made and set as the session's."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset and the master is
+    local (tests on one machine) a temporary folder is made and set as the session's."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="matchloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -42,10 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Tables written to shared storage: they cut lineage and survive lost executors.
 
-    ``keep`` returns the rows as read back; ``drop`` removes tables that no later plan reads.
+    ``keep`` returns the rows as read back; ``drop`` removes tables that no later plan reads. A result
+    that reads them can't outlive them, so the caller who has written it calls ``release``.
     """
 
+    made: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, label: str):
+        Workspace.made.append(self)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
@@ -66,6 +74,13 @@ class Workspace:
     def drop_all_but(self, *names: str) -> None:
         self.drop(*[n for n in self._paths if n not in names])
 
+    @classmethod
+    def release(cls, since: int) -> None:
+        """Empty all workspaces made after the first ``since``."""
+        while len(cls.made) > since:
+            done = cls.made.pop()
+            done.drop(*done.names())
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
@@ -73,6 +88,21 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Keys that hold more than this share of the rows are broadcast instead of shuffled: at most so many.
+HEAVY = 1000
+
+
+def join_skewed(rows: DataFrame, known: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``known``: a row a key, with the number ``__n`` of ``total`` rows that have the key.
+
+    Rows of keys with more than total / HEAVY of them, of which there are fewer than HEAVY, meet a broadcast;
+    only the others are shuffled by key.
+    """
+    heavy, light = (known.where(x).drop("__n") for x in (F.col("__n") * HEAVY > total, F.col("__n") * HEAVY <= total))
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys, how))
+
+
 # ------------------------------------------------------------------ byte kernel
 
 _MULT = U64(0x9E3779B97F4A7C15)

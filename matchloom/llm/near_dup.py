@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import U64, Workspace, block_words, mix64, text_blocks, tidy
+from matchloom.llm.common import U64, Workspace, block_words, join_skewed, mix64, text_blocks, tidy
 from matchloom.llm.components import connected
 
 SHINGLE = 5
@@ -118,13 +118,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, h1, h2, sketch = [], [], [], []
         with np.errstate(over="ignore"):
-            for s in shingle_sets(batch.column(2)):
+            for s in shingle_sets(batch.column(3)):
                 n.append(len(s))
                 h1.append(s.sum(dtype=U64) if len(s) else U64(0))
                 h2.append(mix64(s ^ U64(0xABCDEF)).sum(dtype=U64) if len(s) else U64(0))
                 sketch.append(registers(s).tobytes() if len(s) else b"")
         column = lambda x: pa.array(np.array(x, U64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), column(h1), column(h2), pa.array(sketch, pa.binary())], ["id", "th", "n", "h1", "h2", "sketch"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), column(h1), column(h2), pa.array(sketch, pa.binary())], ["id", "th", "tz", "n", "h1", "h2", "sketch"])
 
 
 @tidy
@@ -188,29 +188,32 @@ def reaches(overlap, na: str, nb: str):
 class _Finder:
     def __init__(self, docs: DataFrame, doc_id: str, text: str):
         self.work = Workspace(docs.sparkSession, "near")
-        self.texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+        self.texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+        # Two hashes stand for a text: one is too short for 10^10 of them.
+        self.texts = self.texts.withColumns({"th": F.xxhash64("text"), "tz": F.xxhash64(F.lit(7), "text")})
         self.kind = self.texts.schema["id"].dataType.simpleString()
 
     def run(self) -> DataFrame:
         work = self.work
-        rows = work.keep(self.texts.select("id", "th", "text").mapInArrow(_sketch, f"id {self.kind}, th long, n long, h1 long, h2 long, sketch binary").withColumn("rid", F.monotonically_increasing_id()), "rows")
-        groups = work.keep(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("low")), "groups")
-        self.nodes = work.keep(rows.join(groups.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "n", "th", "sketch"), "nodes")
+        rows = work.keep(self.texts.select("id", "th", "tz", "text").mapInArrow(_sketch, f"id {self.kind}, th long, tz long, n long, h1 long, h2 long, sketch binary").withColumn("rid", F.monotonically_increasing_id()), "rows")
+        groups = work.keep(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "tz")).alias("low"), F.count(F.lit(1)).alias("__n")), "groups")
+        self.nodes = work.keep(rows.join(groups.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "n", "th", "tz", "sketch"), "nodes")
         open_ = self.buckets()
         labels = self.star_links(open_)
         rest = self.verify(self.estimate(self.open_pairs(open_, labels), "open"), "rest")
         second = connected(self.named(rest, labels).select(F.col("x").alias("a"), F.col("y").alias("b")), work, "second")
         final = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         final = final.join(second.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").withColumn("label", F.coalesce("to", "label"))
-        final = work.keep(final.select("h1", "h2", "label", "low"), "final")
-        work.drop_all_but("rows", "final")  # the result reads no others
-        lowest = final.groupBy("label").agg(F.min("low").alias("lowest"))
-        named = final.join(lowest, "label").select("h1", "h2", "lowest")
-        full = rows.select("id", "th", "n", "h1", "h2").where("n > 0").join(named, ["h1", "h2"], "left")
-        alone = F.struct(F.col("id").isNull().alias("none"), "id", "th").alias("lowest")
-        out = full.select("id", "th", "n", "lowest").union(rows.where("n = 0").select("id", "th", "n", alone))
+        final = work.keep(final.select("h1", "h2", "label", "low", "__n"), "final")
+        lowest = work.keep(final.groupBy("label").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("__n")), "lowest")
+        named = join_skewed(final.withColumnRenamed("__n", "copies"), lowest, ["label"], final.count()).select("h1", "h2", "lowest", F.col("copies").alias("__n"))
+        named = work.keep(named, "lowest-of-groups")
+        work.drop_all_but("rows", "lowest-of-groups")  # the result reads no others
+        full = join_skewed(rows.select("id", "th", "tz", "n", "h1", "h2").where("n > 0"), named, ["h1", "h2"], rows.count())
+        alone = F.struct(F.col("id").isNull().alias("none"), "id", "th", "tz").alias("lowest")
+        out = full.select("id", "th", "tz", "n", "lowest").union(rows.where("n = 0").select("id", "th", "tz", "n", alone))
         component = F.col("lowest.id")
-        stays = F.col("id").eqNullSafe(component) & (F.col("th") == F.col("lowest.th"))
+        stays = F.col("id").eqNullSafe(component) & (F.col("th") == F.col("lowest.th")) & (F.col("tz") == F.col("lowest.tz"))
         return out.select("id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), stays.alias("stays"))
 
     def buckets(self) -> DataFrame:
@@ -251,11 +254,11 @@ class _Finder:
 
     def with_text(self, nodes: DataFrame) -> DataFrame:
         """(node, ..., text): the scan of the texts is narrowed by the hash buckets asked for."""
-        wanted = nodes.join(self.nodes.select("node", "th"), "node")
+        wanted = nodes.join(self.nodes.select("node", "th", "tz"), "node")
         bucket = F.pmod("th", F.lit(SIEVE))
         sieve = wanted.select(bucket.alias("bucket")).distinct()
-        some = self.texts.select("th", "text").withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left_semi")
-        return wanted.join(some.groupBy("th").agg(F.min("text").alias("text")), "th").drop("th")
+        some = self.texts.select("th", "tz", "text").withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left_semi")
+        return wanted.join(some.groupBy("th", "tz").agg(F.min("text").alias("text")), ["th", "tz"]).drop("th", "tz")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         pairs = self.work.keep(pairs.select("a", "b"), f"{name}-pairs")
@@ -329,12 +332,17 @@ def rows_for(docs: DataFrame, doc_id: str, text: str, counts: DataFrame) -> Data
     rows that share them) says.
 
     One shuffle of the texts to a hash join, so that they needn't be sorted; only where rows repeat
-    an id and a text are they sorted, to keep one.
+    an id and a text are they sorted, and one of each kept before the shuffle.
     """
     wanted = counts.where("__n > 0")
-    keyed = docs.withColumns({"__k": F.xxhash64(f"`{doc_id}`"), "__th": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    rows = keyed.join(wanted.hint("shuffle_hash"), ["__k", "__th"])
+    # The columns go by number meanwhile: whatever they are called, none clashes with those added here.
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, body = (F.col(f"c{names.index(c)}") for c in (doc_id, text))
+    rows = plain.withColumns({"__k": F.xxhash64(key), "__th": F.xxhash64(F.coalesce(body, F.lit("")))})
     if not wanted.where("__rows > 1").isEmpty():
-        order = Window.partitionBy("__k", "__th").orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns]))
-        rows = rows.withColumn("__row", F.row_number().over(order)).where("__row = 1")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long")))).select(*[f"`{c}`" for c in docs.columns])
+        one = F.min_by(F.struct(*plain.columns), F.xxhash64(*plain.columns)).alias("one")
+        rows = rows.groupBy("__k", "__th").agg(one).select("__k", "__th", "one.*")
+    rows = rows.join(wanted.hint("shuffle_hash"), ["__k", "__th"])
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long"))))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

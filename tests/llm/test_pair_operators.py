@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.llm import components, imatch, near_dup, queries, vamana
+from matchloom.llm import common, components, imatch, mixing, near_dup, queries, vamana
 from matchloom.llm.common import Workspace, table
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -86,6 +86,53 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_with_clashing_names_and_many_repeats(spark):
+    names = ["doc_id", "text", "__k", "__th", "__n", "__row", "__rows", "__copy", "c0"]
+    rows = [(i, f"text number {i} of some that differ in words {i * 7}", *["x"] * 7) for i in range(20)] + [(3, "again and again the very same row", *["y"] * 7)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"`{n}` string" for n in names[1:]))
+    got = near_dup.survivors(df)
+    assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(set(rows))
+    assert mixing.mixed(df.withColumn("source", F.lit("s"))).columns == [*names, "source"]
+
+
+def test_heavy_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 3)
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(k, 0) for k in range(2, 30)], "k long, v long")
+    known = rows.where("k <> 5").groupBy("k").agg(F.count(F.lit(1)).alias("__n")).withColumn("w", F.col("k") * 10)
+    inner = common.join_skewed(rows, known, ["k"], 78)
+    assert sorted((r.k, r.v, r.w) for r in inner.collect()) == sorted((r.k, r.v, r.k * 10) for r in rows.collect() if r.k != 5)
+    outer = {(r.k, r.w) for r in common.join_skewed(rows, known, ["k"], 78, "left").collect()}
+    assert (5, None) in outer and len(outer) == 29
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 4)
+    edges = [(0, i) for i in range(1, 200)] + [(i, i + 1000) for i in range(1, 200, 3)] + [(5000, 5001)]
+    got = {r.node: r.label for r in components.connected(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "hub")).collect()}
+    assert set(got.values()) == {0, 5000} and sum(v == 0 for v in got.values()) == 200 + 67
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Away:
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+        class conf:
+            @staticmethod
+            def get(*_):
+                return None
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+            class getConf:
+                get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Away())
+
+
 def test_sketches_estimate():
     rng = np.random.default_rng(5)
     for share in (0.2, 0.6, 0.8, 1.0):
