@@ -58,7 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        done = work.names()
+        done, made = work.names(), len(Workspace.made)
         docs = work.keep(stage(spark, docs, sf_dir), name)
         work.drop(*done)  # what the stage before wrote is read by nothing later
+        Workspace.release(made)  # and neither is what this one wrote on the way
     return STAGES[-1][1](spark, docs, sf_dir)
