@@ -100,17 +100,16 @@ def attributes(values: Column | str) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(F.filter(clean, lambda x: x.isNotNull() & ~x.isin(*vocab.NO_SIGNAL)))), empty_strings())
 
 
-def lookup(key: Column, table: dict[str, str]) -> Column:
+def lookup(key: Column, table: dict) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
 def language_label(code: Column | str) -> Column:
     """The label of a language's code or name; unknown ones pass in lower case, blanks are null."""
     key = F.nullif(F.lower(strip(code)), F.lit(""))
-    return F.coalesce(lookup(key, vocab.entries(vocab.LANGUAGES)), key)
+    return F.coalesce(lookup(key, vocab.LANGUAGES), key)
 
 
 def key_number(key: Column | str) -> Column:
     """A musical key as 0 to 11, -1 if unknown."""
-    table = dict(pair.split("=") for pair in vocab.KEYS.split())
-    return F.coalesce(lookup(strip(key), table).cast("int"), F.lit(-1))
+    return F.coalesce(lookup(strip(key), vocab.KEYS), F.lit(-1))

@@ -49,7 +49,7 @@ def test_train(spark, world, tmp_path):
 def test_requests(spark, world):
     targets, items, history = world
     built = profiles.build(targets, history, items, ["bpm"], 4)
-    wanted = [requests.Request("a", "x", genres=["Jazz"], languages=["English"], extra={"bpm": "90", "z": "bad"}), requests.Request("b", "rap song", tier="3"), *requests.samples()]
+    wanted = [requests.request("a", item_name="x", genres=["Jazz"], languages=["English"], extra={"bpm": "90", "z": "bad"}), requests.request("b", item_name="rap song", tier="3"), *requests.samples()]
     vectors = items.limit(1).select(F.lit("a").alias("item_id"), F.lit([0.1, 0.1, 0.1, 1.0]).cast("array<double>").alias("embedding"))
     rows = requests.prepare(requests.frame(spark, wanted), vectors, ["bpm"])
     got = {r.item_id: r for r in rows.collect()}
@@ -64,7 +64,9 @@ def test_requests(spark, world):
     assert json.loads(requests.as_json(best.limit(0))) == [] and len(json.loads(requests.as_json(best.where("item_id = 'a'")))) == 2
     assert requests.candidates(targets, ["target_id", "absent"], 3).count() == 3
     with pytest.raises(ValueError):
-        requests.Request("c", tier=9)
+        requests.request("c", tier=9)
+    with pytest.raises(TypeError):
+        requests.request("c", colour="blue")
 
 
 def test_media(spark):
