@@ -96,9 +96,12 @@ def join_skewed(rows: DataFrame, known: DataFrame, keys: list[str], total: int,
     """``rows`` joined with ``known``: a row a key, with the number ``__n`` of ``total`` rows that have the key.
 
     Rows of keys with more than total / HEAVY of them, of which there are fewer than HEAVY, meet a broadcast;
-    only the others are shuffled by key.
+    only the others are shuffled by key. Without such keys it is a plain join. ``known`` is a kept table.
     """
-    heavy, light = (known.where(x).drop("__n") for x in (F.col("__n") * HEAVY > total, F.col("__n") * HEAVY <= total))
+    heavy = known.where(F.col("__n") * HEAVY > total)
+    if heavy.isEmpty():
+        return rows.join(known.drop("__n"), keys, how)
+    heavy, light = heavy.drop("__n"), known.where(F.col("__n") * HEAVY <= total).drop("__n")
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys, how))
 
