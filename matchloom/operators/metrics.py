@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import tags as tg
 from matchloom.functions import vocab
+from matchloom.operators.ordered import medians, running
 
 KS = (1, 3, 5, 10)
 #: The edges of ten calibration bins as a linear space has them in doubles.
@@ -59,8 +60,8 @@ def slices(rows: DataFrame, dims: list[str], group: str = "item_id", ks=KS) -> D
 
 def median_split(rows: DataFrame, column: str, out: str) -> DataFrame:
     """``high`` from the exact median on, else ``low``; null stays null."""
-    median = rows.agg(F.median(column).alias("__median"))
-    return rows.crossJoin(F.broadcast(median)).withColumn(out, F.when(F.col(column) >= F.col("__median"), "high").when(F.col(column).isNotNull(), "low")).drop("__median")
+    median = F.lit(medians(rows, [column])[column]).cast("double")
+    return rows.withColumn(out, F.when(F.col(column) >= median, "high").when(F.col(column).isNotNull(), "low"))
 
 
 def bins(rows: DataFrame, score: str = "score", label: str = "label", edges=EDGES) -> DataFrame:
@@ -90,16 +91,17 @@ def lift(rows: DataFrame, key: str = "target_id", score: str = "score", label: s
 def curve(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Average precision (step-wise, ties as one threshold) and area under the ROC curve.
 
-    Rows collapse to one for each distinct score first; sums run over those.
+    Rows collapse to one for each distinct score first; their running sums are over ranges of scores.
     """
     per = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    down = Window.partitionBy().orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    run = per.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down), "positives": F.sum("p").over(every), "negatives": F.sum(F.col("n") - F.col("p")).over(every)})
+    run = running(per, [F.col("s").desc_nulls_last()], {"tp": F.col("p"), "seen": F.col("n")})
+    every = per.agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"))
     # Negatives below a threshold's rows, and half of those that share its score.
     below = F.col("negatives") - (F.col("seen") - F.col("tp"))
     won = F.col("p") * (below + (F.col("n") - F.col("p")) / 2)
-    return run.agg(F.sum(F.try_divide(F.col("p"), F.col("positives")) * F.col("tp") / F.col("seen")).alias("auc_pr"), F.try_divide(F.sum(won), F.max("positives") * F.max("negatives")).alias("auc_roc"))
+    # Products of counts are whole numbers: their sum doesn't depend on the order of the rows.
+    found = run.crossJoin(F.broadcast(every))
+    return found.agg(F.sum(F.try_divide(F.col("p"), F.col("positives")) * F.col("tp") / F.col("seen")).alias("auc_pr"), F.try_divide(F.sum(won), F.max("positives") * F.max("negatives")).alias("auc_roc"))
 
 
 def tag_relevance(ranked: DataFrame, k: int, words: vocab.Vocabulary = vocab.MUSIC) -> DataFrame:

@@ -9,14 +9,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators import ordered
 from matchloom.operators.metrics import curve
 from matchloom.operators.sampling import order_key
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians; 0 for a column without values."""
-    row = df.agg(*[F.median(c).alias(c) for c in columns]).first()
-    return {c: float(row[c]) if row[c] is not None else 0.0 for c in columns}
+    return {c: 0.0 if m is None else m for c, m in ordered.medians(df, columns).items()}
 
 
 def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:

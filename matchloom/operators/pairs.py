@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchloom.functions import tags as tg
 from matchloom.functions import vectors as vec
@@ -15,8 +16,8 @@ from matchloom.functions import vocab
 from matchloom.functions.text import normalize
 from matchloom.operators.profiles import ATTRIBUTES
 
-#: Rows of the catalogue that may be broadcast (a profile is some kilobytes), and of a block else.
-BROADCAST_ROWS = 20_000
+#: Rows and bytes of the catalogue that may be broadcast, and of a block else.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 128 << 20
 POP_STD_FLOOR = 5.0
 MODEL_FEATURES = (
     "semantic_similarity title_text_similarity semantic_l2_distance title_semantic_diff audio_centroid_cosine audio_centroid_l2 audio_zscore_mean audio_zscore_max bpm_diff energy_diff danceability_diff audio_range_ratio "
@@ -39,21 +40,35 @@ def prepare_items(items: DataFrame, columns: list[str], words: vocab.Vocabulary
     return out.withColumns({f"item_{a}": tg.attributes(f"item_{a}") if f"item_{a}" in items.columns else F.array().cast("array<string>") for a in ATTRIBUTES})
 
 
+def size_of(rows: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes that they take as text; vectors, which are most of a profile, by their numbers."""
+    wide = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType))]
+    numbers = [F.coalesce(F.size(f"`{c}`"), F.lit(0)) * 8 for c in wide]
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in wide]
+    each = sum(numbers, F.length(F.to_json(F.struct(*rest))) if rest else F.lit(0))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()
+    return int(n), int(size)
+
+
 def cross(items: DataFrame, targets: DataFrame, key: str = "target_id") -> DataFrame:
-    """Every item with every target. The full catalogue is the feature; it is broadcast behind a count,
-    and beyond BROADCAST_ROWS dealt by ``key`` into blocks that meet every item once."""
-    if "item_id" in items.columns:
+    """Every item with every target: the full catalogue is the feature.
+
+    The catalogue is broadcast when its counted rows and bytes allow. Beyond, both sides are dealt: targets by
+    ``key`` into blocks of BROADCAST_ROWS or BROADCAST_BYTES, items into slices, and each block meets each slice in a
+    task of its own, so tasks are many however few blocks there are, and none holds more than a block.
+    """
+    spark = items.sparkSession
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n, size = size_of(targets)
+    blocks = max(-(-n // BROADCAST_ROWS), -(-size // BROADCAST_BYTES), 1)
+    if blocks == 1:
         # Dealt by item over all cores: a small table would be one task, and rankings by item then need
         # no shuffle of the pairs.
-        spark = items.sparkSession
-        items = items.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "item_id")
-    n = targets.limit(BROADCAST_ROWS + 1).count()
-    if n <= BROADCAST_ROWS:
-        return items.crossJoin(F.broadcast(targets))
-    blocks = targets.select(key).distinct().count() // BROADCAST_ROWS + 1
-    dealt = targets.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    copied = items.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return copied.join(dealt, "__block").drop("__block")
+        return (items.repartition(slices, "item_id") if "item_id" in items.columns else items).crossJoin(F.broadcast(targets))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    dealt = targets.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("__slice", every(slices))
+    cut = items.withColumn("__slice", F.pmod(F.xxhash64(*items.columns[:1]), F.lit(slices)).cast("int")).withColumn("__block", every(blocks))
+    return cut.join(dealt.hint("shuffle_hash"), ["__block", "__slice"]).drop("__block", "__slice")
 
 
 def _or_zero(c: Column) -> Column:

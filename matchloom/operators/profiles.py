@@ -1,6 +1,6 @@
 """Target profiles: what a target's accepted items say about it, one row a target.
 
-All statistics are partial aggregates over interactions joined to items, so they combine before the
+All statistics are partial aggregates over interactions joined to items, once, so they combine before the
 shuffle; repeated interactions count as often as they occur.
 """
 
@@ -24,15 +24,41 @@ def counts(interactions: DataFrame, key: str = "target_id") -> DataFrame:
     return rows.withColumn("acceptance_rate", F.coalesce(F.try_divide("accepted", F.col("accepted") + F.col("declined")), F.lit(0.0)))
 
 
+def accepted_only(value: Column) -> Column:
+    """The value in rows of accepted items; null, which aggregates leave out, in all others."""
+    return F.when(F.col("label") == 1, value)
+
+
+def exact_mean(value: Column) -> Column:
+    """Mean of numbers taken to six places, summed as decimals: it doesn't depend on the order of the rows."""
+    return F.try_divide(F.sum(value.cast("decimal(20,6)")).cast("double"), F.count(value))
+
+
 def mean_vector(column: str, dim: int) -> Column:
     """Component-wise mean as an aggregate, without exploding the vectors."""
-    return F.array(*[F.avg(F.get(F.col(column), F.lit(i)).cast("double")) for i in range(dim)])
+    means = F.array(*[F.avg(accepted_only(F.get(F.col(column), F.lit(i)).cast("double"))) for i in range(dim)])
+    return F.when(F.count(accepted_only(F.col(column))) > 0, means)
+
+
+def _numbers(columns: list[str]) -> list[Column]:
+    each = lambda f: F.array(*[f(accepted_only(F.col(c))) for c in columns])
+    some = F.count_if(F.col("label") == 1) > 0
+    return [F.when(some, each(f)).alias(f"num_{name}") for name, f in (("centroid", exact_mean), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+
+
+def _popularity() -> list[Column]:
+    p = accepted_only(F.col("popularity"))
+    return [exact_mean(p).alias("pop_mean"), F.stddev_pop(p).alias("pop_std"), F.count(p).alias("pop_count")]
+
+
+def _joined(interactions: DataFrame, items: DataFrame, columns: list[str], key: str, item: str) -> DataFrame:
+    return interactions.where("label = 1").select(key, item, "label").join(items.select(item, *columns), item)
 
 
 def centroids(interactions: DataFrame, items: DataFrame, dim: int, key: str = "target_id", item: str = "item_id", vector: str = "embedding") -> DataFrame:
     """Mean vector of each target's accepted items, duplicates kept."""
-    accepted = interactions.where("label = 1").select(key, item)
-    return accepted.join(items.select(item, vector).where(F.col(vector).isNotNull()), item).groupBy(key).agg(mean_vector(vector, dim).alias("mean_vector"))
+    rows = _joined(interactions, items.where(F.col(vector).isNotNull()), [vector], key, item)
+    return rows.groupBy(key).agg(mean_vector(vector, dim).alias("mean_vector"))
 
 
 def blend(text: Column, mean: Column, weight: float = BLEND) -> Column:
@@ -43,14 +69,22 @@ def blend(text: Column, mean: Column, weight: float = BLEND) -> Column:
 
 def numeric_statistics(interactions: DataFrame, items: DataFrame, columns: list[str], key: str = "target_id", item: str = "item_id") -> DataFrame:
     """num_centroid, num_std (population), num_min, num_max over accepted items, nulls left out."""
-    accepted = interactions.where("label = 1").select(key, item).join(items.select(item, *columns), item)
-    each = lambda f: F.array(*[f(c) for c in columns])
-    return accepted.groupBy(key).agg(each(F.avg).alias("num_centroid"), each(F.stddev_pop).alias("num_std"), each(F.min).alias("num_min"), each(F.max).alias("num_max"))
+    return _joined(interactions, items, columns, key, item).groupBy(key).agg(*_numbers(columns))
 
 
 def popularity(interactions: DataFrame, items: DataFrame, key: str = "target_id", item: str = "item_id") -> DataFrame:
-    accepted = interactions.where("label = 1").select(key, item).join(items.select(item, "popularity"), item)
-    return accepted.groupBy(key).agg(F.avg("popularity").alias("pop_mean"), F.stddev_pop("popularity").alias("pop_std"), F.count("popularity").alias("pop_count"))
+    return _joined(interactions, items, ["popularity"], key, item).groupBy(key).agg(*_popularity())
+
+
+def statistics(interactions: DataFrame, items: DataFrame, columns: list[str], dim: int, key: str = "target_id", item: str = "item_id", vector: str = "embedding") -> DataFrame:
+    """All of the above, and the counts, from one join and one aggregation."""
+    known = items.select(item, vector, "popularity", *[c for c in columns if c != "popularity"], F.lit(True).alias("__known"))
+    rows = interactions.select(key, item, "label").join(known, item, "left")
+    # Statistics of numbers need an item that is known; counts take all.
+    rows = rows.withColumns({"__label": F.col("label"), "label": F.when(F.col("__known"), F.col("label"))})
+    counted = [F.count_if(F.col("__label") == 1).alias("accepted"), F.count_if(F.col("__label") == 0).alias("declined")]
+    found = rows.groupBy(key).agg(*counted, mean_vector(vector, dim).alias("mean_vector"), *_numbers(columns), *_popularity())
+    return found.withColumn("acceptance_rate", F.coalesce(F.try_divide("accepted", F.col("accepted") + F.col("declined")), F.lit(0.0)))
 
 
 def with_tags(targets: DataFrame, words: vocab.Vocabulary = vocab.MUSIC) -> DataFrame:
@@ -67,8 +101,7 @@ def build(targets: DataFrame, interactions: DataFrame, items: DataFrame, columns
     rows = with_tags(targets, words)
     if "text_embedding" not in rows.columns:
         rows = rows.withColumn("text_embedding", F.lit(None).cast("array<double>"))
-    for part in (counts(interactions), centroids(interactions, items, dim), numeric_statistics(interactions, items, columns), popularity(interactions, items)):
-        rows = rows.join(part, "target_id", "left")
+    rows = rows.join(statistics(interactions, items, columns, dim), "target_id", "left")
     rows = rows.withColumn("centroid", blend(F.col("text_embedding"), F.col("mean_vector"), weight))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("accepted", "declined", "pop_count")} | {"acceptance_rate": F.coalesce("acceptance_rate", F.lit(0.0))}
     return rows.withColumns(zero).withColumns({"centroid_norm": vec.norm(F.col("centroid")), "text_norm": vec.norm(F.col("text_embedding"))}).drop("mean_vector")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as vec
+from matchloom.operators.ordered import numbered
 from matchloom.operators.pairs import cross
 from matchloom.workspace import keep
 
@@ -46,8 +47,9 @@ def group_split(rows: DataFrame, group: str = "item_id", share: float = 0.2, see
     """``rows`` with is_test: all rows of a share of the groups. Order is by hash, cut at ceil(share n)."""
     groups = rows.select(group).distinct().withColumn("h", order_key(seed, group))
     n = groups.count()
-    last = groups.orderBy("h").limit(-int(-share * n // 1)).agg(F.max("h").alias("h")).first()["h"]
-    return rows.withColumn("is_test", F.lit(False) if last is None else order_key(seed, group) <= last)
+    cut = -int(-share * n // 1)
+    last = numbered(groups, [F.col("h"), F.col(group)]).where(F.col("place") == cut).first() if cut > 0 else None
+    return rows.withColumn("is_test", F.lit(False) if last is None else order_key(seed, group) <= last["h"])
 
 
 def neighbours(vectors: DataFrame, k: int, key: str = "target_id", vector: str = "centroid", digits: int = 6) -> DataFrame:
@@ -62,7 +64,7 @@ def neighbours(vectors: DataFrame, k: int, key: str = "target_id", vector: str =
 def _quota(candidates: DataFrame, n: int, seed: int) -> DataFrame:
     """The first n candidate pairs by hash."""
     rows = candidates.withColumn("h", order_key(seed, "item_id", "target_id"))
-    return rows.orderBy("h", "item_id", "target_id").limit(n).drop("h")
+    return numbered(rows, [F.col("h"), F.col("item_id"), F.col("target_id")]).where(F.col("place") <= n).drop("h", "place")
 
 
 def _probes(anchors: DataFrame, pool: DataFrame, tries: int, seed: int) -> DataFrame:
@@ -100,12 +102,14 @@ def draw(interactions: DataFrame, targets: DataFrame, item_tags: DataFrame, near
     pool = keep(pool, "pool")
     tries = max(8, 4 * int(config.ratio + 1))
 
-    def numbered(bucket) -> DataFrame:
-        rows = pool.withColumn("bucket", bucket)
-        return rows.withColumn("n", (F.row_number().over(Window.partitionBy("bucket").orderBy("target_id")) - 1).cast("long"))
+    def in_buckets(bucket) -> DataFrame:
+        """The pool numbered from 0 within each bucket; the buckets are few (tiers)."""
+        rows = keep(numbered(pool.withColumn("bucket", bucket), [F.col("bucket"), F.col("target_id")]), "numbered")
+        first = rows.groupBy("bucket").agg(F.min("place").alias("first"))
+        return rows.join(F.broadcast(first), "bucket").withColumn("n", (F.col("place") - F.col("first")).cast("long")).drop("place", "first")
 
     def listed() -> DataFrame:
-        return anchors.join(F.broadcast(pool), F.lit(True))
+        return cross(anchors, pool)
 
     def chosen(rows: DataFrame, allowed, quota: int, salt: int, kind: str, taken: DataFrame) -> DataFrame:
         if quota <= 0:
@@ -116,7 +120,7 @@ def draw(interactions: DataFrame, targets: DataFrame, item_tags: DataFrame, near
     apart = (F.size("side") > 0) & (F.size("target_tags") > 0) & ~F.arrays_overlap("side", "target_tags")
     nothing = pitched.limit(0)
     quota = int(round(total * config.conflict))
-    conflict = chosen(_probes(anchors, numbered(F.lit(0)), tries, seed), apart, quota, seed, "conflict", nothing)
+    conflict = chosen(_probes(anchors, in_buckets(F.lit(0)), tries, seed), apart, quota, seed, "conflict", nothing)
     if conflict.count() < quota:
         conflict = chosen(listed(), apart, quota, seed, "conflict", nothing)
     used = conflict.select("item_id", "target_id")
@@ -125,7 +129,7 @@ def draw(interactions: DataFrame, targets: DataFrame, item_tags: DataFrame, near
     used = used.union(close.select("item_id", "target_id"))
     left = total - conflict.count() - close.count()
     bucket = F.col("tier") if config.stratified else F.lit(0)
-    other = chosen(_probes(anchors, numbered(bucket), tries, seed + 2), F.lit(True), left, seed + 2, "random", used)
+    other = chosen(_probes(anchors, in_buckets(bucket), tries, seed + 2), F.lit(True), left, seed + 2, "random", used)
     missing = left - other.count()
     if missing > 0:
         used = used.union(other.select("item_id", "target_id"))

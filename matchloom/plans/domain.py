@@ -31,15 +31,20 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+#: Added before rounding where a value can lie halfway between two roundings (differences of prices and their
+#: means can), so that its last bit doesn't decide.
+NUDGE = 1e-9
+
+
+def rounded(df: DataFrame, digits: int = DIGITS, nudge: float = 0.0) -> DataFrame:
     """All doubles, also in arrays, to a number of places: sums differ in their last bits."""
     out = []
     for name, kind in df.dtypes:
         c = F.col(name)
         if kind == "double":
-            c = F.round(c, digits) + F.lit(0.0)
+            c = F.round(c + F.lit(nudge), digits) + F.lit(0.0)
         elif kind == "array<double>":
-            c = F.transform(c, lambda x: F.round(x, digits) + F.lit(0.0))
+            c = F.transform(c, lambda x: F.round(x + F.lit(nudge), digits) + F.lit(0.0))
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -142,7 +147,11 @@ means as (select target_id, i, avg(emb[i]) m from accepted, dims where emb is no
 mean_vectors as (select target_id, list(m order by i) v from means group by 1),
 centroids as (select target_id, case when n > 1e-12 then list_transform(v, lambda x: x / n) else v end c from (select target_id, v, sqrt(list_dot_product(v, v)) n from mean_vectors))"""
 
-NUMERIC_SQL = """
-numeric_stats as (select target_id, avg(bpm) c1, avg(energy) c2, stddev_pop(bpm) s1, stddev_pop(energy) s2, min(bpm) lo1, min(energy) lo2, max(bpm) hi1, max(energy) hi2,
-  avg(popularity) pop_mean, stddev_pop(popularity) pop_std, count(popularity) pop_count from accepted group by 1),
+def exact_mean_sql(column: str) -> str:
+    return f"(cast(sum(cast({column} as decimal(18,6))) as double) / nullif(count({column}), 0))"
+
+
+NUMERIC_SQL = f"""
+numeric_stats as (select target_id, {exact_mean_sql('bpm')} c1, {exact_mean_sql('energy')} c2, stddev_pop(bpm) s1, stddev_pop(energy) s2, min(bpm) lo1, min(energy) lo2, max(bpm) hi1, max(energy) hi2,
+  {exact_mean_sql('popularity')} pop_mean, stddev_pop(popularity) pop_std, count(popularity) pop_count from accepted group by 1),
 counted as (select target_id, count(*) filter (where label = 1) accepted, count(*) filter (where label = 0) declined from labelled group by 1)"""

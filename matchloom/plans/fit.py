@@ -21,11 +21,11 @@ def profile_centroid(spark, d):
 
 def profile_numeric_stats(spark, d):
     s = profiles.numeric_statistics(dm.labelled(spark, d), dm.items(spark, d), dm.NUMBERS)
-    return dm.rounded(s.select("target_id", *[F.col(f"num_{k}")[i].alias(f"{c}_{k}") for k in ("centroid", "std", "min", "max") for i, c in enumerate(dm.NUMBERS)]))
+    return dm.rounded(nudge=dm.NUDGE, df=s.select("target_id", *[F.col(f"num_{k}")[i].alias(f"{c}_{k}") for k in ("centroid", "std", "min", "max") for i, c in enumerate(dm.NUMBERS)]))
 
 
 def profile_popularity(spark, d):
-    return dm.rounded(profiles.popularity(dm.labelled(spark, d), dm.items(spark, d)))
+    return dm.rounded(profiles.popularity(dm.labelled(spark, d), dm.items(spark, d)), nudge=dm.NUDGE)
 
 
 def profile_tags_primary_vs_all(spark, d):
@@ -51,7 +51,7 @@ def featured(spark, d):
 
 
 def feat(*names):
-    return lambda spark, d: dm.rounded(featured(spark, d).select("item_id", "target_id", *names))
+    return lambda spark, d: dm.rounded(featured(spark, d).select("item_id", "target_id", *names), nudge=dm.NUDGE)
 
 
 FEATURES = {
@@ -155,15 +155,15 @@ z as (select *, abs(bpm - c1) / (s1 + 1e-3) z1, abs(energy - c2) / (s2 + 1e-3) z
   case when bpm is not null and c1 is not null and energy is not null and c2 is not null then (bpm * c1 + energy * c2) / (sqrt(bpm * bpm + energy * energy) * sqrt(c1 * c1 + c2 * c2))
        when energy is not null and c2 is not null then 1.0 else 0.0 end acos from f)"""
 _FEATURES = {
-    "feat_semantic": "round(semantic, 6) semantic_similarity, 0.0::double title_text_similarity, round(coalesce(list_distance(emb, c), 0), 6) semantic_l2_distance, round(abs(semantic), 6) title_semantic_diff",
-    "feat_audio_z": "round(acos, 6) audio_centroid_cosine, round(coalesce(case when bpm is not null and c1 is not null then sqrt(((bpm - c1) ** 2 + (energy - c2) ** 2) / 2) else abs(energy - c2) end, 0), 6) audio_centroid_l2, round(coalesce(case when z1 is null then z2 else (z1 + z2) / 2 end, 0), 6) audio_zscore_mean, round(coalesce(greatest(z1, z2), 0), 6) audio_zscore_max, round(coalesce(z1, 0), 6) bpm_diff, round(coalesce(z2, 0), 6) energy_diff, 0.0::double danceability_diff",
-    "feat_audio_range": "round(coalesce(case when bpm is null or lo1 is null then cast(energy between lo2 and hi2 as int) else (cast(bpm between lo1 and hi1 as int) + cast(energy between lo2 and hi2 as int)) / 2 end, 0), 6) audio_range_ratio, 1 item_audio_available, cast(c2 is not null as integer) target_audio_available",
-    "feat_popularity": "round(case when popularity is null then 0 else greatest(0, least(1, popularity / 100)) end, 6)::double item_popularity_norm, round(case when popularity is null or pop_mean is null then 0 else greatest(0, least(1, abs(popularity - pop_mean) / 100)) end, 6) popularity_diff_norm, round(coalesce(abs(popularity - pop_mean) / greatest(pop_std, 5), 0), 6) popularity_zscore, cast(popularity is not null and pop_mean is not null as integer) popularity_available",
-    "feat_tags": f"round(case when len(item_tags) > 0 and len(tags) > 0 then inter / uni else 0 end, 6)::double genre_jaccard, cast(inter as integer) genre_overlap_count, cast({_CONFLICT.format(a='item_tags', b='tags')} as integer) genre_conflict_flag, round(case when len(primary_tags) > 0 then len(list_intersect(item_tags, primary_tags)) / len(primary_tags) else inter / len(tags) end, 6) genre_precision_primary, round(inter / len(tags), 6) genre_precision_all, cast(len(item_tags) as integer) item_tag_count, cast(len(tags) as integer) target_tag_count",
-    "feat_soft_attrs": """cast(list_has_any(item_moods, moods) as integer) mood_match_flag, cast(list_has_any(item_languages, languages) as integer) language_match_flag, round(len(list_intersect(item_activities, activities)) / len(list_distinct(item_activities || activities)), 6) activity_match_flag, 1 soft_attr_available,
+    "feat_semantic": "round(semantic + 1e-9::double, 6) semantic_similarity, 0.0::double title_text_similarity, round(coalesce(list_distance(emb, c), 0) + 1e-9::double, 6) semantic_l2_distance, round(abs(semantic) + 1e-9::double, 6) title_semantic_diff",
+    "feat_audio_z": "round(acos + 1e-9::double, 6) audio_centroid_cosine, round(coalesce(case when bpm is not null and c1 is not null then sqrt(((bpm - c1) ** 2 + (energy - c2) ** 2) / 2) else abs(energy - c2) end, 0) + 1e-9::double, 6) audio_centroid_l2, round(coalesce(case when z1 is null then z2 else (z1 + z2) / 2 end, 0) + 1e-9::double, 6) audio_zscore_mean, round(coalesce(greatest(z1, z2), 0) + 1e-9::double, 6) audio_zscore_max, round(coalesce(z1, 0) + 1e-9::double, 6) bpm_diff, round(coalesce(z2, 0) + 1e-9::double, 6) energy_diff, 0.0::double danceability_diff",
+    "feat_audio_range": "round(coalesce(case when bpm is null or lo1 is null then cast(energy between lo2 and hi2 as int) else (cast(bpm between lo1 and hi1 as int) + cast(energy between lo2 and hi2 as int)) / 2 end, 0) + 1e-9::double, 6) audio_range_ratio, 1 item_audio_available, cast(c2 is not null as integer) target_audio_available",
+    "feat_popularity": "round(case when popularity is null then 0 else greatest(0, least(1, popularity / 100)) end + 1e-9::double, 6)::double item_popularity_norm, round(case when popularity is null or pop_mean is null then 0 else greatest(0, least(1, abs(popularity - pop_mean) / 100)) end + 1e-9::double, 6) popularity_diff_norm, round(coalesce(abs(popularity - pop_mean) / greatest(pop_std, 5), 0) + 1e-9::double, 6) popularity_zscore, cast(popularity is not null and pop_mean is not null as integer) popularity_available",
+    "feat_tags": f"round(case when len(item_tags) > 0 and len(tags) > 0 then inter / uni else 0 end + 1e-9::double, 6)::double genre_jaccard, cast(inter as integer) genre_overlap_count, cast({_CONFLICT.format(a='item_tags', b='tags')} as integer) genre_conflict_flag, round(case when len(primary_tags) > 0 then len(list_intersect(item_tags, primary_tags)) / len(primary_tags) else inter / len(tags) end + 1e-9::double, 6) genre_precision_primary, round(inter / len(tags) + 1e-9::double, 6) genre_precision_all, cast(len(item_tags) as integer) item_tag_count, cast(len(tags) as integer) target_tag_count",
+    "feat_soft_attrs": """cast(list_has_any(item_moods, moods) as integer) mood_match_flag, cast(list_has_any(item_languages, languages) as integer) language_match_flag, round(len(list_intersect(item_activities, activities)) / len(list_distinct(item_activities || activities)) + 1e-9::double, 6) activity_match_flag, 1 soft_attr_available,
       cast(2 + (len(languages) > 0)::int + (len(moods) > 0)::int as integer) target_n_soft_attrs, cast(len(languages) > 0 as integer) target_has_language, cast(len(moods) > 0 as integer) target_has_mood""",
-    "feat_interactions": "round(case when len(tags) > 0 then inter / uni else 0 end * semantic, 6) genre_semantic_interaction, round(acos * inter, 6) audio_genre_interaction",
-    "feat_structural": "round(ln(1 + accepted), 6) target_size_log, round(ln(1 + len(tags)), 6) target_genre_richness, round(coalesce(accepted / nullif(accepted + declined, 0), 0), 6) acceptance_rate, accepted, declined",
+    "feat_interactions": "round(case when len(tags) > 0 then inter / uni else 0 end * semantic + 1e-9::double, 6) genre_semantic_interaction, round(acos * inter + 1e-9::double, 6) audio_genre_interaction",
+    "feat_structural": "round(ln(1 + accepted) + 1e-9::double, 6) target_size_log, round(ln(1 + len(tags)) + 1e-9::double, 6) target_genre_richness, round(coalesce(accepted / nullif(accepted + declined, 0), 0) + 1e-9::double, 6) acceptance_rate, accepted, declined",
 }
 CATALOG = f"""{BASE}, scored as (select i.item_id, t.target_id, t.target_name, t.tier, i.k ik, i.item_tags, t.tags, t.primary_tags, i.item_moods, t.moods, i.item_languages, t.languages, i.item_activities, t.activities,
   coalesce(n.accepted, 0) accepted, i.popularity, round((coalesce(list_cosine_similarity(i.emb, c.c), 0) + 1) / 2, 6) score
@@ -182,8 +182,8 @@ def _multiplier(kind: str, threshold: int) -> str:
 ORACLE_SQL = {
     "profile_counts": f"with {HISTORY_SQL} select target_id, count(*) filter (where label = 1) accepted, count(*) filter (where label = 0) declined, round(coalesce(count(*) filter (where label = 1) / nullif(count(*) filter (where label is not null), 0), 0), 6) acceptance_rate from history group by 1",
     "profile_centroid": f"with {ITEMS_SQL}, {HISTORY_SQL}, {CENTROID_SQL} select target_id, cast(i - 1 as integer) i, round(c[i], 6) x from centroids, dims",
-    "profile_numeric_stats": f"with {ITEMS_SQL}, {HISTORY_SQL}, accepted as (select target_id, items.* from labelled join items using (item_id) where label = 1) select target_id, " + ", ".join(f"round({f}({c}), 6) {c}_{k}" for k, f in (("centroid", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")) for c in ("bpm", "energy")) + " from accepted group by 1",
-    "profile_popularity": f"with {ITEMS_SQL}, {HISTORY_SQL} select target_id, round(avg(popularity), 6) pop_mean, round(stddev_pop(popularity), 6) pop_std, count(popularity) pop_count from labelled join items using (item_id) where label = 1 group by 1",
+    "profile_numeric_stats": f"with {ITEMS_SQL}, {HISTORY_SQL}, accepted as (select target_id, items.* from labelled join items using (item_id) where label = 1) select target_id, " + ", ".join(f"round({dm.exact_mean_sql(c) if k == 'centroid' else f'{f}({c})'} + 1e-9::double, 6) {c}_{k}" for k, f in (("centroid", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")) for c in ("bpm", "energy")) + " from accepted group by 1",
+    "profile_popularity": f"with {ITEMS_SQL}, {HISTORY_SQL} select target_id, round({dm.exact_mean_sql('popularity')} + 1e-9::double, 6) pop_mean, round(stddev_pop(popularity) + 1e-9::double, 6) pop_std, count(popularity) pop_count from labelled join items using (item_id) where label = 1 group by 1",
     "profile_tags_primary_vs_all": f"with {TARGETS_SQL} select target_id, primary_tags, tags, activities, countries, languages, []::varchar[] tempos, moods from tagged",
     "profile_coverage": f"{BASE} select count(*) targets, count(c2) with_numbers, count(*) filter (where len(tags) > 0) with_tags, count(*) filter (where pop_count > 0) with_popularity, count(*) filter (where len(activities) > 0) with_activities, count(*) filter (where len(countries) > 0) with_countries, count(*) filter (where len(languages) > 0) with_languages, cast(0 as bigint) with_tempos, count(*) filter (where len(moods) > 0) with_moods from tagged left join numeric_stats using (target_id)",
     **{k: f"{FULL} select item_id, target_id, {v} from z" for k, v in _FEATURES.items()},

@@ -24,26 +24,41 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def exists(self, name: str) -> bool:
+    def _place(self, name: str) -> str | None:
+        """Where the table is: in its folder or, when a writer died between its two renames, beside it."""
         fs, p = self._fs(f"{self.root}/{name}")
-        return fs.exists(p)
+        if fs.exists(p):
+            return f"{self.root}/{name}"
+        _, aside = self._fs(f"{self.root}/.old-{name}")
+        return f"{self.root}/.old-{name}" if fs.exists(aside) else None
+
+    def exists(self, name: str) -> bool:
+        return self._place(name) is not None
 
     def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         """The table; an absent one is empty."""
-        if not self.exists(name):
+        place = self._place(name)
+        if place is None:
             return self.spark.createDataFrame([], schema or T.StructType([]))
         reader = self.spark.read
-        return (reader.schema(schema) if schema else reader).parquet(f"{self.root}/{name}")
+        return (reader.schema(schema) if schema else reader).parquet(place)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Write beside the table, then swap, so that readers and ``df`` itself may read the old one."""
+        """Write beside the table, then swap by renames, so that readers and ``df`` itself may read the old one.
+
+        The old table is set aside, not deleted, until the new one is in place: at no time is there none.
+        """
         fresh = f"{self.root}/.{name}-{uuid.uuid4().hex}"
         df.write.parquet(fresh)
-        fs, old = self._fs(f"{self.root}/{name}")
-        _, new = self._fs(fresh)
-        if fs.exists(old):
-            fs.delete(old, True)
-        fs.rename(new, old)
+        fs, table = self._fs(f"{self.root}/{name}")
+        (_, new), (_, aside) = self._fs(fresh), self._fs(f"{self.root}/.old-{name}")
+        if fs.exists(table):
+            fs.delete(aside, True)
+            if not fs.rename(table, aside):
+                raise OSError(f"can't set {table} aside")
+        if not fs.rename(new, table):
+            raise OSError(f"can't rename {new}")
+        fs.delete(aside, True)
 
     def upsert(self, name: str, df: DataFrame, keys: list[str], updated_at: str = "updated_at", nulls_win: bool = True) -> None:
         """Add rows; of rows with equal keys the latest stays, a later added one among equals."""
@@ -133,7 +148,7 @@ def publish(store: Store, names: list[str], to: str, dry_run: bool = False) -> l
         raise FileNotFoundError(f"not in the store: {', '.join(missing)}")
     manifest = []
     for name in names:
-        source, target = f"{store.root}/{name}", f"{to.rstrip('/')}/{name}"
+        source, target = store._place(name), f"{to.rstrip('/')}/{name}"
         fs, path = store._fs(source)
         manifest.append({"table": name, "from": source, "to": target, "bytes": fs.getContentSummary(path).getLength()})
         if not dry_run:
@@ -153,13 +168,15 @@ def export_features(fetched: DataFrame, cached: DataFrame, columns: list[str], a
     ``analyse`` is a function for mapInPandas over the items that have no cached row and a preview.
     """
     first = latest(fetched, ["item_id"], [F.col("target_id"), F.col("item_name")])
-    have = latest(cached, ["item_id"], [F.lit(0)]).select("item_id", *columns)
+    # Of an item's cached rows the one with the most recent time, where there is one, then the largest values.
+    newest = [F.col(c).desc_nulls_last() for c in ("updated_at", *columns) if c in cached.columns]
+    have = latest(cached, ["item_id"], newest).select("item_id", *columns)
     old = first.join(have, "item_id")
     new = first.join(have.select("item_id"), "item_id", "left_anti").where("preview_url is not null")
     if analyse is not None:
         new = new.mapInPandas(analyse, old.schema)
         old = old.unionByName(new)
-    return latest(old, ["item_id"], [F.lit(0)])
+    return latest(old, ["item_id"], [F.col(c).desc_nulls_last() for c in columns])
 
 
 def numbered(df: DataFrame, keys: list[str], order: list) -> DataFrame:
