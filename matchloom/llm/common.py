@@ -31,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a file of a short table, about.
+FILE_ROWS = 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset and the master is
     local (tests on one machine) a temporary folder is made and set as the session's."""
@@ -58,9 +62,11 @@ class Workspace:
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df`` written and read back. With a bound on its rows it makes no more files than they need: short
+        tables of many rounds would otherwise be thousands of files."""
         path = f"{self.base}/{name}-{len(self._paths)}"
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
         self._paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

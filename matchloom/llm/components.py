@@ -15,21 +15,22 @@ def connected(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:
     contracts the edges, so at least half of the components that still have an edge go. Rounds
     are written tables; the driver sees only whether edges are left.
     """
-    live = work.keep(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
-    labels = work.keep(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), f"{name}-labels")
-    round_ = 0
+    n = edges.count()
+    live = work.keep(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges", n)
+    labels = work.keep(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), f"{name}-labels", 2 * n)
+    nodes, round_ = labels.count(), 0
     while (left := live.count()) > 0:
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = work.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"), F.count(F.lit(1)).alias("__n")), f"{name}-hook{round_}")
+        hook = work.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"), F.count(F.lit(1)).alias("__n")), f"{name}-hook{round_}", 2 * left)
         jump = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
-        hook = work.keep(hook.join(jump, "to", "left").select("a", F.coalesce("next", "to").alias("to"), "__n"), f"{name}-jump{round_}")
+        hook = work.keep(hook.join(jump, "to", "left").select("a", F.coalesce("next", "to").alias("to"), "__n"), f"{name}-jump{round_}", 2 * left)
         # A large component's label, and a node with many edges, are keys of many rows.
         sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("__n"))
-        step = work.keep(sizes.join(hook.select(F.col("a").alias("label"), "to"), "label"), f"{name}-step{round_}")
-        moved = join_skewed(labels, step, ["label"], labels.count(), "left")
-        labels = work.keep(moved.select("node", F.coalesce("to", "label").alias("label")), f"{name}-labels{round_}")
+        step = work.keep(sizes.join(hook.select(F.col("a").alias("label"), "to"), "label"), f"{name}-step{round_}", 2 * left)
+        moved = join_skewed(labels, step, ["label"], nodes, "left")
+        labels = work.keep(moved.select("node", F.coalesce("to", "label").alias("label")), f"{name}-labels{round_}", nodes)
         ends = join_skewed(live, hook, ["a"], left).select(F.col("to").alias("x"), "b")
         ends = join_skewed(ends, hook.select(F.col("a").alias("b"), F.col("to").alias("y"), "__n"), ["b"], left)
-        live = work.keep(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges{round_}")
+        live = work.keep(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges{round_}", left)
         round_ += 1
     return labels

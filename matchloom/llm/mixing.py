@@ -65,7 +65,8 @@ def solve(bins: DataFrame, aims: DataFrame, work: Workspace) -> DataFrame:
     start = {"factor": 0.0, "low": -WIDEST, "high": WIDEST}
     state = aims.join(scale, aims.source.eqNullSafe(scale.source)).drop(scale.source).withColumns({k: F.lit(v) for k, v in start.items()})
     state = state.withColumn("factor", F.when(F.col("full"), F.lit(WIDEST)).otherwise(F.col("factor"))).withColumn("open", ~F.col("full") & (F.col("target") > 0))
-    state = work.keep(state, "state0")
+    sources = aims.count()
+    state = work.keep(state, "state0", sources)
     columns = state.columns
     for i in range(ROUNDS):
         if state.where("open").isEmpty():
@@ -82,7 +83,7 @@ def solve(bins: DataFrame, aims: DataFrame, work: Workspace) -> DataFrame:
         step = F.when((step > low) & (step < high), step).otherwise((low + high) / 2)
         open_ = F.col("open") & (F.abs(short) > 1e-6 * F.col("target")) & (high - low > 1e-12)
         new = {"factor": F.when(open_, step).otherwise(F.col("factor")), "low": F.when(open_, low).otherwise(F.col("low")), "high": F.when(open_, high).otherwise(F.col("high")), "open": open_}
-        state = work.keep(moved.select(*[new.get(c, F.col(c)).alias(c) for c in columns]), f"state{i + 1}")
+        state = work.keep(moved.select(*[new.get(c, F.col(c)).alias(c) for c in columns]), f"state{i + 1}", sources)
     return state
 
 
