@@ -62,10 +62,14 @@ def id_in_url(url: Column | str, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(as_column(url), pattern, 1), F.lit(""))
 
 
-def url_or_id(value: Column | str, pattern: str) -> Column:
-    """An id as it is, or the one in a URL. Blank or unreadable values are null."""
+def url_or_id(value: Column | str, pattern: str, strict: bool = False) -> Column:
+    """An id as it is, or the one in a URL. Blank or unreadable values are null, or, if ``strict``, an error."""
     text = text_or_null(value)
-    return F.when(text.contains("/"), id_in_url(text, pattern)).otherwise(text)
+    found = F.when(text.contains("/"), id_in_url(text, pattern)).otherwise(text)
+    if not strict:
+        return found
+    shown = F.coalesce(text, F.lit(""))
+    return F.coalesce(found, F.when(text.isNull(), F.raise_error(F.lit("an id or a URL is empty"))).otherwise(F.raise_error(F.concat(F.lit("no id in "), shown))).cast("string"))
 
 
 def with_suffixes(base: Column, suffixes: dict[str, Column]) -> Column:

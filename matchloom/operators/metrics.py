@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import tags as tg
 from matchloom.functions import vocab
 from matchloom.operators.ordered import medians, running
+from matchloom.workspace import keep
 
 KS = (1, 3, 5, 10)
 #: The edges of ten calibration bins as a linear space has them in doubles.
@@ -88,20 +89,23 @@ def lift(rows: DataFrame, key: str = "target_id", score: str = "score", label: s
     return per.withColumn("lift", F.when(F.col("observed") > 0, F.col("predicted") / F.col("observed")))
 
 
-def curve(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Average precision (step-wise, ties as one threshold) and area under the ROC curve.
+def curve(rows: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """Average precision (step-wise, ties as one threshold) and area under the ROC curve, of each group if given.
 
     Rows collapse to one for each distinct score first; their running sums are over ranges of scores.
     """
-    per = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    run = running(per, [F.col("s").desc_nulls_last()], {"tp": F.col("p"), "seen": F.col("n")})
-    every = per.agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"))
-    # Negatives below a threshold's rows, and half of those that share its score.
-    below = F.col("negatives") - (F.col("seen") - F.col("tp"))
-    won = F.col("p") * (below + (F.col("n") - F.col("p")) / 2)
-    # Products of counts are whole numbers: their sum doesn't depend on the order of the rows.
-    found = run.crossJoin(F.broadcast(every))
-    return found.agg(F.sum(F.try_divide(F.col("p"), F.col("positives")) * F.col("tp") / F.col("seen")).alias("auc_pr"), F.try_divide(F.sum(won), F.max("positives") * F.max("negatives")).alias("auc_roc"))
+    by = by or []
+    per = rows.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
+    run = keep(running(per, [*[F.col(c) for c in by], F.col("s").desc_nulls_last()], {"tp": F.col("p"), "seen": F.col("n")}), "running")
+    # What was counted before a group's first row isn't its own.
+    every = run.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"), F.min(F.col("tp") - F.col("p")).alias("tp0"), F.min(F.col("seen") - F.col("n")).alias("seen0"))
+    found = run.join(F.broadcast(every), by) if by else run.crossJoin(F.broadcast(every))
+    tp, seen, p, n = F.col("tp") - F.col("tp0"), F.col("seen") - F.col("seen0"), F.col("p"), F.col("n")
+    # Negatives below a threshold's rows, and half of those that share its score. Their products with
+    # counts are whole or half numbers: the sum doesn't depend on the order of the rows.
+    won = p * (F.col("negatives") - (seen - tp) + (n - p) / 2)
+    areas = [F.sum(F.try_divide(p, F.col("positives")) * tp / seen).alias("auc_pr"), F.try_divide(F.sum(won), F.max("positives") * F.max("negatives")).alias("auc_roc")]
+    return found.groupBy(*by).agg(*areas) if by else found.agg(*areas)
 
 
 def tag_relevance(ranked: DataFrame, k: int, words: vocab.Vocabulary = vocab.MUSIC) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from matchloom.operators import ordered
 from matchloom.operators.metrics import curve
 from matchloom.operators.sampling import order_key
+from matchloom.sources.tables import Store
+from matchloom.workspace import keep
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -70,6 +72,24 @@ class Ranker:
             total = total + F.col(p)
         return rows.withColumn(out, total / len(parts)).drop(*parts)
 
+    def save(self, store: Store, name: str = "ranker") -> None:
+        """The fitted folds and what they need, below the store; a model of that name is replaced."""
+        for i, parts in enumerate(self.models):
+            for part, fitted in zip(("trees", "sigmoid"), parts, strict=True):
+                fitted.write().overwrite().save(f"{store.root}/{name}/fold{i}/{part}")
+        kept = {k: getattr(self, k) for k in ("features", "folds", "trees", "depth", "rate", "seed", "values")}
+        store.write_state(kept, f"{name}-metadata")  # last: a model without it isn't complete
+
+    @classmethod
+    def load(cls, store: Store, name: str = "ranker") -> Ranker:
+        kept = store.read_state(f"{name}-metadata")
+        if not kept:
+            raise FileNotFoundError(f"no model {name} in {store.root}")
+        found = cls(*(kept[k] for k in ("features", "folds", "trees", "depth", "rate", "seed")))
+        found.values = kept["values"]
+        found.models = [tuple(PipelineModel.load(f"{store.root}/{name}/fold{i}/{part}") for part in ("trees", "sigmoid")) for i in range(found.folds)]
+        return found
+
     def importances(self) -> list[tuple[str, float]]:
         """Mean over the folds, largest first, ties by name."""
         mean = dict.fromkeys(self.features, 0.0)
@@ -79,21 +99,35 @@ class Ranker:
         return sorted(mean.items(), key=lambda x: (-x[1], x[0]))
 
 
-def permuted(df: DataFrame, column: str, seed: int, keys=("item_id", "target_id")) -> DataFrame:
-    """``df`` with one column's values moved to other rows, by two hash orders.
+def permuted(df: DataFrame, seed: int, columns: list[str], out: str, keys=("item_id", "target_id")) -> DataFrame:
+    """``df`` with a struct ``out`` of another row's values of the columns, by two hash orders.
 
     Rows are numbered inside hash buckets, so no window runs over all of them.
     """
     bucket = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(64))
     numbered = df.withColumn("__b", bucket)
     here = numbered.withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy(order_key(seed, *keys))))
-    there = numbered.select("__b", F.row_number().over(Window.partitionBy("__b").orderBy(order_key(seed + 1, *keys))).alias("__n"), F.col(column).alias("__v"))
-    return here.join(there, ["__b", "__n"]).withColumn(column, F.col("__v")).drop("__b", "__n", "__v")
+    there = numbered.select("__b", F.row_number().over(Window.partitionBy("__b").orderBy(order_key(seed + 1, *keys))).alias("__n"), F.struct(*columns).alias(out))
+    return here.join(there, ["__b", "__n"]).drop("__b", "__n")
+
 
+def permutation_importance(ranker: Ranker, df: DataFrame, columns: list[str], repeats: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
+    """(feature, loss): mean loss of ROC area when a column is permuted, largest first.
 
-def permutation_importance(ranker: Ranker, df: DataFrame, columns: list[str], repeats: int = 5, seed: int = 42) -> list[tuple[str, float]]:
-    """Mean loss of ROC area when a column is permuted."""
-    area = lambda rows: float(curve(ranker.score(rows)).first()["auc_roc"] or 0.0)
-    base = area(df)
-    out = [(c, base - sum(area(permuted(df, c, seed + 10 * i)) for i in range(repeats)) / repeats) for c in columns]
-    return sorted(out, key=lambda x: (-x[1], x[0]))
+    One plan scores all columns and repeats: a row meets one other row a repeat, and is copied once for each
+    column, which takes the other row's value. Column -1 is the unchanged base.
+    """
+    rows = df.select("item_id", "target_id", label, *ranker.features)
+    copies = F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))).alias("__column")
+    tried = None
+    for i in range(repeats):
+        met = permuted(rows, seed + 10 * i, columns, "__other").select("*", F.lit(i).alias("__repeat"), copies)
+        met = met if i == 0 else met.where("__column >= 0")
+        tried = met if tried is None else tried.unionByName(met)
+    moved = {c: F.when(F.col("__column") == i, F.col(f"__other.{c}")).otherwise(F.col(c)) for i, c in enumerate(columns)}
+    scored = ranker.score(tried.withColumns(moved).drop("__other")).select("__column", "__repeat", label, "score")
+    areas = keep(curve(scored, label=label, by=["__column", "__repeat"]), "areas")
+    base = areas.where("__column = -1").select(F.coalesce("auc_roc", F.lit(0.0)).alias("base"))
+    loss = areas.where("__column >= 0").groupBy("__column").agg(F.avg(F.coalesce("auc_roc", F.lit(0.0))).alias("mean"))
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__column") + 1)
+    return loss.crossJoin(F.broadcast(base)).select(names.alias("feature"), (F.col("base") - F.col("mean")).alias("loss")).orderBy(F.col("loss").desc(), "feature")

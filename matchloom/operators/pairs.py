@@ -15,6 +15,7 @@ from matchloom.functions import vectors as vec
 from matchloom.functions import vocab
 from matchloom.functions.text import normalize
 from matchloom.operators.profiles import ATTRIBUTES
+from matchloom.workspace import keep
 
 #: Rows and bytes of the catalogue that may be broadcast, and of a block else.
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 128 << 20
@@ -59,6 +60,7 @@ def cross(items: DataFrame, targets: DataFrame, key: str = "target_id") -> DataF
     """
     spark = items.sparkSession
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    targets = keep(targets, "catalogue")  # read twice: to be measured, and to be met
     n, size = size_of(targets)
     blocks = max(-(-n // BROADCAST_ROWS), -(-size // BROADCAST_BYTES), 1)
     if blocks == 1:
@@ -71,6 +73,14 @@ def cross(items: DataFrame, targets: DataFrame, key: str = "target_id") -> DataF
     return cut.join(dealt.hint("shuffle_hash"), ["__block", "__slice"]).drop("__block", "__slice")
 
 
+def cross_similar(items: DataFrame, targets: DataFrame, dim: int, key: str = "target_id", vectors: tuple[str, str] = ("embedding", "centroid"), norms: tuple[str, str] = ("item_norm", "centroid_norm"), out: str = "semantic_similarity") -> DataFrame:
+    """``cross`` with the cosine of the sides' vectors, which are left out; 0 where a side has none."""
+    a, b = (rows.withColumns(vec.components(f"__{s}", F.col(v), dim)).drop(v) for rows, s, v in zip((items, targets), "ab", vectors, strict=True))
+    cosine = vec.cosine_of_norms(vec.dot_of_components("__a", "__b", dim), F.col(norms[0]), F.col(norms[1]))
+    rows = cross(a, b, key)
+    return rows.select(*[c for c in rows.columns if not c.startswith(("__a", "__b"))], cosine.alias(out))
+
+
 def _or_zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 

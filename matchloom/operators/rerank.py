@@ -61,13 +61,17 @@ def explicit_multiplier(asked: Column, primary: Column, every: Column, p: Penalt
     return class_multiplier(explicit_class(asked, primary, every, words), breadth(primary, every), p)
 
 
+def apart(a: str) -> Column:
+    """Whether both sides know an attribute and share no value of it."""
+    mine, theirs = F.col(f"item_{a}"), F.col(a)
+    return (F.size(mine) > 0) & (F.size(theirs) > 0) & ~F.arrays_overlap(mine, theirs)
+
+
 def attribute_multiplier(p: Penalties = Penalties(), attributes=tuple(ATTRIBUTES)) -> Column:
     """Over columns item_<a> and <a>: a factor for each attribute that both sides know and don't share."""
     out = F.lit(1.0)
     for a in attributes:
-        mine, theirs = F.col(f"item_{a}"), F.col(a)
-        apart = (F.size(mine) > 0) & (F.size(theirs) > 0) & ~F.arrays_overlap(mine, theirs)
-        out = out * F.when(F.coalesce(apart, F.lit(False)), F.lit(p.language if a == "languages" else p.attribute)).otherwise(F.lit(1.0))
+        out = out * F.when(F.coalesce(apart(a), F.lit(False)), F.lit(p.language if a == "languages" else p.attribute)).otherwise(F.lit(1.0))
     return out
 
 
@@ -113,7 +117,7 @@ def top(scored: DataFrame, n: int, score: str = "score", group: str = "item_id",
     return scored.withColumn("rank", place).where(F.col("rank") <= n)
 
 
-def recommend(requests: DataFrame, profiles: DataFrame, score, n: int = 5, p: Penalties = Penalties(), words: vocab.Vocabulary = vocab.MUSIC) -> DataFrame:
+def recommend(requests: DataFrame, profiles: DataFrame, score, n: int = 5, p: Penalties = Penalties(), words: vocab.Vocabulary = vocab.MUSIC, hard_filter: bool = True) -> DataFrame:
     """The n best targets for each request. ``requests`` are prepared items with asked_tags and, if
     wanted, tier; ``score`` makes the column score from the pairs. Without a candidate: no row."""
     from matchloom.operators.pairs import cross
@@ -123,4 +127,4 @@ def recommend(requests: DataFrame, profiles: DataFrame, score, n: int = 5, p: Pe
     pairs = cross(requests.withColumnRenamed("tier", "asked_tier") if "tier" in requests.columns else requests, profiles)
     if "tier" in requests.columns:
         pairs = pairs.where(F.col("asked_tier").isNull() | (F.col("tier") == F.col("asked_tier")))
-    return top(reweigh(score(pairs), p, words), n).select("item_id", "rank", "target_id", "target_name", "score")
+    return top(reweigh(score(pairs), p, words, hard_filter), n).select("item_id", "rank", "target_id", "target_name", "score")

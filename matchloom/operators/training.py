@@ -20,15 +20,21 @@ def bundle(targets: DataFrame, items: DataFrame, known: DataFrame, columns: list
     return built, keep(pairs.prepare_items(items, columns, words), "items")
 
 
+def scorer(ranker: model.Ranker, columns: list[str], words: vocab.Vocabulary = vocab.MUSIC):
+    """For ``rerank.recommend``: pairs with the ranker's score, through the features that it was fitted on."""
+    return lambda rows: ranker.score(pairs.features(rows, columns, words))
+
+
 def train(targets: DataFrame, items: DataFrame, interactions: DataFrame, columns: list[str], dim: int, settings: Settings = Settings(), words: vocab.Vocabulary = vocab.MUSIC, store: Store | None = None, features: list[str] | None = None) -> tuple[model.Ranker, dict]:
     """The fitted ranker and its report. Items are split before anything is learned from them; a training
-    pair's own label is part of the profile it meets, a test pair's never is."""
+    pair's own label is part of the profile it meets, a test pair's never is. With a store, the report's tables
+    (also as CSV), the profiles and the ranker are kept there, as ``service.Service`` reads them."""
     features = features or pairs.MODEL_FEATURES
     rows = interactions.na.drop(subset=["item_id", "target_id", "label"]).select("item_id", "target_id", "label")
     split = keep(sampling.group_split(rows, share=settings.test_share, seed=settings.seed), "split")
     known, held = split.where("not is_test").drop("is_test"), split.where("is_test").drop("is_test")
     built, prepared = bundle(targets, items, known, columns, dim, settings, words)
-    near = sampling.neighbours(built.select("target_id", "centroid"), settings.neighbours)
+    near = sampling.neighbours(built.select("target_id", "centroid"), settings.neighbours, dim=dim)
     drawn = sampling.draw(known, built.select("target_id", "tags", "tier"), prepared.select("item_id", "item_tags"), near, settings.negatives, settings.seed)
     train_pairs = known.unionByName(drawn.select("item_id", "target_id", F.lit(0).alias("label")))
     featured = lambda p: pairs.featurize(p, prepared, built, columns, words)
@@ -65,5 +71,9 @@ def train(targets: DataFrame, items: DataFrame, interactions: DataFrame, columns
     if store is not None:
         for name, table in tables.items():
             store.write(name, table)
+            store.write_csv(name, table)
+        store.write("profiles", built)
+        ranker.save(store)
+        store.write_state({"columns": columns, "dim": dim}, "service")
         store.write_state(json.loads(json.dumps(report, default=str)), "evaluation_report")
     return ranker, report

@@ -10,10 +10,26 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import vocab
 from matchloom.operators.metrics import ranking
-from matchloom.operators.rerank import breadth, class_multiplier, explicit_class
+from matchloom.operators.profiles import ATTRIBUTES
+from matchloom.operators.rerank import apart, breadth, class_multiplier, explicit_class
 
-#: The penalties to combine.
-GRID = {"no_match": [0.02, 0.1, 0.3], "untagged": [0.3, 0.6], "secondary": [0.4, 0.8], "breadth": [4, 6]}
+#: The penalties to combine, all and a quick choice.
+GRID = {
+    "no_match": [0.01, 0.02, 0.05, 0.1, 0.15],
+    "untagged": [0.1, 0.2, 0.3, 0.4, 0.5],
+    "secondary": [0.2, 0.3, 0.4, 0.5, 0.6, 0.7],
+    "attribute": [0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0],
+    "language": [0.1, 0.2, 0.3, 0.4, 0.5],
+    "breadth": [4, 5, 6, 7, 8],
+}
+QUICK = {
+    "no_match": [0.02, 0.05, 0.1],
+    "untagged": [0.2, 0.3, 0.5],
+    "secondary": [0.3, 0.5, 0.7],
+    "attribute": [0.5, 0.7, 0.9, 1.0],
+    "language": [0.2, 0.3, 0.5],
+    "breadth": [4, 6, 8],
+}
 
 
 def grid(spark: SparkSession, options: dict[str, list] = GRID) -> DataFrame:
@@ -23,16 +39,26 @@ def grid(spark: SparkSession, options: dict[str, list] = GRID) -> DataFrame:
 
 
 def search(pairs: DataFrame, combos: DataFrame, words: vocab.Vocabulary = vocab.MUSIC, ks=(5,)) -> DataFrame:
-    """Ranking metrics of each combination. ``pairs``: item_id, target_id, label, score, asked_tags, primary_tags, tags.
+    """Ranking metrics of each combination. ``pairs``: item_id, target_id, label, score, asked_tags, primary_tags, tags;
+    where both item_<attribute> and <attribute> are there, those that both sides know and don't share cost too.
 
-    The class and breadth of a pair don't depend on the combination and are found once; the grid is a
-    parameter of a few thousand rows, and is broadcast.
+    What a pair is (class, breadth, attributes apart) doesn't depend on the combination and is found once, and items
+    that can't count, without a positive, are left out before the combinations; the grid, a parameter of some
+    thousand rows, is broadcast. A grid without a knob leaves that rule out.
     """
     kind = explicit_class(F.col("asked_tags"), F.col("primary_tags"), F.col("tags"), words)
-    flat = pairs.select("item_id", "target_id", "label", "score", kind.alias("kind"), breadth(F.col("primary_tags"), F.col("tags")).alias("wide"))
+    known = [a for a in ATTRIBUTES if {a, f"item_{a}"} <= set(pairs.columns)]
+    count = lambda names: sum((F.when(F.coalesce(apart(a), F.lit(False)), 1).otherwise(0) for a in names), F.lit(0))
+    other, spoken = count([a for a in known if a != "languages"]), count([a for a in known if a == "languages"])
+    some = pairs.where("label = 1").select("item_id").distinct()
+    flat = pairs.join(some, "item_id", "left_semi").select("item_id", "target_id", "label", "score", kind.alias("kind"), breadth(F.col("primary_tags"), F.col("tags")).alias("wide"), other.alias("n_other"), spoken.alias("n_spoken"))
     p = SimpleNamespace(**{k: F.col(f"g_{k}") for k in ("no_match", "untagged", "secondary", "breadth")})
     each = flat.crossJoin(F.broadcast(combos))
-    each = each.withColumn("score", F.round(F.col("score") * class_multiplier(F.col("kind"), F.col("wide"), p), 9))
+    factor = class_multiplier(F.col("kind"), F.col("wide"), p)
+    for knob, n in (("attribute", "n_other"), ("language", "n_spoken")):
+        if f"g_{knob}" in combos.columns:
+            factor = factor * F.pow(F.col(f"g_{knob}"), F.col(n))
+    each = each.withColumn("score", F.round(F.col("score") * factor, 9))
     return ranking(each, "item_id", by=["combo"], ks=ks)
 
 

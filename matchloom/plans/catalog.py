@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.plans import evaluation, fit, ingest
+from matchloom.plans import evaluation, fit, ingest, music
 
-QUERIES = ingest.QUERIES | fit.QUERIES | evaluation.QUERIES
-ORACLE_SQL = ingest.ORACLE_SQL | fit.ORACLE_SQL | evaluation.ORACLE_SQL
+QUERIES = ingest.QUERIES | fit.QUERIES | evaluation.QUERIES | music.QUERIES
+ORACLE_SQL = ingest.ORACLE_SQL | fit.ORACLE_SQL | evaluation.ORACLE_SQL | music.ORACLE_SQL

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchloom.operators import metrics, model, profiles, rerank, sampling, tuning
+from matchloom.operators import metrics, model, pairs, profiles, rerank, sampling, tuning
 from matchloom.plans import domain as dm
 from matchloom.plans import fit
 from matchloom.plans.domain import CENTROID_SQL, HISTORY_SQL, ITEMS_SQL, TARGETS_SQL
@@ -95,10 +95,11 @@ def auc_roc(spark, d):
 
 
 def penalty_grid(spark, d):
-    i = fit.prepared(spark, d).select("item_id", F.col("item_tags").alias("asked_tags"))
-    t = profiles.with_tags(dm.targets(spark, d), dm.PARTS).select("target_id", "tags", "primary_tags")
+    """All six knobs, the quick choice of their values: 972 combinations."""
+    i = fit.prepared(spark, d).select("item_id", F.col("item_tags").alias("asked_tags"), *[f"item_{a}" for a in profiles.ATTRIBUTES])
+    t = profiles.with_tags(dm.targets(spark, d), dm.PARTS).select("target_id", "tags", "primary_tags", *profiles.ATTRIBUTES)
     rows = scored(spark, d).select("item_id", "target_id", "label", "score").join(i, "item_id").join(t, "target_id")
-    return dm.rounded(tuning.search(rows, tuning.grid(spark, {"no_match": [0.02, 0.3], "untagged": [0.3], "secondary": [0.4, 0.8], "breadth": [1, 4]}), dm.PARTS))
+    return dm.rounded(tuning.search(rows, tuning.grid(spark, tuning.QUICK), dm.PARTS))
 
 
 def overtag_impact(spark, d):
@@ -116,14 +117,14 @@ def group_split_no_leak(spark, d):
 
 def neighbors_topk(spark, d):
     c = profiles.centroids(dm.labelled(spark, d), dm.items(spark, d), dm.DIM).select("target_id", F.col("mean_vector").alias("centroid"))
-    return sampling.neighbours(c, 5).select("target_id", "neighbour", "rank")
+    return sampling.neighbours(c, 5, dim=dm.DIM).select("target_id", "neighbour", "rank")
 
 
 def negatives(spark, d, config, kind):
     history = dm.labelled(spark, d)
     t = profiles.with_tags(dm.targets(spark, d), dm.PARTS).select("target_id", "tags", "tier")
     i = fit.prepared(spark, d).select("item_id", "item_tags")
-    near = sampling.neighbours(profiles.centroids(history, dm.items(spark, d), dm.DIM).select("target_id", F.col("mean_vector").alias("centroid")), 5)
+    near = sampling.neighbours(profiles.centroids(history, dm.items(spark, d), dm.DIM).select("target_id", F.col("mean_vector").alias("centroid")), 5, dim=dm.DIM)
     return sampling.draw(history, t, i, near, config).where(F.col("kind") == kind).select("item_id", "target_id")
 
 
@@ -143,29 +144,28 @@ def neg_random_stratified(spark, d):
 def training(spark, d):
     rows = dm.labelled(spark, d).groupBy("item_id", "target_id").agg(F.max("label").alias("label"))
     split = sampling.group_split(rows)
-    from matchloom.operators import pairs
 
     known = split.where(~F.col("is_test"))
     built = profiles.build(dm.targets(spark, d), known, dm.items(spark, d), dm.NUMBERS, dm.DIM, dm.PARTS)
-    return keep(pairs.featurize(split, fit.prepared(spark, d), built, dm.NUMBERS, dm.PARTS).select("item_id", "target_id", "is_test", "label", *FITTED), "training")
+    return keep(pairs.featurize(split, fit.prepared(spark, d), built, dm.NUMBERS, dm.PARTS).select("item_id", "target_id", "is_test", "label", *pairs.MODEL_FEATURES), "training")
 
 
-FITTED = ["semantic_similarity", "semantic_l2_distance", "audio_zscore_mean", "genre_jaccard", "popularity_zscore", "target_size_log"]
+def fitted(rows):
+    """The ranker with its defaults, on all features of the training rows."""
+    return model.Ranker(pairs.MODEL_FEATURES).fit(rows.where("not is_test").drop("is_test"))
 
 
 def train_and_score(spark, d):
     """Split by item, profiles from training rows only, calibrated trees; metrics of the test rows."""
     rows = training(spark, d)
-    ranker = model.Ranker(FITTED, folds=2, trees=5, depth=3).fit(rows.where("not is_test").select("item_id", "target_id", "label", *FITTED))
-    test = ranker.score(rows.where("is_test").select("item_id", "target_id", "label", *FITTED))
+    test = keep(fitted(rows).score(rows.where("is_test").drop("is_test")), "test")
     return metrics.ranking(test).crossJoin(F.broadcast(metrics.curve(test)))
 
 
 def permutation_importance(spark, d):
+    """Loss of ROC area for every feature, five repeats."""
     rows = training(spark, d)
-    ranker = model.Ranker(FITTED, folds=2, trees=3, depth=3).fit(rows.where("not is_test").select("item_id", "target_id", "label", *FITTED))
-    test = rows.where("is_test").select("item_id", "target_id", "label", *FITTED)
-    return spark.createDataFrame(model.permutation_importance(ranker, test, FITTED[:3], repeats=2), "feature string, loss double")
+    return model.permutation_importance(fitted(rows), rows.where("is_test").drop("is_test"), pairs.MODEL_FEATURES)
 
 
 def stream_upsert(spark, d):
@@ -191,7 +191,8 @@ _TAGGED = f"with {TARGETS_SQL}, {ITEMS_SQL}, {SCORED_SQL}"
 _SCORES = f"with {QUALITY_SQL}, per as (select score, sum(label)::double p, count(*)::double n from q group by 1), run as (select *, sum(p) over (order by score desc) tp, sum(n) over (order by score desc) seen, sum(p) over () tot, sum(n - p) over () neg from per)"
 _MEDIAN = "case when popularity >= (select median(popularity) from {rel}) then 'high' when popularity is not null then 'low' end"
 _CLASS = fit._CLASS.format(a="item_tags")
-_GRID = """grid as (select cast(row_number() over (order by a, s, b) - 1 as integer) combo, a, s, b from (values (0.02::double), (0.3)) x(a), (values (0.4::double), (0.8)) y(s), (values (1), (4)) z(b))"""
+_KNOBS = ", ".join(f"(values {', '.join(f'({x}::double)' for x in values)}) v{i}(g{i})" for i, values in enumerate(tuning.QUICK.values()))
+_GRID = f"grid as (select cast(row_number() over (order by {', '.join(f'g{i}' for i in range(6))}) - 1 as integer) combo, * from {_KNOBS})"
 _PITCHED = "pitched as (select distinct item_id, target_id from labelled), positive as (select item_id, target_id anchor from labelled where label = 1)"
 _HASH = "md5('{seed}|' || item_id || '|' || target_id)"
 _TOTAL = "(select cast(round_even(count(*) * 0.5, 0) as bigint) from positive)"
@@ -214,8 +215,8 @@ ORACLE_SQL = {
       select count(*) n_items, round(avg(a), 6) tag_precision_at_5, round(avg(p), 6) primary_tag_precision_at_5, round(avg(c), 6) conflict_rate_at_5 from b""",
     "auc_pr": f"{_SCORES} select round(sum(p / tot * tp / seen), 6) auc_pr from run",
     "auc_roc": f"{_SCORES} select round(sum(p * (neg - (seen - tp) + (n - p) / 2)) / (max(tot) * max(neg)), 6) auc_roc from run",
-    "penalty_grid": f"""{_TAGGED}, {_GRID}, flat as (select s.*, {_CLASS} kind, {fit._BREADTH} wide from scored s join items using (item_id) join tagged using (target_id)),
-      each_ as (select item_id, target_id, label, combo, round(score * (case kind when 'untagged' then 0.3::double when 'primary' then 1.0 when 'none' then a else s end * case when kind <> 'untagged' and wide > b then sqrt(b / wide) else 1.0 end), 9) score from flat, grid),
+    "penalty_grid": f"""{_TAGGED}, {_GRID}, flat as (select s.*, {_CLASS} kind, {fit._BREADTH} wide, (case when len(moods) > 0 and not list_has_any(item_moods, moods) then 1 else 0 end) + (case when not list_has_any(item_activities, activities) then 1 else 0 end) n_other, case when len(languages) > 0 and not list_has_any(item_languages, languages) then 1 else 0 end n_spoken from scored s join items using (item_id) join tagged using (target_id)),
+      each_ as (select item_id, target_id, label, combo, round(score * ((case kind when 'untagged' then g1 when 'primary' then 1.0 when 'none' then g0 else g2 end * case when kind <> 'untagged' and wide > g5 then sqrt(g5 / wide) else 1.0 end) * pow(g3, n_other) * pow(g4, n_spoken)), 9) score from flat, grid),
       ranked as (select *, row_number() over (partition by combo, item_id order by score desc, target_id) r from each_),
       per as (select combo, item_id, count(*) filter (where label = 1) p, min(case when label = 1 then r end) first, count(*) filter (where label = 1 and r <= 5) h, sum(case when label = 1 and r <= 5 then 1 / log2(r + 1) else 0 end) g from ranked group by 1, 2 having count(*) filter (where label = 1) > 0)
       select combo, count(*) n_groups, round(avg(1.0 / first), 6) mrr, round(avg(case when h > 0 then 1.0 else 0.0 end), 6) hit_at_5, round(avg(h / 5), 6) precision_at_5, round(avg(h / p), 6) recall_at_5, round(avg(g / list_sum(list_transform(range(1, 1 + least(5, p)), lambda x: 1 / log2(x + 1)))), 6) ndcg_at_5 from per group by 1""",

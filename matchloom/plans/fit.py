@@ -70,8 +70,7 @@ def full_catalog(spark, d):
     """Every item with every target: base score, tier, masks of the tags, attributes of both sides."""
     i = rerank.item_masks(asked(prepared(spark, d)), dm.PARTS).select("item_id", "item_mask", "asked_mask", "embedding", "item_norm", *[f"item_{a}" for a in profiles.ATTRIBUTES])
     t = rerank.target_masks(built(spark, d), dm.PARTS).select("target_id", "target_name", "target_mask", "primary_mask", "breadth", "centroid", "centroid_norm", "tier", *profiles.ATTRIBUTES)
-    score = pairs.semantic()["semantic_similarity"]
-    return pairs.cross(i, t).withColumn("score", F.round((score + 1) / 2, dm.DIGITS)).drop("embedding", "centroid")
+    return pairs.cross_similar(i, t, dm.DIM, out="score").withColumn("score", F.round((F.col("score") + 1) / 2, dm.DIGITS))
 
 
 def full_catalog_pairs(spark, d):
@@ -86,7 +85,7 @@ def recommend_topk_semantic(spark, d):
     i = dm.items(spark, d).select("item_id", "embedding", vec.norm(F.col("embedding")).alias("item_norm"))
     c = profiles.centroids(dm.labelled(spark, d), dm.items(spark, d), dm.DIM).select("target_id", vec.unit(F.col("mean_vector")).alias("centroid"))
     c = c.withColumn("centroid_norm", vec.norm(F.col("centroid")))
-    scored = pairs.cross(i, c).select("item_id", "target_id", F.round(pairs.semantic()["semantic_similarity"], dm.DIGITS).alias("score"))
+    scored = pairs.cross_similar(i, c, dm.DIM).select("item_id", "target_id", F.round("semantic_similarity", dm.DIGITS).alias("score"))
     return rerank.top(scored, 5).select("item_id", "target_id", "rank")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 
 from matchloom.operators.rerank import Penalties
 from matchloom.operators.sampling import Negatives
@@ -11,19 +11,7 @@ from matchloom.operators.sampling import Negatives
 
 @dataclass(frozen=True)
 class Settings:
-    targets_feed: str = ""
-    interactions_feed: str = ""
-    preview_feed: str = ""
-    page_size: int = 1000
-    feed_timeout: float = 20.0
-    history_pages: int = 500
-    data_dir: str = "data"
-    output_dir: str = "output"
-    audio_dir: str = "audio"
-    model_dir: str = "artifacts"
-    embeddings_dir: str = "data/embeddings"
-    embedding_model: str = "hashing"
-    embedding_dim: int = 384
+    embedding_dim: int = 64
     semantic_blend: float = 0.25
     hard_tag_filter: bool = True
     negative_ratio: float = 5.0
@@ -39,13 +27,9 @@ class Settings:
     broad_threshold: int = 4
     test_share: float = 0.2
     seed: int = 42
-    max_targets: int = 2000
-    max_items_per_target: int = 50
     trees: int = 30
     folds: int = 3
     top_n: int = 5
-    detect_language: bool = True
-    extra: dict = field(default_factory=dict)
 
     @classmethod
     def from_env(cls, env=os.environ) -> Settings:
@@ -53,7 +37,7 @@ class Settings:
         found = {}
         for f in fields(cls):
             raw = env.get(f"MATCHLOOM_{f.name.upper()}")
-            if raw is None or f.name == "extra":
+            if raw is None:
                 continue
             kind = type(f.default)
             found[f.name] = raw.strip().lower() not in ("0", "false", "") if kind is bool else kind(raw)

@@ -44,8 +44,9 @@ def pages(fetch: Callable[[int], object], page_size: int, max_pages: int | None
 class PagedFeed(DataSource):
     """``spark.read.format("paged-feed")``: JSON records of a paged feed, one column ``record``.
 
-    Options: ``pages`` (how many partitions read, page by page) and a module-level ``fetcher``
-    ("module:function" taking a page number).
+    Options: a module-level ``fetcher`` ("module:function" taking a page number). With ``pages``, so many
+    partitions read a numbered page each. Without, pages name the next or run out, so one partition follows
+    them; ``page_size`` tells a short, last page, and ``max_pages`` ends the reading early.
     """
 
     @classmethod
@@ -64,23 +65,72 @@ class _PagedReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in range(1, int(self.options.get("pages", 1)) + 1)]
+        return [InputPartition(p) for p in range(1, int(self.options["pages"]) + 1)] if "pages" in self.options else [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         import importlib
 
         module, _, name = self.options["fetcher"].partition(":")
-        payload = getattr(importlib.import_module(module), name)(partition.value)
-        for record in pages(lambda _: payload, page_size=1 << 60):
+        fetch = getattr(importlib.import_module(module), name)
+        if partition.value is None:
+            found = pages(fetch, int(self.options.get("page_size", 1000)), int(self.options.get("max_pages", 0)) or None)
+        else:
+            payload = fetch(partition.value)
+            found = pages(lambda _: payload, page_size=1 << 60, max_pages=1)
+        for record in found:
             yield (json.dumps(record),)
 
 
+def json_fetcher(base: str, headers: dict | None = None, timeout: float = 20.0, opener: Callable | None = None) -> Callable[[str], object]:
+    """A function that reads JSON from a path below ``base``; ``opener`` stands in for the network in tests."""
+    from urllib.request import Request, urlopen
+
+    def fetch(path: str) -> object:
+        with (opener or urlopen)(Request(base.rstrip("/") + path, headers=headers or {}), timeout=timeout) as response:
+            return json.loads(response.read())
+
+    return fetch
+
+
 def feed_frame(spark: SparkSession, records: Iterator[dict], schema: str) -> DataFrame:
     """Records fetched by the driver as rows of a schema."""
     texts = [(json.dumps(r),) for r in records]
     return spark.createDataFrame(texts, "record string").select(F.from_json("record", schema).alias("r")).select("r.*")
 
 
+#: The parts of a collection's page that are read.
+COLLECTION_PAGE = "page int, items array<struct<track: struct<id: string, name: string, artists: array<struct<name: string>>, album: struct<name: string>, preview_url: string, duration_ms: double, popularity: string>>>"
+
+
+def collection(spark: SparkSession, fetch: Callable[[int], dict], step: int = 50, limit: int | None = None) -> DataFrame:
+    """The items of a collection whose pages are read by offset until one names no next.
+
+    Pages are flattened as columns: entries without an id go, artists are joined, a popularity that is no
+    number is null. ``limit`` keeps the first so many and reads no further page than they need.
+    """
+
+    def read() -> Iterator[dict]:
+        have = page = 0
+        following = True
+        while following and not (limit and have >= limit):
+            payload = fetch(page * step)
+            yield {"page": page, "items": payload.get("items") or []}
+            have += sum(1 for e in payload.get("items") or [] if (e.get("track") or {}).get("id"))
+            following, page = payload.get("next"), page + 1
+
+    each = feed_frame(spark, read(), COLLECTION_PAGE).select("page", F.posexplode("items").alias("at", "e")).select("page", "at", "e.track.*")
+    known = each.where(F.coalesce("id", F.lit("")) != "").orderBy("page", "at")
+    return (known.limit(limit) if limit else known).select(
+        F.col("id").alias("item_id"),
+        F.col("name").alias("item_name"),
+        F.array_join("artists.name", ", ").alias("artist"),
+        F.col("album.name").alias("album"),
+        "duration_ms",
+        "preview_url",
+        F.col("popularity").try_cast("double").cast("int").alias("popularity"),
+    )
+
+
 def tier(c: Column | str) -> Column:
     """A whole number from 1 to 4, also from text such as ``3.0``; all else is null."""
     value = (F.col(c) if isinstance(c, str) else c).cast("string").try_cast("double")

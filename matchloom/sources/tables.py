@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.operators.rows import latest
-from matchloom.schemas import ITEMS, conform
+from matchloom.operators.rows import labelled, latest
+from matchloom.schemas import INTERACTIONS, ITEMS, TARGETS, conform
 
 
 class Store:
@@ -60,6 +60,11 @@ class Store:
             raise OSError(f"can't rename {new}")
         fs.delete(aside, True)
 
+    def write_csv(self, name: str, df: DataFrame) -> None:
+        """The table as CSV files with a header, in ``csv/<name>``; lists and maps as JSON."""
+        flat = [F.to_json(c).alias(c) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{c}`") for c, f in zip(df.columns, df.schema.fields, strict=True)]
+        df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{self.root}/csv/{name}")
+
     def upsert(self, name: str, df: DataFrame, keys: list[str], updated_at: str = "updated_at", nulls_win: bool = True) -> None:
         """Add rows; of rows with equal keys the latest stays, a later added one among equals."""
         parts = df.withColumn("__seq", F.lit(1))
@@ -79,6 +84,20 @@ class Store:
         out.close()
 
 
+def load_targets(store: Store) -> DataFrame:
+    """The catalogue, conformed to its schema; empty where there is none."""
+    return conform(store.read("targets", None if store.exists("targets") else TARGETS), TARGETS)
+
+
+def load_interactions(store: Store) -> DataFrame:
+    return conform(store.read("interactions", None if store.exists("interactions") else INTERACTIONS), INTERACTIONS)
+
+
+def load_labelled(store: Store) -> DataFrame:
+    """The interactions whose status says yes or no, with their label."""
+    return labelled(load_interactions(store))[0]
+
+
 def upserted(df: DataFrame, keys: list[str], updated_at: str, sequence: str, nulls_win: bool = True) -> DataFrame:
     """The latest row of each key. A null time counts as the latest, unless ``nulls_win`` is false."""
     at = F.try_to_timestamp(F.col(updated_at).cast("string"))
@@ -156,6 +175,14 @@ def publish(store: Store, names: list[str], to: str, dry_run: bool = False) -> l
     return manifest
 
 
+def pull(store: Store, names: list[str], source: str, replace: bool = False) -> list[str]:
+    """Tables of a published place that the store lacks (or all, to replace), copied into it; their names."""
+    wanted = [n for n in names if replace or not store.exists(n)]
+    for name in wanted:
+        store.write(name, store.spark.read.parquet(f"{source.rstrip('/')}/{name}"))
+    return wanted
+
+
 def target_sources(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Targets that have a name, an id and a URL; at most ``limit``, all if none or not positive."""
     rows = df.where("target_name is not null and target_id is not null and target_url is not null and target_url <> ''").select("target_id", "target_name", "target_url")

@@ -343,7 +343,7 @@ def test_ranker(spark, tmp_path):
     ranker = model.Ranker(["good", "flat"], folds=2, trees=3, depth=2).fit(df)
     assert metrics.curve(ranker.score(df)).first().auc_roc > 0.95
     assert ranker.importances()[0][0] == "good"
-    assert model.permutation_importance(ranker, df, ["good", "flat"], repeats=1)[0][0] == "good"
+    assert model.permutation_importance(ranker, df, ["good", "flat"], repeats=1).first().feature == "good"
     store = tables.Store(spark, f"file://{tmp_path}")
     tables.save_bundle(ranker.models[0][0], {"features": ["good"]}, store, "b")
     loaded, about = tables.load_bundle(store, "b")
@@ -356,9 +356,100 @@ def test_exact_median_imputation(spark):
 
 
 def test_grid(spark):
-    combos = tuning.grid(spark)
-    assert combos.count() == 3 * 2 * 2 * 2
+    combos = tuning.grid(spark, {"no_match": [0.02, 0.1, 0.3], "untagged": [0.3, 0.6], "secondary": [0.4, 0.8], "breadth": [4, 6]})
     data = [("a", "x", 1, 0.5, ["jazz"], ["jazz"], ["jazz"]), ("a", "y", 0, 0.9, ["jazz"], ["rock"], ["rock"])]
     df = frame(spark, data, "item_id string, target_id string, label int, score double, asked_tags array<string>, primary_tags array<string>, tags array<string>")
     got = tuning.search(df, combos)
     assert got.count() == 24 and tuning.best(got).first().combo == 0
+
+
+def test_running_totals_and_medians(spark, monkeypatch):
+    from matchloom.operators import ordered
+
+    rows = spark.range(1000).selectExpr("id * 7919 % 1000 as k", "cast(id as double) as v", "if(id % 3 = 0, null, id * 1.5) as w", "cast(null as double) as nothing")
+    total = {r.k: r.s for r in ordered.running(rows, [F.col("k")], {"s": F.col("k")}).collect()}
+    assert total == {k: k * (k + 1) // 2 for k in range(1000)}
+    assert [r.place for r in ordered.numbered(rows, [F.col("k").desc()]).orderBy(F.col("k").desc()).collect()] == list(range(1, 1001))
+    import statistics
+
+    want = statistics.median([i * 1.5 for i in range(1000) if i % 3])
+    assert ordered.medians(rows, ["v", "w", "nothing"]) == {"v": 499.5, "w": want, "nothing": None}
+    assert ordered.medians(rows.limit(0), ["v"]) == {"v": None}
+
+
+def test_cross_beyond_a_broadcast(spark, monkeypatch):
+    from matchloom.operators import pairs as pr
+
+    items = spark.range(40).selectExpr("cast(id as string) item_id")
+    targets = spark.range(30).selectExpr("cast(id as string) target_id", "array(1.0D, 2.0D) as v")
+    for rows, size in ((7, 1 << 30), (1000, 100)):
+        monkeypatch.setattr(pr, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(pr, "BROADCAST_BYTES", size)
+        dealt = pr.cross(items, targets)
+        assert dealt.select("item_id", "target_id").distinct().count() == dealt.count() == 1200
+        assert "BroadcastNestedLoopJoin" not in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_writer_that_dies_leaves_the_old_table(spark, tmp_path):
+    from matchloom.sources import tables
+
+    store = tables.Store(spark, f"file://{tmp_path}")
+    store.write("t", spark.range(3))
+    store.write("t", store.read("t").union(spark.range(1)))
+    assert store.read("t").count() == 4
+    (tmp_path / "t").rename(tmp_path / ".old-t")  # as between the two renames
+    assert store.exists("t") and store.read("t").count() == 4
+    store.write("t", spark.range(2))
+    assert store.read("t").count() == 2 and store.read("t").count() == 2
+    assert tables.load_targets(store).columns == tables.TARGETS.names and tables.load_labelled(store).count() == 0
+    store.write("interactions", spark.createDataFrame([("m", "Accepted"), ("n", "?")], "match_id string, status string"))
+    assert [r.label for r in tables.load_labelled(store).collect()] == [1]
+    tables.publish(store, ["t"], f"file://{tmp_path}/out")
+    other = tables.Store(spark, f"file://{tmp_path}/other")
+    assert tables.pull(other, ["t"], f"file://{tmp_path}/out") == ["t"] and other.read("t").count() == 2 and tables.pull(other, ["t"], "x") == []
+
+
+CURSOR = {1: {"items": [{"id": 1}, {"id": 2}], "nextPage": 7}, 7: {"items": [{"id": 3}], "nextPage": 9}, 9: {"items": []}}
+
+
+def cursor_page(number):
+    return CURSOR[number]
+
+
+def test_feeds_follow_cursors_and_offsets(spark, tmp_path, monkeypatch):
+    from matchloom.functions import text
+    from matchloom.sources import feeds, media
+
+    (tmp_path / "fake_feed.py").write_text(f"CURSOR = {CURSOR!r}\n\n\ndef page(n):\n    return CURSOR[n]\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "fake_feed.py"))
+    spark.dataSource.register(feeds.PagedFeed)
+    got = spark.read.format("paged-feed").option("fetcher", "fake_feed:page").load()
+    assert sorted(r.record for r in got.collect()) == ['{"id": 1}', '{"id": 2}', '{"id": 3}']
+    assert spark.read.format("paged-feed").option("fetcher", "fake_feed:page").option("max_pages", "1").load().count() == 2
+    track = lambda i: {"track": {"id": f"t{i}" if i else None, "name": f"n{i}", "artists": [{"name": "A"}, {"name": "B"}], "album": {"name": "al"}, "duration_ms": 5, "popularity": i if i != 2 else None}}
+    asked = []
+
+    def fetch(offset):
+        asked.append(offset)
+        return {"items": [track(offset + 1), track(0), track(offset + 2)], "next": offset < 4}
+
+    rows = feeds.collection(spark, fetch, step=2)
+    assert [(r.item_id, r.artist, r.popularity) for r in rows.collect()] == [("t1", "A, B", 1), ("t2", "A, B", None), ("t3", "A, B", 3), ("t4", "A, B", 4), ("t5", "A, B", 5), ("t6", "A, B", 6)]
+    asked.clear()
+    assert feeds.collection(spark, fetch, step=2, limit=2).count() == 2 and asked == [0]
+    import io
+
+    assert feeds.json_fetcher("http://x/", opener=lambda request, timeout: io.BytesIO(b'{"u": "%s"}' % request.full_url.encode()))("/a") == {"u": "http://x/a"}
+    ids = spark.createDataFrame([("https://x/playlist/ab1",), ("ab2",)], "v string")
+    assert [r[0] for r in ids.select(text.url_or_id("v", feeds.TARGET_URL, strict=True)).collect()] == ["ab1", "ab2"]
+    for bad in (" ", None, "https://x/other/z"):
+        with pytest.raises(Exception, match="empty|no id in"):
+            spark.createDataFrame([(bad,)], "v string").select(text.url_or_id("v", feeds.TARGET_URL, strict=True)).collect()
+    items = spark.createDataFrame([("a", None, "ok"), ("b", "have", "ok"), ("c", None, "broken"), ("d", None, None)], "item_id string, preview_url string, item_url string")
+
+    def ask(key, url):
+        if url == "broken":
+            raise OSError(url)
+        return '{"previewUrl": "p-%s"}' % key
+
+    assert {r.item_id: r.preview_url for r in media.resolve_previews(items, ask).collect()} == {"a": "p-a", "b": "have", "c": None, "d": None}

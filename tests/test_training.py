@@ -97,3 +97,66 @@ def test_command_line(capsys):
 
     main(["list"])
     assert "recommend_topk_semantic" in capsys.readouterr().out
+
+
+def test_service_answers_from_what_was_trained(spark, world, tmp_path):
+    from matchloom import server
+    from matchloom.operators.model import Ranker
+    from matchloom.operators.service import Service
+
+    store = Store(spark, f"file://{tmp_path}")
+    with pytest.raises(FileNotFoundError):
+        Service(store)
+    settings = Settings(trees=3, folds=2, neighbours=2, negative_ratio=1.0)
+    ranker, _ = training.train(*world, ["bpm"], 4, settings, store=store)
+    loaded = Ranker.load(store)
+    rows = training.pairs.featurize(world[2].select("item_id", "target_id"), training.pairs.prepare_items(world[1], ["bpm"]), store.read("profiles"), ["bpm"])
+    scores = lambda r: {(x.item_id, x.target_id): x.score for x in r.score(rows).collect()}
+    assert scores(loaded) == pytest.approx(scores(ranker)) and len(scores(loaded)) == 120
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv/ranking_metrics").count() == 1
+
+    service = Service(store, settings)
+    vectors = spark.createDataFrame([("a", [0.1, 0.1, 0.1, 1.0])], "item_id string, embedding array<double>")
+    asked = requests.frame(spark, [requests.request("a", item_name="x", genres=["Jazz"], extra={"bpm": 110})])
+    best = service.recommend(asked, 3, vectors).orderBy("rank").collect()
+    # Jazz targets are p3 and p7; the score is the trained model's, and rules came on top.
+    assert [r.rank for r in best] == [1, 2, 3] and best[0].target_id in ("p3", "p7") and best[0].target_url == "u" + best[0].target_id[1]
+    assert 0 <= best[2].score <= best[1].score <= best[0].score <= 1
+    status, found = server.reply(service, "POST", "/recommend", json.dumps({"requests": [{"item_id": "b", "item_name": "rap song", "tier": 3}], "n": 2}).encode())
+    assert status == 200 and {r["target_id"] for r in found["recommendations"]} == {"p2", "p6"}
+    for bad in (b"{", b"{}", b'{"item_id": "c", "tier": 9}', b'{"item_id": "c", "n": 0}', b'{"item_id": "c", "colour": 1}'):
+        assert server.reply(service, "POST", "/recommend", bad)[0] == 400
+    assert server.reply(service, "GET", "/health", b"") == (200, {"status": "ok", "targets": 8}) and server.reply(service, "GET", "/x", b"")[0] == 404
+
+    import threading
+    import urllib.request
+
+    with server.serve(service, port=0) as running:
+        threading.Thread(target=running.serve_forever, daemon=True).start()
+        with urllib.request.urlopen(f"http://127.0.0.1:{running.server_port}/health") as response:
+            assert json.loads(response.read())["status"] == "ok"
+        running.shutdown()
+
+
+def test_importance_in_one_plan(spark):
+    from matchloom.operators import model
+
+    rows = [(f"i{i}", f"t{i}", (i * 37 % 100) / 100, (i * 53 % 100) / 100, int((i * 37 % 100) > 50)) for i in range(300)]
+    df = spark.createDataFrame(rows, "item_id string, target_id string, good double, noise double, label int")
+    ranker = model.Ranker(["good", "noise"], folds=2, trees=3, depth=2).fit(df)
+    found = model.permutation_importance(ranker, df, ["noise", "good"], repeats=3).collect()
+    assert [r.feature for r in found] == ["good", "noise"] and found[0].loss > 0.3 and abs(found[1].loss) < 0.1
+
+
+def test_grid_of_six_knobs(spark):
+    from matchloom.operators import tuning
+
+    import math
+
+    assert math.prod(map(len, tuning.GRID.values())) == 26_250 and math.prod(map(len, tuning.QUICK.values())) == 972
+    rows = [("a", "x", 1, 0.5, ["pop"], ["pop"], ["pop"], ["en"], ["fr"], ["calm"], ["calm"]), ("a", "y", 0, 0.9, ["pop"], ["jazz"], ["jazz"], ["en"], ["en"], ["calm"], ["dark"]), ("b", "x", 0, 0.9, ["pop"], [], [], [], [], [], [])]
+    names = "item_id string, target_id string, label int, score double, asked_tags array<string>, primary_tags array<string>, tags array<string>, item_languages array<string>, languages array<string>, item_moods array<string>, moods array<string>"
+    options = {"no_match": [0.9], "untagged": [0.3], "secondary": [0.4], "attribute": [0.1, 1.0], "language": [0.1, 1.0], "breadth": [4]}
+    got = {r.combo: r.mrr for r in tuning.search(spark.createDataFrame(rows, names), tuning.grid(spark, options)).collect()}
+    # x scores 0.5 times the language factor; y 0.81 times the attribute factor.
+    assert got == {0: 0.5, 1: 1.0, 2: 0.5, 3: 0.5}
