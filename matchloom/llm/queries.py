@@ -65,6 +65,32 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op 10 that SQL can say: all but the model's score."""
+    found = op10_lm_score(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 3) + F.lit(0.0)).alias("base_score"))
+
+
+def imatch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and edited texts of op 7."""
+    return op7_imatch(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ids of op 9 decode to."""
+    return op9_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op 2."""
+    return op2_entropy_mix(spark, sf_dir).select("doc_id", "size", "source_size", (F.round("target", 3) + F.lit(0.0)).alias("target"))
+
+
+def nearest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarities that op 8 finds, by rank."""
+    return op8_vamana(spark, sf_dir).select("query_id", F.col("rank").cast("long").alias("rank"), (F.round("score", 6) + F.lit(0.0)).alias("score"))
+
+
 QUERIES = {
     "op1_feistel_pii": op1_feistel_pii,
     "op7_imatch": op7_imatch,
@@ -76,8 +102,50 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
     "op8_vamana": op8_vamana,
     "op9_byte_bpe": op9_byte_bpe,
+    "lm_base_columns": lm_base_columns,
+    "imatch_edits": imatch_edits,
+    "bpe_decoded": bpe_decoded,
+    "mix_targets": mix_targets,
+    "nearest_scores": nearest_scores,
 }
 
-#: None of these operators is expressible in SQL at whole-table size; tests/llm holds them against
-#: brute force instead.
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+#: CRC-32 of an id's decimal text, a bit at a time.
+_FOLD = """(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ord(c)::bigint)),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint) % 5)"""
+
+#: SQL for operator 6 and for the columns of others that SQL can say. The rest (pseudonyms, rates and copies, longest
+#: matches, role repair, learned scores, fingerprints, merges) has none: tests/llm holds it against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_setsketch_near_dup": f"""with recursive rows as (select row_number() over () rid, doc_id, {_WORDS.format(text=_LOWER)} ws from documents),
+      shingles as (select distinct rid, s from (select rid, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else []::varchar[] end) s from rows)),
+      sizes as (select rid, count(*) n from shingles group by 1),
+      shared as (select a.rid a, b.rid b, count(*) c from shingles a join shingles b on a.s = b.s and a.rid < b.rid group by 1, 2),
+      links as (select a, b from shared join sizes x on x.rid = a join sizes y on y.rid = b where 100 * c >= 75 * (x.n + y.n - c)),
+      both_ as (select a, b from links union all select b, a from links),
+      reach as (select rid, rid o from rows union select reach.rid, both_.b from reach join both_ on both_.a = reach.o),
+      lowest as (select reach.rid, min(o.doc_id) component_id from reach join rows o on o.rid = reach.o group by 1)
+      select doc_id, coalesce(n, 0) n_shingles, component_id, doc_id = component_id kept from rows join lowest using (rid) left join sizes using (rid)""",
+    "lm_base_columns": f"""with docs as (select row_number() over () rid, doc_id, {_FOLD} = 1 held_out, {_WORDS.format(text=_LOWER)} ws from documents),
+      tokens as (select rid, held_out, unnest(list_append(ws, '')) w from docs),
+      counts as (select w, count(*) c from tokens where not held_out group by 1),
+      total as (select sum(c) n, count(*) v from counts),
+      each_ as (select rid, coalesce(c, 0) c from tokens left join counts using (w)),
+      scored as (select rid, count(*) n_tokens, count(*) filter (where c > 0) n_known, sum(log10((c + 0.5) / (n + 0.5 * (v + 1)))) base_score from each_, total group by 1)
+      select doc_id, held_out, n_tokens, n_known, (select cast(n as bigint) from total) train_tokens, round(base_score, 3) base_score from docs join scored using (rid)""",
+    "imatch_edits": """with t as (select doc_id, coalesce(text, '') text, length(coalesce(text, '')) n, coalesce(lead(coalesce(text, '')) over (order by doc_id), first_value(coalesce(text, '')) over (order by doc_id)) following from documents)
+      select doc_id, n n_chars, sha256(substr(text, 1, n - n // 2) || substr(following, 1, n // 2)) edited_sha256 from t""",
+    "bpe_decoded": "select doc_id, sha256(coalesce(text, '')) decoded_sha256 from documents",
+    "mix_targets": f"""with sized as (select doc_id, source, len({_WORDS.format(text="coalesce(text, '')")}) size from documents),
+      sources as (select source, cast(sum(size) as bigint) source_size from sized group by 1),
+      weighed as (select *, 3.0::double * source_size cap, ([1, 2, 3])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double weight from sources),
+      levels as (select *, (sum(source_size) over () - coalesce(sum(cap) over before_, 0)) / (sum(weight) over () - coalesce(sum(weight) over before_, 0)) lv from weighed window before_ as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+      first_ as (select min_by(lv, (cap / weight, coalesce(source, ''))) lv0 from levels where lv * weight <= cap),
+      aims as (select source, source_size, case when lv0 is null or lv0 * weight >= cap then cap else lv0 * weight end target from levels, first_)
+      select doc_id, cast(size as bigint) size, source_size, round(target, 3) target from sized join aims on sized.source is not distinct from aims.source""",
+    "nearest_scores": """with v as (select vec_id, cast(embedding as double[]) e from embeddings),
+      s as (select q.vec_id query_id, c.vec_id, list_cosine_similarity(q.e, c.e) score from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+      r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+      select query_id, rank, round(score, 6) score from r where rank <= 5""",
+}
