@@ -294,8 +294,9 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str | None
 
     # The pseudonyms of a text are computed once, for both the new text and the count.
     done = F.transform(F.array(pairs), lambda v: F.struct(F.when(F.size(v) == 0, column).otherwise(rebuilt(v)).alias("text"), F.size(F.filter(v, lambda p: p["old"] != p["new"])).alias("n")))
-    out = df.withColumn("__done", F.when(worth, F.element_at(done, 1)))
-    out = out.withColumn(text, F.coalesce(F.col("__done.text"), column))
+    name = "__done" + "_" * max(map(len, df.columns))  # longer than any column's name
+    out = df.withColumn(name, F.when(worth, F.element_at(done, 1)))
+    out = out.withColumn(text, F.coalesce(F.col(f"{name}.text"), column))
     if found:
-        out = out.withColumn(found, F.coalesce(F.col("__done.n"), F.lit(0)))
-    return out.drop("__done")
+        out = out.withColumn(found, F.coalesce(F.col(f"{name}.n"), F.lit(0)))
+    return out.drop(name)

@@ -347,6 +347,20 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, fold: int =
     return lexicon, fit(np.stack([got[f].to_numpy() for f in FEATURES], 1), got["toxic"].to_numpy().astype(float))
 
 
+def accepted(df: DataFrame, text: str, lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
+    """The rows of ``df`` that the model doesn't reject, with all their columns, whatever these are called."""
+    shared = df.sparkSession.sparkContext.broadcast((lexicon, weights))
+    place, names = df.columns.index(text), [f"k{i}" for i in range(len(df.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, w = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(features(batch.column(place).to_pylist(), lexicon) @ w < 0))
+
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields, strict=True))
+    return df.toDF(*names).mapInArrow(tidy(run), kinds).toDF(*df.columns)
+
+
 def score(df: DataFrame, text: str, lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
     """``df`` with score and predicted; map-side only. Columns of these names are replaced."""
     shared = df.sparkSession.sparkContext.broadcast((lexicon, weights))

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
+import re
+import struct
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from matchloom.llm import common, components, imatch, mixing, near_dup, queries, vamana
@@ -182,6 +187,50 @@ def test_imatch_of_odd_rows(spark):
     assert one[0].near_next == 1 and imatch.compare_with_edits(df.limit(0)).count() == 0
 
 
+def xx64(values, seed=42):
+    """Spark's 64-bit hash of longs, ints and strings, one after the other, as a signed number."""
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return struct.unpack("<q", struct.pack("<Q", seed))[0]
+
+
+def plain_fingerprint(text, frequency, n):
+    """Parts of a text by the definition, one text at a time."""
+    terms = {xx64([w]) for w in re.split("[ \t\n\x0b\x0c\r]+", text.lower()) if w}
+    rare, common = max(2.0, n / 2000), max(4.0, n / 200)
+    band = {t for t in terms if rare <= frequency[t] <= common}
+    above = sorted(frequency[t] << 32 | t & 0xFFFFFFFF for t in terms if frequency[t] > common)
+    wanted = math.ceil((len(band) + len(above)) / 4)
+    chosen = sorted(band | {xx64([r]) for r in above[: max(0, wanted - len(band))]})
+    out = []
+    for chain in range(16):
+        level = [t for t in chosen if not t & 7 << 3 * chain]
+        for depth in range(5):
+            if depth:
+                level = [t for t in level if not xx64([t, (chain,)]) & 1 << depth - 1]
+            out.append(xx64([*level, (chain * 5 + depth,)]) % 32767 + 1 if level else 0)
+    if not any(out):
+        out = [xx64([xx64([text]), (i,)]) % 32767 + 1 for i in range(80)]
+    return out
+
+
+def test_imatch_against_a_plain_version(spark, small):
+    texts = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    frequency = Counter(t for _, x in texts for t in {xx64([w]) for w in re.split("[ \t\n\x0b\x0c\r]+", x.lower()) if w})
+    shown = lambda parts: ".".join("-" if p == 0 else f"{p:x}" for p in parts)
+    rows = {r.doc_id: r for r in imatch.compare_with_edits(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    own = {i: plain_fingerprint(x, frequency, len(texts)) for i, x in texts}
+    for k, (i, x) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)]
+        half = len(x) // 2
+        edited = plain_fingerprint(x[: len(x) - half] + after[1][:half], frequency, len(texts))
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (shown(own[i]), shown(edited))
+        for got, other in ((rows[i].near_edited, edited), (rows[i].near_next, own[after[0]])):
+            some = [(a, b) for a, b in zip(own[i], other, strict=True) if a or b]
+            assert got == pytest.approx(sum(a == b for a, b in some) / len(some) if some else 1.0)
+
+
 @pytest.mark.parametrize("broadcast", [imatch.BROADCAST, 0])
 def test_imatch_of_a_large_group_of_near_copies(spark, monkeypatch, broadcast):
     monkeypatch.setattr(imatch, "BROADCAST", broadcast)
@@ -299,6 +348,34 @@ def test_pipeline(spark, small):
     assert sorted(r.ids_sha256 for r in corpus_pipeline.run(spark, small).collect()) == sorted(r.ids_sha256 for r in kept["byte_bpe"].collect())
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars", "score", "predicted", "__n", "__k", "size", "toxic", "k0", "__done"]
+    bad = "you are an idiot and a moron, a pathetic clown"
+    texts = [(1, "a fine day of words that go on and on"), (2, None), (3, ""), (4, bad), (None, "no id but words to read here"), (5, "a fine day of words that go on and on"), (6, " \t\n"), (1, "a fine day of words that go on and on"), (7, "long " * 60_000), (8, "mail ab@cd.example now"), (None, None)]
+    rows = [(i, t, "en", "s" if (i or 0) % 2 else None, 1, 0.5, "p", 7, 8, 9, 1, "k", "d") for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted string, __n long, __k long, size long, toxic int, k0 string, __done string"
+    for name, data in (("odd", rows), ("none", [])):
+        base = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{base}/documents.parquet")
+        spark.createDataFrame([(1, 0), (None, 1), (5, None)][: len(data)], "doc_id long, toxic int").write.parquet(f"{base}/labels.parquet")
+        docs = spark.read.parquet(f"{base}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs
+            docs = Workspace(spark, "odd").keep(stage(spark, docs, base), stage_name)
+            assert docs.columns == names, stage_name
+            if stage_name == "toxicity" and data:
+                assert sorted(map(str, docs.collect())) == sorted(str(r) for r in before.collect() if r.text != bad)
+            if stage_name == "near_dedup" and data:
+                # Of the three alike the smallest id once; empty texts link with nothing.
+                assert sorted((str(r.doc_id), (r.text or "")[:12]) for r in docs.collect()) == sorted([("1", "a fine day o"), ("2", ""), ("3", ""), ("None", "no id but wo"), ("6", " \t\n"), ("7", "long long lo"), ("8", "mail ab@cd.e"), ("None", "")])
+            if stage_name == "pii" and data:
+                assert all(r.score == 0.5 and r.predicted == "p" and r["__n"] == 7 for r in docs.collect())
+        out = corpus_pipeline.run(spark, base)
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and (out.count() > 0) == bool(data)
+
+
 def test_registration():
     import __spark_entry__ as entry
 

@@ -490,6 +490,26 @@ def test_mix(spark, small):
     assert Counter(r.doc_id for r in again.collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
 
 
+def test_rates_and_copies_against_a_plain_version(spark, small):
+    """Rates by halving an interval for each source; copies are a neighbour of the rate and add up to the target."""
+    rows = mixing.mix(spark.read.parquet(f"{small}/documents.parquet")).collect()
+    sources = {}
+    for r in rows:
+        sources.setdefault(r.source, []).append(r)
+    for mine in sources.values():
+        sizes = np.array([r["size"] for r in mine if r["size"]], float)
+        target, low, high = mine[0].target, -60.0, 60.0
+        rate = lambda x: 3 / (1 + 2 * np.exp(-np.clip(x * sizes / sizes.mean(), -700, 700)))  # noqa: E731, B023
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (sizes * rate(middle)).sum() < target else (low, middle)
+        want = np.full(len(sizes), 3.0) if target >= 3 * sizes.sum() else rate(low)
+        got = [r for r in mine if r["size"]]
+        assert np.abs([r.rate for r in got] - want).max() < 2e-4
+        assert all(math.floor(r.rate) <= r.copies <= math.ceil(r.rate) for r in got)
+        assert abs(sum(r.taken for r in got) - target) <= 0.05 * target + 3
+
+
 def test_mix_of_odd_rows(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD)
