@@ -20,7 +20,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject (op 5)."""
     lexicon, weights = toxicity.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text")
-    return toxicity.score(docs, "text", lexicon, weights).where("predicted = 0").select(*docs.columns)
+    return toxicity.accepted(docs, "text", lexicon, weights)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
