@@ -9,10 +9,10 @@ weights come from EM over a histogram of likelihood ratios gathered from every t
 with its own text's occurrence left out.
 
 The filter is made of segments by key hash, built where the counts are and stored as a table, so no key
-reaches the driver. At most ``FILTER_BYTES`` of segments are broadcast at once. A filter of that size takes one
-pass; a larger one takes a pass over the texts for each part, which adds the levels found to a column of
-three bytes a token. So broadcasts are bounded and nothing is dropped, at the cost of passes whose number
-grows with the keys kept.
+reaches the driver. A filter of at most ``FILTER_BYTES`` is broadcast. Beyond, the texts are dealt into blocks, the
+distinct keys of a block travel to their segments, packed, and the levels found there come back to
+the block, as a column of three bytes a token. Both ways give the same levels; nothing is dropped at any
+size, what is broadcast is bounded, and the cost a token doesn't grow.
 
 Exact word counts come from a broadcast of the words that make up HEAD_SHARE of the tokens or more
 (at most 1 / HEAD_SHARE words) and, for all other words, from a shuffled join on the word's hash.
@@ -38,9 +38,11 @@ HEAD_SHARE = 2.0**-21
 LEAST = 2
 #: Base of the quantisation of counts, bits of the filter for each key, bits set by a key.
 BASE, BITS_PER_KEY, BITS_SET = 1.5, 16, 4
-#: Training tokens for each segment of the filter; bytes of segments that are broadcast at once; bytes
-#: that tell the keys of a segment apart.
+#: Training tokens for each segment of the filter; bytes of a filter that is broadcast; bytes that tell the
+#: keys of a segment apart.
 SEGMENT_TOKENS, FILTER_BYTES, ID_BYTES = 1 << 19, 96 << 20, 5
+#: Bytes of the texts of a block whose keys travel together.
+BLOCK_OF_TEXTS = 8 << 20
 #: Bins of log10 likelihood ratios for EM.
 BINS, LOWEST, STEP = 64, -6.0, 0.25
 
@@ -92,13 +94,17 @@ def pack(keys: np.ndarray, counts: np.ndarray, segments: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), cut(ids, ID_BYTES), many], ["segment", "ids", "counts"])
 
 
-def unpack(ids: list[bytes], counts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of a segment's rows, and their counts."""
-    data = np.frombuffer(b"".join(ids), np.uint8).reshape(-1, ID_BYTES)
+def unpack_ids(packed: list[bytes]) -> np.ndarray:
+    data = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, ID_BYTES)
     wide = np.zeros((len(data), 8), np.uint8)
     wide[:, :ID_BYTES] = data
+    return wide.view(U64).ravel()
+
+
+def unpack(ids: list[bytes], counts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a segment's rows, and their counts."""
     often = [np.ones(len(i) // ID_BYTES, np.int64) if c is None else np.frombuffer(c, np.int64) for i, c in zip(ids, counts, strict=True)]
-    found, where = np.unique(wide.view(U64).ravel(), return_inverse=True)
+    found, where = np.unique(unpack_ids(ids), return_inverse=True)
     return found, np.bincount(where, np.concatenate(often), len(found)).astype(np.int64)
 
 
@@ -133,21 +139,22 @@ def build_segment(ids: np.ndarray, counts: np.ndarray, bits: int = BITS_PER_KEY)
 
 
 class LogBloom:
-    """Quantised counts of the keys of some segments (``first``, ...) out of ``segments``."""
+    """Quantised counts of keys, in segments."""
 
-    def __init__(self, first: int, segments: int, parts: list[bytes], top: int):
-        self.first, self.segments, self.top = first, segments, top
+    def __init__(self, parts: list[bytes], top: int):
+        self.top = top
         self.sizes = np.array([len(p) // 8 for p in parts], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
         self.words = np.frombuffer(b"".join(parts), U64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key; 0 where it is absent or of another part. Probes go on while they hit."""
-        out = np.zeros(len(keys), np.uint8)
-        part = segment_of(keys, self.segments) - self.first
-        live = np.flatnonzero((part >= 0) & (part < len(self.sizes)))
-        offset, size = self.offsets[part[live]], self.sizes[part[live]].astype(U64)
-        ids = ids_of(keys[live])
+        """The level of each key, 0 where it is absent."""
+        return self.levels_of_ids(ids_of(keys), segment_of(keys, len(self.sizes)))
+
+    def levels_of_ids(self, ids: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """Probes go on while they hit."""
+        out, live = np.zeros(len(ids), np.uint8), np.arange(len(ids))
+        offset, size = self.offsets[segment], self.sizes[segment].astype(U64)
         for q in range(1, self.top + 1):
             if not len(live):
                 break
@@ -221,15 +228,14 @@ def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["key"].to_numpy().view(U64), got["n"].to_numpy()
 
 
-def token_levels(model: Model, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def token_levels(model: Model, h: np.ndarray, bounds: np.ndarray, levels_of) -> np.ndarray:
     """(3, tokens): levels of each token (0 for a head word), of the pair and of the triple that end at it."""
     out = np.zeros((3, len(h)), np.uint8)
-    if model.filter is not None and len(h):
+    if len(h):
         rare = np.flatnonzero(model.counts(h) == 0)
-        out[0, rare] = model.filter.levels(h[rare])
         two, pairs, three, triples = grams(h, bounds)
-        out[1, two] = model.filter.levels(pairs)
-        out[2, three] = model.filter.levels(triples)
+        for row, at, keys in ((0, rare, h[rare]), (1, two, pairs), (2, three, triples)):
+            out[row, at] = levels_of(keys)
     return out
 
 
@@ -297,7 +303,7 @@ def _blocks(batch: pa.RecordBatch, text: int, levels: int | None, model: Model):
         with np.errstate(over="ignore"):
             h, bounds = tokens(offsets, data)
             if levels is None:
-                found = token_levels(model, h, bounds)
+                found = token_levels(model, h, bounds, model.filter.levels)
             else:
                 found = _unpack(batch.column(levels).slice(row, len(offsets) - 1).to_pylist(), bounds)
         yield h, bounds, found
@@ -331,59 +337,88 @@ def build_filter(texts: DataFrame, words: DataFrame, total: int, work: Workspace
     return work.keep(rows.groupBy("segment").applyInArrow(build, "segment int, words binary, top int"), "filter"), segments
 
 
-def parts_of_filter(stored: DataFrame, segments: int) -> Iterator[LogBloom]:
-    """The filter in parts of at most FILTER_BYTES (of one segment at least)."""
-    most, top = stored.agg(F.coalesce(F.max(F.length("words")), F.lit(8)), F.coalesce(F.max("top"), F.lit(0))).first()
-    step = max(1, FILTER_BYTES // most)
-    for first in range(0, segments, step):
-        got = {r["segment"]: bytes(r["words"]) for r in stored.where(F.col("segment").between(first, first + step - 1)).select("segment", "words").toLocalIterator()}
-        empty = np.zeros(1, U64).tobytes()
-        yield LogBloom(first, segments, [got.get(i, empty) for i in range(first, min(segments, first + step))], top)
+def collected(stored: DataFrame, segments: int, top: int) -> LogBloom:
+    """The whole filter, for one whose size allows."""
+    got = {r["segment"]: bytes(r["words"]) for r in stored.select("segment", "words").toLocalIterator()}
+    empty = np.zeros(1, U64).tobytes()
+    return LogBloom([got.get(i, empty) for i in range(segments)], top)
 
 
-def with_levels(df: DataFrame, text: str, model: Model, part: LogBloom, work: Workspace, name: str) -> DataFrame:
-    """``df`` with the levels that this part of the filter knows added to the column __levels."""
-    old = "__levels" in df.columns
-    columns = [c for c in df.columns if c != "__levels"]
-    shared = df.sparkSession.sparkContext.broadcast(Model(model.head_keys, model.head_counts, model.total, model.types, part))
-    place, schema = columns.index(text), df.drop("__levels").schema.add("__levels", "binary")
+def with_levels(df: DataFrame, text: str, model: Model, stored: DataFrame, segments: int, work: Workspace) -> DataFrame:
+    """``df`` with a column __levels: the levels of each text's tokens, pairs and triples.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed, row = [], 0
-            for h, bounds, found in _blocks(batch, place, None, shared.value):
-                if old:
-                    found = np.maximum(found, _unpack(batch.column(len(columns)).slice(row, len(bounds) - 1).to_pylist(), bounds))
-                row += len(bounds) - 1
-                packed += _pack(found, bounds)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(packed, pa.binary())], [*columns, "__levels"])
-
-    out = work.keep(df.select(*[f"`{c}`" for c in columns], *(["__levels"] if old else [])).mapInArrow(tidy(run), schema), name)
-    shared.unpersist()
+    Keys travel: a block sends each distinct key once to its segment, and gets a byte for it back, in order.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    body = names[df.columns.index(text)]
+    numbered = work.keep(df.toDF(*names).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    size = numbered.agg(F.coalesce(F.sum(F.octet_length(body).cast("long")), F.lit(0))).first()[0]
+    dealt = numbered.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(max(1, -(-size // BLOCK_OF_TEXTS)))).cast("int"))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def in_block(found: pa.Table) -> tuple[pa.Table, list, np.ndarray]:
+        """The rows in order, the tokens of their texts, and all their distinct keys by segment."""
+        found = found.sort_by("rid")
+        parts, keys = [], [np.empty(0, U64)]
+        with np.errstate(over="ignore"):
+            for _, offsets, data in text_blocks(found[body]):
+                h, bounds = tokens(offsets, data)
+                parts.append((h, bounds))
+                _, pairs, _, triples = grams(h, bounds)
+                keys += [h[shared.value.counts(h) == 0], pairs, triples]
+        return found, parts, np.unique(np.concatenate(keys))
+
+    def ask(found: pa.Table) -> pa.Table:
+        block = found["block"][0].as_py()
+        _, _, keys = in_block(found)
+        out = pa.Table.from_batches(list(pack(keys, np.ones(len(keys), np.int64), segments))[:1])
+        return pa.table({"segment": out["segment"], "block": pa.array([block] * out.num_rows, pa.int32()), "ids": out["ids"]})
+
+    def answer(segment: pa.Table, asked: pa.Table) -> pa.Table:
+        known = LogBloom([segment["words"][0].as_py()], segment["top"][0].as_py()) if segment.num_rows else LogBloom([np.zeros(1, U64).tobytes()], 0)
+        told = []
+        with np.errstate(over="ignore"):
+            for packed in asked["ids"].to_pylist():
+                ids = unpack_ids([packed])
+                told.append(known.levels_of_ids(ids, np.zeros(len(ids), np.int64)).tobytes())
+        return pa.table({"block": asked["block"], "segment": asked["segment"], "levels": pa.array(told, pa.binary())})
+
+    def meet(found: pa.Table, told: pa.Table) -> pa.Table:
+        found, parts, keys = in_block(found)
+        levels = np.zeros(len(keys), np.uint8)
+        order = np.argsort(segment_of(keys, segments), kind="stable")
+        levels[order] = np.frombuffer(b"".join(told.sort_by("segment")["levels"].to_pylist()), np.uint8)
+        packed = []
+        with np.errstate(over="ignore"):
+            for h, bounds in parts:
+                packed += _pack(token_levels(shared.value, h, bounds, lambda k: levels[np.searchsorted(keys, k)]), bounds)
+        return pa.table([*[found[n] for n in names], pa.array(packed, pa.binary())], [*names, "__levels"])
+
+    asked = dealt.select("block", "rid", body).groupBy("block").applyInArrow(ask, "segment int, block int, ids binary")
+    told = stored.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(answer, "block int, segment int, levels binary")
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields, strict=True))
+    met = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(meet, f"{kinds}, __levels binary")
+    out = work.keep(met, "levels").toDF(*df.columns, "__levels")
+    work.drop("numbered")
     return out
 
 
 def train(df: DataFrame, text: str, training: Column, work: Workspace, bits: int = BITS_PER_KEY) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, the table (key, n) of all word counts, and ``df`` (with levels, where the filter takes
-    more than one pass), from the texts of the rows that are ``training``."""
+    """The model, the table (key, n) of all word counts, and ``df`` (with levels, where the filter is too large
+    to be broadcast), from the texts of the rows that are ``training``."""
     sc, texts = df.sparkSession.sparkContext, df.where(training).select(text)
     words = work.keep(_counted(texts, lambda o, d: tokens(o, d)[0]), "words")
     total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     model = Model(*_collect(words.where(F.col("n") >= max(1.0, total * HEAD_SHARE))), int(total), int(types))
     stored, segments = build_filter(texts, words, int(total), work, bits)
-    parts = parts_of_filter(stored, segments)
-    part, following, i = next(parts), next(parts, None), 0
-    while i or following is not None:  # more than one part
-        df = with_levels(df, text, model, part, work, f"levels{i}")
-        work.drop(*[n for n in work.names() if n == f"levels{i - 1}"])
-        i += 1
-        if following is None:
-            break
-        part, following = following, next(parts, None)
-    if not i:
-        model.filter = part
+    size, top = stored.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)), F.coalesce(F.max("top"), F.lit(0))).first()
+    small = size <= FILTER_BYTES
+    if small:
+        model.filter = collected(stored, segments, top)
+    else:
+        df = with_levels(df, text, model, stored, segments, work)
     shared = sc.broadcast(model)
-    read = 1 if i else None
+    read = None if small else 1
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(3 * BINS * BINS, np.int64)
@@ -396,7 +431,7 @@ def train(df: DataFrame, text: str, training: Column, work: Workspace, bits: int
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["cell", "n"])
 
-    trained = df.where(training).select(text, *(["__levels"] if i else []))
+    trained = df.where(training).select(text, *([] if small else ["__levels"]))
     cells = trained.mapInArrow(tidy(ratios), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     histogram = np.zeros(3 * BINS * BINS)
     for row in cells:  # at most 3 * BINS * BINS rows
