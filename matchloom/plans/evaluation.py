@@ -232,5 +232,23 @@ ORACLE_SQL = {
       cand as (select * from probed where (select count(*) from probed) >= {_TOTAL} union all select * from listed where (select count(*) from probed) < {_TOTAL})
       select item_id, target_id from cand order by {_HASH.format(seed=42)}, item_id, target_id limit {_TOTAL}""",
     "neg_near_miss": f"with {ITEMS_SQL}, {HISTORY_SQL}, {CENTROID_SQL}, {_NEAR}, {_PITCHED}, cand as (select distinct item_id, neighbour target_id from positive join near on near.target_id = anchor) select item_id, target_id from cand anti join pitched using (item_id, target_id) order by {_HASH.format(seed=43)}, item_id, target_id limit {_TOTAL}",
+    "neg_random_stratified": f"""with {TARGETS_SQL}, {ITEMS_SQL}, {HISTORY_SQL}, {CENTROID_SQL}, {_NEAR}, {_PITCHED},
+      quotas as (select t, cast(round_even(t * 0.5, 0) as bigint) qc, cast(round_even(t * 0.33, 0) as bigint) qn from (select {_TOTAL} t)),
+      anchors as (select distinct item_id, anchor, a.tags side from positive join tagged a on a.target_id = anchor),
+      numbered as (select *, row_number() over (order by target_id) - 1 n from tagged),
+      probes as (select item_id, side, ('0x' || substr(md5('42|' || item_id || '|' || anchor || '|' || j), 1, 8))::bigint % (select count(*) from tagged) n from anchors, range(0, 8) r(j)),
+      probed as (select distinct probes.item_id, t.target_id from probes join numbered t using (n) where len(side) > 0 and len(t.tags) > 0 and not list_has_any(side, t.tags)),
+      fresh as (select * from probed anti join pitched using (item_id, target_id)),
+      listed as (select distinct anchors.item_id, t.target_id from anchors join tagged t on len(side) > 0 and len(t.tags) > 0 and not list_has_any(side, t.tags)),
+      cand as (select * from fresh where (select count(*) from fresh) >= (select qc from quotas) union all select * from (select * from listed anti join pitched using (item_id, target_id)) where (select count(*) from fresh) < (select qc from quotas)),
+      conflict as (select item_id, target_id from cand order by {_HASH.format(seed=42)}, item_id, target_id limit (select qc from quotas)),
+      close as (select distinct item_id, neighbour target_id from positive join near on near.target_id = anchor),
+      near_ as (select item_id, target_id from close anti join pitched using (item_id, target_id) anti join conflict using (item_id, target_id) order by {_HASH.format(seed=43)}, item_id, target_id limit (select qn from quotas)),
+      tiered as (select target_id, tier, row_number() over (partition by tier order by target_id) - 1 n, count(*) over (partition by tier) size from tagged),
+      buckets as (select list(tier order by tier) b from (select distinct tier from tagged)),
+      tries as (select item_id, b[j % len(b) + 1] tier, ('0x' || substr(md5('44|' || item_id || '|' || anchor || '|' || j), 1, 8))::bigint h from anchors, range(0, 8) r(j), buckets),
+      other as (select distinct tries.item_id, t.target_id from tries join tiered t on t.tier = tries.tier and t.n = h % size)
+      select item_id, target_id from other anti join pitched using (item_id, target_id) anti join conflict using (item_id, target_id) anti join near_ using (item_id, target_id)
+      order by {_HASH.format(seed=44)}, item_id, target_id limit (select t from quotas) - (select count(*) from conflict) - (select count(*) from near_)""",
     "stream_upsert": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn = 1",
 }
