@@ -273,10 +273,13 @@ _QUOTES = np.array([ord(c) for c in QUOTES], np.uint32)
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """From rows (text, toxic): the terms whose presence speaks for label 1."""
     lowered = F.lower(F.coalesce("text", F.lit("")))
-    words = F.array_distinct(F.regexp_extract_all(lowered, F.lit(rf"[\p{{L}}\p{{M}}&&[^{DENSE}]]+"), F.lit(0)))
+    # Only texts with such letters are searched for them: the classes of whole scripts are slow to test.
+    dense = (F.octet_length(lowered) > F.char_length(lowered)) & lowered.rlike(f"[{DENSE}]")
+    found = lambda pattern, group=0: F.regexp_extract_all(lowered, F.lit(pattern), F.lit(group))
+    words = F.array_distinct(F.when(dense, found(rf"[\p{{L}}\p{{M}}&&[^{DENSE}]]+")).otherwise(found(r"[\p{L}\p{M}]+")))
     stems = F.array_distinct(F.concat(*[F.transform(words, _stem(n)) for n in STEMS]))
-    runs = F.array_distinct(F.concat(*[F.transform(F.regexp_extract_all(lowered, F.lit(rf"(?=([{DENSE}]{{{n}}}))"), F.lit(1)), lambda r: F.concat(r, F.lit("*"))) for n in RUNS]))
-    each = F.concat(words, F.filter(stems, lambda s: s.isNotNull()), runs)
+    runs = F.array_distinct(F.concat(*[F.transform(found(rf"(?=([{DENSE}]{{{n}}}))", 1), lambda r: F.concat(r, F.lit("*"))) for n in RUNS]))
+    each = F.concat(words, F.filter(stems, lambda s: s.isNotNull()), F.when(dense, runs).otherwise(F.array().cast("array<string>")))
     size = rows.agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).first()
     pos, neg = float(size["p"] or 0), float(size["n"] or 0)
     if not pos or not neg:
