@@ -453,3 +453,40 @@ def test_feeds_follow_cursors_and_offsets(spark, tmp_path, monkeypatch):
         return '{"previewUrl": "p-%s"}' % key
 
     assert {r.item_id: r.preview_url for r in media.resolve_previews(items, ask).collect()} == {"a": "p-a", "b": "have", "c": None, "d": None}
+
+
+def test_embedders():
+    import hashlib
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    def plain(text, dim):
+        v = [0.0] * dim
+        for word in text.split():
+            h = int.from_bytes(hashlib.sha1(word.encode()).digest()[:8], "big")
+            v[h % dim] += 1.0 if h >> 63 else -1.0
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n for x in v] if n else v
+
+    texts = ["a b c a", "", "b", "one two three " * 5]
+    for got, text in zip(embed.hashing_embedder(16)(texts), texts, strict=True):
+        assert got == pytest.approx(plain(text, 16))
+    assert embed.hashing_embedder(4)([]) == []
+
+    class Session:
+        def get_inputs(self):
+            return [SimpleNamespace(name="input_ids"), SimpleNamespace(name="attention_mask")]
+
+        def run(self, _, feed):
+            assert set(feed) == {"input_ids", "attention_mask"}
+            return [np.stack([feed["input_ids"], feed["input_ids"] ** 2], 2).astype(np.float32)]
+
+    class Padded:
+        def encode_batch(self, texts):
+            longest = max(len(t) for t in texts)
+            return [SimpleNamespace(ids=[ord(c) - 96 for c in t] + [9] * (longest - len(t)), attention_mask=[1] * len(t) + [0] * (longest - len(t))) for t in texts]
+
+    got = embed.pooled_embedder(Session, Padded, batch=2)(["ab", "c", "aaaa"])
+    want = [np.array([1.5, 2.5]), np.array([3.0, 9.0]), np.array([1.0, 1.0])]
+    assert np.allclose(got, [w / np.linalg.norm(w) for w in want])

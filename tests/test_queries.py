@@ -26,6 +26,10 @@ def in_order(found):
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, small, name):
+    agrees(spark, small, name)
+
+
+def agrees(spark, small, name):
     df = catalog.QUERIES[name](spark, small)
     columns = sorted(df.columns)
     got = [tuple(plain(x) for x in r) for r in df.select(*columns).collect()]
@@ -41,6 +45,18 @@ def test_query(spark, small, name):
     assert in_order(got) == in_order([tuple(plain(r[i]) for i in at) for r in q.fetchall()])
 
 
+@pytest.mark.parametrize("partitions", ["3", "8"])
+@pytest.mark.parametrize("name", ["feat_audio_z", "profile_numeric_stats", "feat_popularity"])
+def test_ties_of_roundings(spark, name, partitions):
+    """Where prices and their means lie between two roundings, at the larger scale and in any order of rows."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        agrees(spark, "/root/testdata/sf0.01", name)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 @pytest.mark.parametrize("name", ["feat_semantic", "feat_tags", "recommend_topk_semantic", "rerank_soft"])
 def test_no_python_in_plans(spark, small, name):
     plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
