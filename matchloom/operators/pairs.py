@@ -19,6 +19,8 @@ from matchloom.workspace import keep
 
 #: Rows and bytes of the catalogue that may be broadcast, and of a block else.
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 128 << 20
+#: Bytes of a table of classes that may be broadcast.
+CLASS_BYTES = 32 << 20
 POP_STD_FLOOR = 5.0
 MODEL_FEATURES = (
     "semantic_similarity title_text_similarity semantic_l2_distance title_semantic_diff audio_centroid_cosine audio_centroid_l2 audio_zscore_mean audio_zscore_max bpm_diff energy_diff danceability_diff audio_range_ratio "
@@ -73,6 +75,19 @@ def cross(items: DataFrame, targets: DataFrame, key: str = "target_id") -> DataF
     return cut.join(dealt.hint("shuffle_hash"), ["__block", "__slice"]).drop("__block", "__slice")
 
 
+def classed(rows: DataFrame, columns: list[str], out: str = "class") -> tuple[DataFrame, DataFrame]:
+    """The distinct values of some columns, numbered, with the rows that have them (n); and ``rows`` with the number
+    in place of the columns. What holds for a pair by those columns alone is found once for each pair of classes."""
+    found = keep(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn(out, F.monotonically_increasing_id()), "classes")
+    named = found.select(out, *[F.col(c).alias(f"__of_{c}") for c in columns])
+    if size_of(found)[1] <= CLASS_BYTES:
+        named = F.broadcast(named)
+    agree = F.lit(True)
+    for c in columns:
+        agree = agree & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return found, rows.join(named, agree).drop(*columns, *[f"__of_{c}" for c in columns])
+
+
 def cross_similar(items: DataFrame, targets: DataFrame, dim: int, key: str = "target_id", vectors: tuple[str, str] = ("embedding", "centroid"), norms: tuple[str, str] = ("item_norm", "centroid_norm"), out: str = "semantic_similarity") -> DataFrame:
     """``cross`` with the cosine of the sides' vectors, which are left out; 0 where a side has none."""
     a, b = (rows.withColumns(vec.components(f"__{s}", F.col(v), dim)).drop(v) for rows, s, v in zip((items, targets), "ab", vectors, strict=True))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as vec
-from matchloom.operators import metrics, pairs, profiles, rerank
+from matchloom.operators import nearest, pairs, profiles, rerank
 from matchloom.plans import domain as dm
 from matchloom.plans.domain import CENTROID_SQL, HISTORY_SQL, ITEMS_SQL, NUMERIC_SQL, TARGETS_SQL
+from matchloom.workspace import keep
 
 
 def profile_counts(spark, d):
@@ -33,11 +34,20 @@ def profile_tags_primary_vs_all(spark, d):
 
 
 def built(spark, d):
-    return profiles.build(dm.targets(spark, d), dm.labelled(spark, d), dm.items(spark, d), dm.NUMBERS, dm.DIM, dm.PARTS)
+    return profiles.build(dm.targets(spark, d).repartition(4 * spark.sparkContext.defaultParallelism, "target_id"), dm.labelled(spark, d), dm.items(spark, d), dm.NUMBERS, dm.DIM, dm.PARTS)
 
 
 def prepared(spark, d):
-    return pairs.prepare_items(dm.items(spark, d), dm.NUMBERS, dm.PARTS)
+    """Items with their tags; a text that many items have is tagged once, by all cores."""
+    items, told = dm.items(spark, d), ["artist", "item_name", "album"]
+    texts = items.select(*told).distinct().repartition(4 * spark.sparkContext.defaultParallelism)
+    tags = pairs.prepare_items(texts.withColumn("embedding", F.lit(None).cast("array<double>")), [], dm.PARTS)
+    tags = keep(tags.select(*[F.col(c).alias(f"of_{c}") for c in told], "item_tags"), "tags")
+    if pairs.size_of(tags)[1] <= pairs.CLASS_BYTES:
+        tags = F.broadcast(tags)
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in told]
+    items = items.join(tags, same[0] & same[1] & same[2], "left").drop(*[f"of_{c}" for c in told])
+    return pairs.prepare_items(items, dm.NUMBERS, dm.PARTS)
 
 
 def profile_coverage(spark, d):
@@ -66,27 +76,36 @@ FEATURES = {
 }
 
 
-def full_catalog(spark, d):
-    """Every item with every target: base score, tier, masks of the tags, attributes of both sides."""
-    i = rerank.item_masks(asked(prepared(spark, d)), dm.PARTS).select("item_id", "item_mask", "asked_mask", "embedding", "item_norm", *[f"item_{a}" for a in profiles.ATTRIBUTES])
-    t = rerank.target_masks(built(spark, d), dm.PARTS).select("target_id", "target_name", "target_mask", "primary_mask", "breadth", "centroid", "centroid_norm", "tier", *profiles.ATTRIBUTES)
-    return pairs.cross_similar(i, t, dm.DIM, out="score").withColumn("score", F.round((F.col("score") + 1) / 2, dm.DIGITS))
+def full_catalog_pairs(spark, d):
+    """Scores of the whole catalogue with the label of each pair, in sum by target and label.
 
+    A score depends on the item's vector only: each distinct vector meets each target once, and counts as often as items have it.
+    """
+    kinds, members = pairs.classed(dm.items(spark, d).select("item_id", "embedding"), ["embedding"])
+    kinds = kinds.select("class", "n", nearest.unit_of(F.col("embedding"), dm.DIM).alias("unit"))
+    positive = dm.labelled(spark, d).where("label = 1").select("item_id", "target_id").distinct()
+    hits = positive.join(members, "item_id").groupBy("target_id", "class").agg(F.count(F.lit(1)).alias("n"))
+    hits = hits.groupBy("target_id").agg(F.collect_list(F.struct("class", "n")).alias("hits"))
+    t = built(spark, d).select("target_id", nearest.unit_of(F.col("centroid"), dm.DIM, F.col("centroid_norm")).alias("unit")).join(hits, "target_id", "left")
+    found = nearest.totals(t, kinds, dm.DIM, "target_id", "class", dm.DIGITS)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("label"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("s")) for i in (0, 1)])).alias("p")
+    rows = found.select("target_id", each).select("target_id", "p.*").groupBy("target_id", "label").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    mean = F.col("s") / F.lit(10.0**dm.DIGITS) / F.col("n")
+    return dm.rounded(rows.where("n > 0").select("target_id", "label", "n", mean.alias("mean_score")), 4)
 
-def full_catalog_pairs(spark, d):
-    """Scores of the whole catalogue with the label of each pair, in sum by target and label."""
-    positive = dm.labelled(spark, d).where("label = 1").select("item_id", "target_id").distinct().withColumn("y", F.lit(1))
-    rows = full_catalog(spark, d).join(positive, ["item_id", "target_id"], "left").withColumn("label", F.coalesce("y", F.lit(0)))
-    return dm.rounded(rows.groupBy("target_id", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")), 4)
+
+def spread(found, members, digits=None):
+    """The best targets of each class, ranked, for each item of the class."""
+    return members.join(rerank.top(found, 5, group="class", digits=digits), "class")
 
 
 def recommend_topk_semantic(spark, d):
     """Label, accepted centroids, all cosines, best five targets of each item."""
-    i = dm.items(spark, d).select("item_id", "embedding", vec.norm(F.col("embedding")).alias("item_norm"))
+    kinds, members = pairs.classed(dm.items(spark, d).select("item_id", "embedding"), ["embedding"])
+    i = kinds.select("class", nearest.unit_of(F.col("embedding"), dm.DIM).alias("unit"))
     c = profiles.centroids(dm.labelled(spark, d), dm.items(spark, d), dm.DIM).select("target_id", vec.unit(F.col("mean_vector")).alias("centroid"))
-    c = c.withColumn("centroid_norm", vec.norm(F.col("centroid")))
-    scored = pairs.cross_similar(i, c, dm.DIM).select("item_id", "target_id", F.round("semantic_similarity", dm.DIGITS).alias("score"))
-    return rerank.top(scored, 5).select("item_id", "target_id", "rank")
+    t = keep(c.select("target_id", nearest.unit_of(F.col("centroid"), dm.DIM).alias("unit")), "centroids")
+    return spread(nearest.best(i, t, 5, dm.DIM, "class", "target_id", dm.DIGITS), members).select("item_id", "target_id", "rank")
 
 
 def asked(rows):
@@ -95,44 +114,80 @@ def asked(rows):
     return rows.withColumn("asked_tags", F.when(even, F.col("item_tags")).otherwise(F.array().cast("array<string>")))
 
 
-def multiplier_counts(rows, column):
-    return rows.withColumn("m", F.round(column, dm.DIGITS)).groupBy("target_id", "m").agg(F.count(F.lit(1)).alias("n"))
+def pair_counts(spark, d, mine, theirs, out, value):
+    """How many items each target has by a value of the pair, which depends on the columns ``mine`` and ``theirs`` only: found
+    once for each pair of their distinct values."""
+    slices = 4 * spark.sparkContext.defaultParallelism
+    i = dm.items(spark, d)
+    told = [c for c in i.columns if c in mine] + (["artist", "item_name", "album"] if "item_tags" in mine else [])
+    i = i.groupBy(*told).agg(F.count(F.lit(1)).alias("n")).repartition(slices)  # a text is tagged once
+    i = pairs.prepare_items(i.withColumn("embedding", F.lit(None).cast("array<double>")), [], dm.PARTS)
+    i = keep(i.groupBy(*mine).agg(F.sum("n").alias("n")), "sides")
+    t = profiles.with_tags(dm.targets(spark, d).repartition(slices), dm.PARTS)
+    kinds, members = pairs.classed(keep(t.select("target_id", *theirs), "targets"), theirs)
+    kinds = kinds.drop("n").repartition(slices)
+    found = pairs.cross(kinds, i, mine[0]).groupBy("class", value.alias(out)).agg(F.sum("n").alias("n"))
+    return members.join(found, "class").groupBy("target_id", out).agg(F.sum("n").alias("n"))
 
 
-def tag_pairs(spark, d):
-    i = prepared(spark, d).select("item_id", "item_tags", *[f"item_{a}" for a in profiles.ATTRIBUTES])
-    t = profiles.with_tags(dm.targets(spark, d), dm.PARTS).select("target_id", "tags", "primary_tags", *profiles.ATTRIBUTES)
-    return pairs.cross(i, t)
+TAGS = ["item_tags"], ["tags", "primary_tags"]
+SOFT = [f"item_{a}" for a in profiles.ATTRIBUTES], list(profiles.ATTRIBUTES)
 
 
 def rerank_conflict(spark, d):
-    return multiplier_counts(tag_pairs(spark, d), rerank.conflict_multiplier(F.col("item_tags"), F.col("tags"), words=dm.PARTS))
+    m = rerank.conflict_multiplier(F.col("item_tags"), F.col("tags"), words=dm.PARTS)
+    return pair_counts(spark, d, *TAGS, "m", F.round(m, dm.DIGITS))
 
 
 def rerank_explicit_overlap(spark, d):
-    kind = rerank.explicit_class(F.col("item_tags"), F.col("primary_tags"), F.col("tags"), dm.PARTS)
-    return tag_pairs(spark, d).withColumn("kind", kind).groupBy("target_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return pair_counts(spark, d, *TAGS, "kind", rerank.explicit_class(F.col("item_tags"), F.col("primary_tags"), F.col("tags"), dm.PARTS))
 
 
 def rerank_breadth(spark, d):
-    p = rerank.Penalties(breadth=1)
-    return multiplier_counts(tag_pairs(spark, d), rerank.explicit_multiplier(F.col("item_tags"), F.col("primary_tags"), F.col("tags"), p, dm.PARTS))
+    m = rerank.explicit_multiplier(F.col("item_tags"), F.col("primary_tags"), F.col("tags"), rerank.Penalties(breadth=1), dm.PARTS)
+    return pair_counts(spark, d, *TAGS, "m", F.round(m, dm.DIGITS))
 
 
 def rerank_soft(spark, d):
-    return multiplier_counts(tag_pairs(spark, d), rerank.attribute_multiplier())
+    return pair_counts(spark, d, *SOFT, "m", F.round(rerank.attribute_multiplier(), dm.DIGITS))
 
 
 def recommend_tier_filter(spark, d):
     """Each item asks for a tier; the filter precedes scoring."""
-    rows = full_catalog(spark, d).where(F.col("tier") == F.col("item_id").cast("int") % 4 + 1)
-    return rerank.top(rows, 3).select("item_id", "target_id", "rank")
+    i = dm.items(spark, d).select("item_id", "embedding", (F.col("item_id").cast("int") % 4 + 1).alias("asked_tier"))
+    kinds, members = pairs.classed(i, ["embedding", "asked_tier"])
+    kinds = kinds.select("class", "asked_tier", nearest.unit_of(F.col("embedding"), dm.DIM).alias("unit"))
+    t = keep(built(spark, d).select("target_id", "tier", nearest.unit_of(F.col("centroid"), dm.DIM, F.col("centroid_norm")).alias("unit")), "centroids")
+    found = nearest.best(kinds, t, 3, dm.DIM, "class", "target_id", dm.DIGITS, half=True, same=("asked_tier", "tier"))
+    return spread(found, members).where("rank <= 3").select("item_id", "target_id", "rank")
 
 
 def recommend_final(spark, d):
-    """Base scores, all multipliers, best five targets with their names."""
-    rows = full_catalog(spark, d)
-    best = rerank.top(rerank.reweigh(rows, words=dm.PARTS), 5, digits=12)
+    """Base scores, all multipliers, best five targets with their names.
+
+    The multiplier of a pair depends on masks and attributes: it is found once for each pair of their distinct values.
+    """
+    soft, slices = profiles.ATTRIBUTES, 4 * spark.sparkContext.defaultParallelism
+    i = dm.items(spark, d).withColumn("even", F.col("item_id").cast("int") % 2)
+    told = [c for c in i.columns if c in ("embedding", "artist", "item_name", "album", "even") or c in {f"item_{a}" for a in soft}]
+    texts, members = pairs.classed(i.select("item_id", *told), told, "text")  # a text is tagged once
+    texts = asked(pairs.prepare_items(texts.repartition(slices), [], dm.PARTS).withColumn("item_id", F.col("even").cast("string")))
+    texts = keep(rerank.item_masks(texts, dm.PARTS).select("text", "embedding", "item_mask", "asked_mask", *[f"item_{a}" for a in soft]), "texts")
+    kinds, of_text = pairs.classed(texts, texts.columns[1:])
+    members = members.join(of_text, "text").select("item_id", "class")
+    some = kinds.agg(*[F.max(F.size(f"item_{a}") > 0).alias(a) for a in soft]).first()
+    known = [a for a in soft if some[a]]  # an attribute that no item knows decides nothing
+    rules, kinds = pairs.classed(kinds, ["item_mask", "asked_mask", *[f"item_{a}" for a in soft]], "rule")
+    kinds = kinds.select("class", "rule", nearest.unit_of(F.col("embedding"), dm.DIM).alias("unit"))
+    t = rerank.target_masks(built(spark, d), dm.PARTS)
+    t = keep(t.select("target_id", "target_name", "target_mask", "primary_mask", "breadth", *known, nearest.unit_of(F.col("centroid"), dm.DIM, F.col("centroid_norm")).alias("unit")), "targets")
+    sorts, t = pairs.classed(t, ["target_mask", "primary_mask", "breadth", *known], "kind")
+    t = keep(t, "sorted")
+    p = rerank.Penalties()
+    weights = pairs.cross(rules.drop("n").repartition(slices), sorts.drop("n"), "kind")
+    weights = weights.select("rule", "kind", rerank.masked_rules(p, dm.PARTS, True).alias("f0"), rerank.attribute_multiplier(p, known).alias("f1"))
+    found = nearest.best_weighted(kinds, t, weights, 5, dm.DIM, "class", "target_id", dm.DIGITS)
+    best = spread(found, members, 12).join(t.select("target_id", "target_name"), "target_id")
     return dm.rounded(best.select("item_id", "rank", "target_id", "target_name", "score"), 12)
 
 
