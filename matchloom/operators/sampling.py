@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as vec
+from matchloom.operators import nearest
 from matchloom.operators.ordered import numbered
-from matchloom.operators.pairs import cross, cross_similar
+from matchloom.operators.pairs import cross
 from matchloom.workspace import keep
 
 
@@ -53,16 +54,17 @@ def group_split(rows: DataFrame, group: str = "item_id", share: float = 0.2, see
 
 
 def neighbours(vectors: DataFrame, k: int, key: str = "target_id", vector: str = "centroid", digits: int = 6, dim: int | None = None) -> DataFrame:
-    """(key, neighbour, similarity, rank): the k most similar others, ties by key. All pairs are compared, as
-    ``cross`` deals them; with ``dim`` their products are one expression."""
-    unit = vectors.where(F.col(vector).isNotNull()).select(F.col(key), vec.unit(F.col(vector)).alias("u"), F.lit(1.0).alias("one"))
-    other = unit.select(F.col(key).alias("neighbour"), F.col("u").alias("w"), F.lit(1.0).alias("other"))
+    """(key, neighbour, similarity, rank): the k most similar others, ties by key. All pairs are compared: with ``dim``
+    as products of matrices, else as ``cross`` deals them."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), "neighbour"))
     if dim:
-        pairs = cross_similar(unit, other, dim, "neighbour", ("u", "w"), ("one", "other"), "similarity")
-    else:
-        pairs = cross(unit, other, "neighbour").withColumn("similarity", vec.dot(F.col("u"), F.col("w")))
+        unit = keep(vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, nearest.unit_of(F.col(vector), dim).alias("unit")), "units")
+        found = nearest.best(unit, unit.withColumnRenamed(key, "neighbour"), k, dim, key, "neighbour", digits, differ=True)
+        return found.withColumnRenamed("score", "similarity").withColumn("rank", place).where(F.col("rank") <= k)
+    unit = vectors.where(F.col(vector).isNotNull()).select(F.col(key), vec.unit(F.col(vector)).alias("u"))
+    other = unit.select(F.col(key).alias("neighbour"), F.col("u").alias("w"))
+    pairs = cross(unit, other, "neighbour").withColumn("similarity", vec.dot(F.col("u"), F.col("w")))
     pairs = pairs.where(F.col(key) != F.col("neighbour")).select(key, "neighbour", F.round("similarity", digits).alias("similarity"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), "neighbour"))
     return pairs.withColumn("rank", place).where(F.col("rank") <= k)
 
 

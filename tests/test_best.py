@@ -40,7 +40,7 @@ def refuse(*_, **__):
     raise AssertionError("all pairs are listed")
 
 
-@pytest.mark.parametrize("name", ["full_catalog_pairs", "recommend_tier_filter", "recommend_topk_semantic"])
+@pytest.mark.parametrize("name", ["full_catalog_pairs", "recommend_tier_filter", "recommend_topk_semantic", "neighbors_topk"])
 def test_no_list_of_all_pairs(spark, small, monkeypatch, name):
     monkeypatch.setattr(pairs, "cross", refuse)
     monkeypatch.setattr(pairs, "cross_similar", refuse)
