@@ -97,7 +97,7 @@ def auc_roc(spark, d):
 def penalty_grid(spark, d):
     """All six knobs, the quick choice of their values: 972 combinations."""
     i = fit.prepared(spark, d).select("item_id", F.col("item_tags").alias("asked_tags"), *[f"item_{a}" for a in profiles.ATTRIBUTES])
-    t = profiles.with_tags(dm.targets(spark, d), dm.PARTS).select("target_id", "tags", "primary_tags", *profiles.ATTRIBUTES)
+    t = profiles.with_tags(dm.targets(spark, d).repartition(4 * spark.sparkContext.defaultParallelism, "target_id"), dm.PARTS).select("target_id", "tags", "primary_tags", *profiles.ATTRIBUTES)
     rows = scored(spark, d).select("item_id", "target_id", "label", "score").join(i, "item_id").join(t, "target_id")
     return dm.rounded(tuning.search(rows, tuning.grid(spark, tuning.QUICK), dm.PARTS))
 
@@ -122,7 +122,7 @@ def neighbors_topk(spark, d):
 
 def negatives(spark, d, config, kind):
     history = dm.labelled(spark, d)
-    t = profiles.with_tags(dm.targets(spark, d), dm.PARTS).select("target_id", "tags", "tier")
+    t = profiles.with_tags(dm.targets(spark, d).repartition(4 * spark.sparkContext.defaultParallelism, "target_id"), dm.PARTS).select("target_id", "tags", "tier")
     i = fit.prepared(spark, d).select("item_id", "item_tags")
     near = sampling.neighbours(profiles.centroids(history, dm.items(spark, d), dm.DIM).select("target_id", F.col("mean_vector").alias("centroid")), 5, dim=dm.DIM)
     return sampling.draw(history, t, i, near, config).where(F.col("kind") == kind).select("item_id", "target_id")
