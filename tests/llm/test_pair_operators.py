@@ -157,6 +157,26 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {90: 90, 95: 90, 100: 90}
 
 
+def test_small_graphs_take_few_jobs(spark, monkeypatch):
+    edges = [(i * 7 % 97, i * 13 % 89) for i in range(60)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (3000, 3000)]
+    rows = spark.createDataFrame(edges, "a long, b long")
+    truth = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in truth:
+        for a, b in edges:
+            if a != b:
+                truth[a] = truth[b] = min(truth[a], truth[b])
+    for gather in (0, 30, common.FILE_ROWS):  # rounds only, rounds and then the driver, the driver only
+        monkeypatch.setattr(components, "GATHER", gather, raising=False)
+        spark.sparkContext.setJobGroup(f"gather{gather}", "")
+        got = components.connected(rows, Workspace(spark, "few"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"gather{gather}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {r.node: r.label for r in got.collect()} == truth and got.count() == len(truth)
+    assert jobs <= 5
+    empty = components.connected(rows.where("a = b"), Workspace(spark, "none"))
+    assert empty.columns == ["node", "label"] and empty.count() == 0
+
+
 # ---------------------------------------------------------------- 7 fingerprints
 
 
