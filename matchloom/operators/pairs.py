@@ -110,20 +110,28 @@ def semantic() -> dict[str, Column]:
 
 
 def numeric(columns: list[str]) -> dict[str, Column]:
-    v, c, s, lo, hi = (F.col(x) for x in ("numbers", "num_centroid", "num_std", "num_min", "num_max"))
-    z = vec.zscores(v, c, s)
-    one = lambda name: _or_zero(F.get(F.zip_with(v, F.zip_with(c, s, lambda a, b: F.struct(a.alias("c"), b.alias("s"))), lambda x, p: F.abs(x - p["c"]) / (p["s"] + vec.STD_OFFSET)), F.lit(columns.index(name)))) if name in columns else F.lit(0.0)
+    """Measures over the components that all sides have, 0 without any. The columns are few, so each is an expression of
+    its own: loops over arrays took most of a pair's time."""
+    v, c, s, lo, hi = ([F.get(vec.doubles(F.col(x)), F.lit(i)) for i in range(len(columns))] for x in ("numbers", "num_centroid", "num_std", "num_min", "num_max"))
+    total = lambda values: sum((_or_zero(x) for x in values), F.lit(0.0))
+    mean = lambda values: _or_zero(F.try_divide(total(values), sum((x.isNotNull().cast("int") for x in values), F.lit(0))))
+    both = lambda f: [F.when(x.isNotNull() & y.isNotNull(), f(x, y)) for x, y in zip(v, c, strict=True)]
+    z = [F.abs(x - y) / (d + vec.STD_OFFSET) for x, y, d in zip(v, c, s, strict=True)]
+    inside = [F.when(x.between(a, b), 1.0).when(x.isNotNull() & a.isNotNull() & b.isNotNull(), 0.0) for x, a, b in zip(v, lo, hi, strict=True)]
+    length = lambda f: F.sqrt(total(both(f)))
+    one = lambda name: _or_zero(z[columns.index(name)]) if name in columns else F.lit(0.0)
+    most = F.greatest(F.lit(0.0), F.lit(0.0), *[_or_zero(x) for x in z])  # of absolute values
     return {
-        "audio_centroid_cosine": _or_zero(vec.joint_cosine(v, c)),
-        "audio_centroid_l2": _or_zero(vec.rms_distance(v, c)),
-        "audio_zscore_mean": _or_zero(vec.mean_of(z)),
-        "audio_zscore_max": _or_zero(F.array_max(z)),
+        "audio_centroid_cosine": vec.cosine_of_norms(total(both(lambda x, y: x * y)), length(lambda x, y: x * x), length(lambda x, y: y * y)),
+        "audio_centroid_l2": F.sqrt(mean(both(lambda x, y: (x - y) * (x - y)))),
+        "audio_zscore_mean": mean(z),
+        "audio_zscore_max": most,
         "bpm_diff": one("bpm"),
         "energy_diff": one("energy"),
         "danceability_diff": one("danceability"),
-        "audio_range_ratio": _or_zero(vec.range_ratio(v, lo, hi)),
-        "item_audio_available": v.isNotNull().cast("int"),
-        "target_audio_available": c.isNotNull().cast("int"),
+        "audio_range_ratio": mean(inside),
+        "item_audio_available": F.col("numbers").isNotNull().cast("int"),
+        "target_audio_available": F.col("num_centroid").isNotNull().cast("int"),
     }
 
 
@@ -190,6 +198,12 @@ def features(pairs: DataFrame, columns: list[str], words: vocab.Vocabulary = voc
     })
 
 
+def small_enough(profiles: DataFrame) -> DataFrame:
+    """A kept table of profiles, marked for broadcast if its counted bytes allow: pairs then don't travel with an
+    item's vector to the target's profile."""
+    return F.broadcast(profiles) if size_of(profiles)[1] <= BROADCAST_BYTES else profiles
+
+
 def featurize(pairs: DataFrame, items: DataFrame, profiles: DataFrame, columns: list[str], words: vocab.Vocabulary = vocab.MUSIC) -> DataFrame:
     """(item_id, target_id, ...) with features; an unknown target or item has zeros."""
     shown = ["target_name", "description", "genres", "subgenres", "activity", "target_text"]

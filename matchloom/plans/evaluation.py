@@ -146,8 +146,9 @@ def training(spark, d):
     split = sampling.group_split(rows)
 
     known = split.where(~F.col("is_test"))
-    built = profiles.build(dm.targets(spark, d), known, dm.items(spark, d), dm.NUMBERS, dm.DIM, dm.PARTS)
-    return keep(pairs.featurize(split, fit.prepared(spark, d), built, dm.NUMBERS, dm.PARTS).select("item_id", "target_id", "is_test", "label", *pairs.MODEL_FEATURES), "training")
+    t = dm.targets(spark, d).repartition(4 * spark.sparkContext.defaultParallelism, "target_id")
+    built = keep(profiles.build(t, known, dm.items(spark, d), dm.NUMBERS, dm.DIM, dm.PARTS), "profiles")
+    return keep(pairs.featurize(split, fit.prepared(spark, d), pairs.small_enough(built), dm.NUMBERS, dm.PARTS).select("item_id", "target_id", "is_test", "label", *pairs.MODEL_FEATURES), "training")
 
 
 def fitted(rows):

@@ -194,6 +194,35 @@ def test_pair_features(spark, world):
     assert nobody.item_audio_available == 1
 
 
+def test_pairs_do_not_travel_to_profiles(spark, world, monkeypatch):
+    """Small profiles come to the pairs, whatever the session would broadcast; numbers are compared without loops."""
+    from matchloom.workspace import keep
+
+    targets, items, history = world
+    columns = ["bpm", "loudness"]
+    prepared, built = pairs.prepare_items(items, columns), keep(profiles.build(targets, history, items, columns, 3))
+    asked = prepared.select("item_id").crossJoin(targets.select("target_id"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = pairs.featurize(asked, prepared, pairs.small_enough(built), columns)
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan and len(near.collect()) == asked.count()
+        monkeypatch.setattr(pairs, "BROADCAST_BYTES", 10)
+        far = pairs.featurize(asked, prepared, pairs.small_enough(built), columns)
+        assert "strategy=broadcast" not in far._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, near.collect())) == sorted(map(str, far.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows = frame(spark, [([1.0, None], [3.0, 2.0], [1.0, 0.0], [0.0, 0.0], [2.0, 2.0]), ([3.0, 4.0], [4.0, 3.0], [0.5, None], [4.0, 1.0], [5.0, 9.0]), (None, None, None, None, None)], "numbers array<double>, num_centroid array<double>, num_std array<double>, num_min array<double>, num_max array<double>")
+    got = rows.select(*[c.alias(n) for n, c in pairs.numeric(columns).items()])
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    one, two, none = got.collect()
+    assert one.audio_centroid_cosine == 1 and one.audio_centroid_l2 == 2 and one.bpm_diff == one.audio_zscore_max == one.audio_zscore_mean == pytest.approx(2 / 1.001) and one.audio_range_ratio == 1
+    assert two.audio_centroid_cosine == pytest.approx(24 / 25) and two.audio_centroid_l2 == 1 and two.audio_zscore_mean == pytest.approx(1 / 0.501) and two.audio_range_ratio == 0.5
+    assert not any(none)
+
+
 def test_soft_attributes(spark):
     side = "item_activities array<string>, activities array<string>, item_languages array<string>, languages array<string>, item_moods array<string>, moods array<string>, item_countries array<string>, countries array<string>, item_tempos array<string>, tempos array<string>"
     data = [(["driving", "relaxing"], ["relaxing", "studying"], ["english"], ["german"], ["calm"], ["dark"], [], ["x"], [], [])]
