@@ -115,9 +115,15 @@ def permutation_importance(ranker: Ranker, df: DataFrame, columns: list[str], re
     """(feature, loss): mean loss of ROC area when a column is permuted, largest first.
 
     One plan scores all columns and repeats: a row meets one other row a repeat, and is copied once for each
-    column, which takes the other row's value. Column -1 is the unchanged base.
+    column, which takes the other row's value. Column -1 is the unchanged base. A column that no tree splits by moves
+    no score: its loss is 0 and its copies aren't scored.
     """
+    used = [c for c in columns if c in {name for name, value in ranker.importances() if value > 0}]
+    columns, idle = used, [c for c in columns if c not in used]
     rows = df.select("item_id", "target_id", label, *ranker.features)
+    idle = df.sparkSession.createDataFrame([(c, 0.0) for c in idle], "feature string, loss double")
+    if not columns:
+        return idle.orderBy("feature")
     copies = F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))).alias("__column")
     tried = None
     for i in range(repeats):
@@ -130,4 +136,5 @@ def permutation_importance(ranker: Ranker, df: DataFrame, columns: list[str], re
     base = areas.where("__column = -1").select(F.coalesce("auc_roc", F.lit(0.0)).alias("base"))
     loss = areas.where("__column >= 0").groupBy("__column").agg(F.avg(F.coalesce("auc_roc", F.lit(0.0))).alias("mean"))
     names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__column") + 1)
-    return loss.crossJoin(F.broadcast(base)).select(names.alias("feature"), (F.col("base") - F.col("mean")).alias("loss")).orderBy(F.col("loss").desc(), "feature")
+    found = loss.crossJoin(F.broadcast(base)).select(names.alias("feature"), (F.col("base") - F.col("mean")).alias("loss"))
+    return found.unionByName(idle).orderBy(F.col("loss").desc(), "feature")

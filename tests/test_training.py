@@ -148,6 +148,20 @@ def test_importance_in_one_plan(spark):
     assert [r.feature for r in found] == ["good", "noise"] and found[0].loss > 0.3 and abs(found[1].loss) < 0.1
 
 
+def test_idle_features_are_not_scored(spark, monkeypatch):
+    from matchloom.operators import model
+
+    rows = [(f"i{i}", f"t{i}", (i * 37 % 100) / 100, 1.0, int((i * 37 % 100) > 50)) for i in range(200)]
+    df = spark.createDataFrame(rows, "item_id string, target_id string, good double, flat double, label int")
+    ranker = model.Ranker(["good", "flat"], folds=2, trees=2, depth=2).fit(df)
+    scored, score = [], ranker.score
+    monkeypatch.setattr(ranker, "score", lambda df: scored.append(df.count()) or score(df))
+    found = model.permutation_importance(ranker, df, ["flat", "good"], repeats=3).collect()
+    assert scored == [200 * (1 + 3)]  # the base and three repeats of one column
+    assert [r.feature for r in found] == ["good", "flat"] and found[0].loss > 0.3 and found[1].loss == 0
+    assert [tuple(r) for r in model.permutation_importance(ranker, df, ["flat"], repeats=2).collect()] == [("flat", 0.0)]
+
+
 def test_grid_of_six_knobs(spark):
     from matchloom.operators import tuning
 
