@@ -1,15 +1,16 @@
-"""Training: median imputation, standardisation, boosted trees with sigmoid calibration, importances."""
+"""Training: median imputation, boosted trees with sigmoid calibration, importances."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.operators import ordered
+from matchloom.operators import boosting, ordered
 from matchloom.operators.metrics import curve
 from matchloom.operators.sampling import order_key
 from matchloom.sources.tables import Store
@@ -36,48 +37,52 @@ def balanced(df: DataFrame, label: str = "label", out: str = "weight") -> DataFr
 
 
 class Ranker:
-    """Boosted trees fitted on the complement of each fold and calibrated on the fold; mean of the folds."""
+    """Boosted trees fitted on the complement of each fold and calibrated on the fold; mean of the folds.
+
+    They are grown by ``boosting``, as Spark's are (variance of the residuals, 32 bins, logistic loss), and ``models``
+    gives them as Spark's: (trees, sigmoid) of each fold. Trees don't depend on the scale of a feature, so none is scaled.
+    """
 
     def __init__(self, features: list[str], folds: int = 3, trees: int = 30, depth: int = 5, rate: float = 0.1, seed: int = 42):
         self.features, self.folds, self.trees, self.depth, self.rate, self.seed = features, folds, trees, depth, rate, seed
         self.values: dict[str, float] = {}
-        self.models: list[PipelineModel] = []
+        self.forest: boosting.Forest | None = None
 
     def fit(self, df: DataFrame, label: str = "label") -> Ranker:
-        self.values = medians(df, self.features)
-        rows = balanced(impute(df, self.values), label).withColumn("fold", F.pmod(F.xxhash64("item_id", "target_id", F.lit(self.seed)), F.lit(self.folds))).persist()
-        assemble = VectorAssembler(inputCols=self.features, outputCol="raw_features")
-        scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)
-        trees = GBTClassifier(labelCol=label, weightCol="weight", maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, seed=self.seed, predictionCol="c")
-        trees.setRawPredictionCol("margin").setProbabilityCol("p")
-        for fold in range(self.folds):
-            fitted = Pipeline(stages=[assemble, scale, trees]).fit(rows.where(F.col("fold") != fold))
-            margin = VectorAssembler(inputCols=["margin_of_1"], outputCol="margin_vector")
-            held = fitted.transform(rows.where(F.col("fold") == fold)).withColumn("margin_of_1", vector_to_array("margin")[1])
-            sigmoid = Pipeline(stages=[margin, LogisticRegression(featuresCol="margin_vector", labelCol=label, probabilityCol="calibrated", rawPredictionCol="lr_raw", predictionCol="lr_class")])
-            self.models.append((fitted, sigmoid.fit(held.select(label, "margin_of_1"))))
-        rows.unpersist()
+        counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+        weights = tuple(sum(counts.values()) / (len(counts) * counts[v]) if counts.get(v) else 1.0 for v in (0, 1))
+        self.values, edges, n = boosting.medians_and_edges(df, self.features)
+        rows = df.withColumn("fold", F.pmod(F.xxhash64("item_id", "target_id", F.lit(self.seed)), F.lit(self.folds)))
+        forest = boosting.Forest(self.features, self.values, edges, [[] for _ in range(self.folds)])
+        self.forest = boosting.fit(rows, forest, n, self.folds, self.trees, self.depth, self.rate, weights, label, "fold")
         return self
 
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
-        rows, parts, keep = impute(df, self.values), [], df.columns
-        for i, (trees, sigmoid) in enumerate(self.models):
-            rows = trees.transform(rows).withColumn("margin_of_1", vector_to_array("margin")[1])
-            rows = sigmoid.transform(rows).withColumn(f"s{i}", vector_to_array("calibrated")[1])
-            rows = rows.select(*keep, *parts, f"s{i}")
-            parts.append(f"s{i}")
-            rows = impute(rows, self.values)
-        total = F.lit(0.0)
-        for p in parts:
-            total = total + F.col(p)
-        return rows.withColumn(out, total / len(parts)).drop(*parts)
+        forest = self.forest
+        needed = forest.used() or [0]
+
+        @F.pandas_udf("double")
+        def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in batches:
+                columns = columns if isinstance(columns, tuple) else (columns,)  # of one feature a series comes alone
+                codes = {f: forest.codes(f, c.to_numpy("float64", na_value=np.nan)) for f, c in zip(needed, columns, strict=True)}
+                yield pd.Series(forest.score(codes, len(columns[0])))
+
+        rows = df.withColumn(out, scored(*[F.col(self.features[f]).cast("double") for f in needed]))
+        return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(self.values[c])) for c in self.features if c in df.columns})
+
+    @property
+    def models(self) -> list[tuple[PipelineModel, PipelineModel]]:
+        from matchloom.operators import spark_models
+
+        return spark_models.of(self.forest) if self.forest else []
 
     def save(self, store: Store, name: str = "ranker") -> None:
         """The fitted folds and what they need, below the store; a model of that name is replaced."""
         for i, parts in enumerate(self.models):
             for part, fitted in zip(("trees", "sigmoid"), parts, strict=True):
                 fitted.write().overwrite().save(f"{store.root}/{name}/fold{i}/{part}")
-        kept = {k: getattr(self, k) for k in ("features", "folds", "trees", "depth", "rate", "seed", "values")}
+        kept = {k: getattr(self, k) for k in ("features", "folds", "trees", "depth", "rate", "seed", "values")} | {"forest": self.forest.state()}
         store.write_state(kept, f"{name}-metadata")  # last: a model without it isn't complete
 
     @classmethod
@@ -85,18 +90,16 @@ class Ranker:
         kept = store.read_state(f"{name}-metadata")
         if not kept:
             raise FileNotFoundError(f"no model {name} in {store.root}")
+        if "forest" not in kept:
+            raise ValueError(f"{name} is of an earlier version; train again")
         found = cls(*(kept[k] for k in ("features", "folds", "trees", "depth", "rate", "seed")))
         found.values = kept["values"]
-        found.models = [tuple(PipelineModel.load(f"{store.root}/{name}/fold{i}/{part}") for part in ("trees", "sigmoid")) for i in range(found.folds)]
+        found.forest = boosting.Forest.of(found.features, found.values, kept["forest"])
         return found
 
     def importances(self) -> list[tuple[str, float]]:
         """Mean over the folds, largest first, ties by name."""
-        mean = dict.fromkeys(self.features, 0.0)
-        for trees, _ in self.models:
-            for i, v in enumerate(trees.stages[-1].featureImportances.toArray()):
-                mean[self.features[i]] += float(v) / len(self.models)
-        return sorted(mean.items(), key=lambda x: (-x[1], x[0]))
+        return sorted(zip(self.features, self.forest.importances().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
 def permuted(df: DataFrame, seed: int, columns: list[str], out: str, keys=("item_id", "target_id")) -> DataFrame:
@@ -138,3 +141,4 @@ def permutation_importance(ranker: Ranker, df: DataFrame, columns: list[str], re
     names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__column") + 1)
     found = loss.crossJoin(F.broadcast(base)).select(names.alias("feature"), (F.col("base") - F.col("mean")).alias("loss"))
     return found.unionByName(idle).orderBy(F.col("loss").desc(), "feature")
+

@@ -174,3 +174,33 @@ def test_grid_of_six_knobs(spark):
     got = {r.combo: r.mrr for r in tuning.search(spark.createDataFrame(rows, names), tuning.grid(spark, options)).collect()}
     # x scores 0.5 times the language factor; y 0.81 times the attribute factor.
     assert got == {0: 0.5, 1: 1.0, 2: 0.5, 3: 0.5}
+
+
+def test_trees_are_the_same_by_any_partitions_and_as_sparks_models(spark):
+    from matchloom.operators import model
+
+    rows = [(f"i{i}", f"t{i}", (i * 37 % 101) / 100, None if i % 9 == 0 else (i * 53 % 97) / 100, int((i * 37 % 101) + (i * 53 % 97) > 95)) for i in range(600)]
+    df = spark.createDataFrame(rows, "item_id string, target_id string, a double, b double, label int")
+    one = model.Ranker(["a", "b"], folds=2, trees=2, depth=2).fit(df.coalesce(1))
+    other = model.Ranker(["a", "b"], folds=2, trees=2, depth=2).fit(df.repartition(3))
+    assert one.forest.state()["folds"] == other.forest.state()["folds"] and one.values == other.values
+    assert one.values == model.medians(df, ["a", "b"])
+    scored = {r.item_id: r.score for r in one.score(df).collect()}
+    mean = dict.fromkeys(scored, 0.0)
+    for trees, sigmoid in one.models:
+        from pyspark.ml.functions import vector_to_array
+
+        margins = trees.transform(model.impute(df, one.values)).withColumn("margin_of_1", vector_to_array("margin")[1])
+        for r in sigmoid.transform(margins).select("item_id", vector_to_array("calibrated")[1].alias("s")).collect():
+            mean[r.item_id] += r.s / len(one.models)
+    assert scored == pytest.approx(mean, abs=1e-9)
+
+
+def test_medians_beyond_a_summary(spark):
+    from matchloom.operators import boosting, model
+
+    # More distinct values than a summary holds exactly: the median is in brackets that are read again.
+    df = spark.range(0, 30000, 1, 2).selectExpr("cast(pow(id * 7919 % 30000, 2) as double) as x", "if(id % 3 = 0, null, cast(id % 50 as double)) as y", "cast(null as double) as z")
+    values, edges, n = boosting.medians_and_edges(df, ["x", "y", "z"])
+    assert values == model.medians(df, ["x", "y", "z"]) and n == 30000
+    assert len(edges[2]) == 0 and 20 <= len(edges[0]) <= 31
