@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ from matchloom.sources.tables import Store
 from matchloom.workspace import keep
 
 
+#: Copies of rows that importances list as rows, and rows of a block and of a range of scores beyond.
+COPIES, BLOCK_ROWS, RANGE_ROWS = 1_000_000, 30_000, 8_000_000
+
+
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians; 0 for a column without values."""
     return {c: 0.0 if m is None else m for c, m in ordered.medians(df, columns).items()}
@@ -117,8 +122,9 @@ def permuted(df: DataFrame, seed: int, columns: list[str], out: str, keys=("item
 def permutation_importance(ranker: Ranker, df: DataFrame, columns: list[str], repeats: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
     """(feature, loss): mean loss of ROC area when a column is permuted, largest first.
 
-    One plan scores all columns and repeats: a row meets one other row a repeat, and is copied once for each
-    column, which takes the other row's value. Column -1 is the unchanged base. A column that no tree splits by moves
+    Up to COPIES copies, one plan scores all columns and repeats: a row meets one other row a repeat, and is copied once
+    for each column, which takes the other row's value; column -1 is the unchanged base. Beyond, ``blocked_losses`` does the same without rows
+    for copies. A column that no tree splits by moves
     no score: its loss is 0 and its copies aren't scored.
     """
     used = [c for c in columns if c in {name for name, value in ranker.importances() if value > 0}]
@@ -127,6 +133,10 @@ def permutation_importance(ranker: Ranker, df: DataFrame, columns: list[str], re
     idle = df.sparkSession.createDataFrame([(c, 0.0) for c in idle], "feature string, loss double")
     if not columns:
         return idle.orderBy("feature")
+    n = rows.count()
+    if n * len(columns) * repeats > COPIES:
+        found = df.sparkSession.createDataFrame(blocked_losses(ranker, rows, columns, repeats, seed, label, n), "feature string, loss double")
+        return found.unionByName(idle).orderBy(F.col("loss").desc(), "feature")
     copies = F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))).alias("__column")
     tried = None
     for i in range(repeats):
@@ -142,3 +152,104 @@ def permutation_importance(ranker: Ranker, df: DataFrame, columns: list[str], re
     found = loss.crossJoin(F.broadcast(base)).select(names.alias("feature"), (F.col("base") - F.col("mean")).alias("loss"))
     return found.unionByName(idle).orderBy(F.col("loss").desc(), "feature")
 
+
+def blocked_losses(ranker: Ranker, rows: DataFrame, columns: list[str], repeats: int, seed: int, label: str, n: int, range_rows: int = RANGE_ROWS) -> list[tuple[str, float]]:
+    """(feature, loss) of all rows, by blocks dealt by a hash of their keys: within a block a row takes the value of
+    another by two hash orders, and of each tree only what the column can change is found again.
+
+    Areas are of scores to nine places. A block's scores leave it sorted, as differences; ranges of scores are compared in
+    tasks of their own, and what lies in lower ranges is added from their counts.
+    """
+    forest, places = ranker.forest, 9
+    asked = [ranker.features.index(c) for c in columns]
+    used = [*asked, *[f for f in forest.used() if f not in asked]]  # those of the columns come first
+    bins, width, n_asked = forest.bins, len(used), len(asked)
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    ranges = max(1, -(-n // range_rows))
+    cuts = np.linspace(0, 10**places, ranges + 1)[1:-1]
+    trees = [[(t.masks(bins), t.weight * t.leaves()) for t in own] for own in forest.folds]
+
+    def pack(batches):
+        for batch in batches:
+            codes = np.stack([forest.codes(f, boosting.doubles(batch.column(3 + i))) for i, f in enumerate(used)], axis=1)
+            data = np.ascontiguousarray(codes).tobytes()
+            offsets = pa.py_buffer((np.arange(batch.num_rows + 1, dtype=np.int32) * width).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, pa.py_buffer(data)])], ["block", "hash", "y", "codes"])
+
+    def mixed(h, s):
+        h = h + np.uint64((s * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+    def run(table):
+        h = table.column("hash").to_numpy().view(np.uint64)
+        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(h), width)
+        y = table.column("y").to_numpy() > 0
+        order = np.lexsort([*codes.T, y, h])
+        h, y, codes = h[order], y[order], np.ascontiguousarray(codes[order].T)
+        others = []
+        for r in range(repeats):
+            other = np.zeros(len(h), np.int64)
+            other[np.argsort(mixed(h, seed + 10 * r), kind="stable")] = np.argsort(mixed(h, seed + 10 * r + 1), kind="stable")
+            others.append(other)
+        moved = [[codes[i][o] for o in others] for i in range(n_asked)]
+        at = {f: i for i, f in enumerate(used)}
+        base, total = np.zeros(len(h)), np.zeros((n_asked, repeats, len(h)))
+        for own, (a, b) in zip(trees, forest.calibration, strict=True):
+            margin, changed = np.zeros(len(h)), np.zeros((n_asked, repeats, len(h)))
+            for tables, values in own:
+                if not tables:
+                    margin += values[0]
+                    continue
+                found = [(at[f], t, t[codes[at[f]]]) for f, t in tables.items()]
+                after = [np.full(len(h), 0xFFFFFFFFFFFFFFFF, np.uint64)]
+                for _, _, m in reversed(found):
+                    after.append(after[-1] & m)
+                now = values[boosting.places(after[-1])]
+                margin += now
+                before = after[0]
+                for k, (i, t, m) in enumerate(found):
+                    rest = before & after[len(found) - 1 - k]
+                    for r in range(repeats if i < n_asked else 0):
+                        changed[i, r] += values[boosting.places(rest & t[moved[i][r]])] - now
+                    before = before & m
+            base += boosting.sigmoid(a * margin + b)
+            for i in range(n_asked):
+                total[i] += boosting.sigmoid(a * (margin + changed[i]) + b)
+        out = []
+        for i, r, s in [(-1, 0, base), *[(i, r, total[i, r]) for i in range(n_asked) for r in range(repeats)]]:
+            s = np.rint(s / len(trees) * 10**places).astype(np.uint32)
+            sides = [np.sort(s[y]), np.sort(s[~y])]
+            ends = [np.r_[0, np.searchsorted(x, cuts), len(x)] for x in sides]
+            for k in range(ranges):
+                pair = [x[e[k] : e[k + 1]] for x, e in zip(sides, ends, strict=True)]
+                if len(pair[0]) or len(pair[1]):
+                    out.append((i, r, k, *[np.diff(x, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for x in pair]))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["i", "r", "k", "up", "down"])
+
+    def compare(table):
+        sides = []
+        for name in ("up", "down"):
+            parts = [np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32) for x in table.column(name).to_pylist()]
+            sides.append(np.sort(np.concatenate(parts)))
+        up, down = sides
+        below = int(np.searchsorted(down, up, "left").sum()) + int(np.searchsorted(down, up, "right").sum())
+        one = [table.column(c)[0].as_py() for c in ("i", "r", "k")]
+        return pa.table([pa.array([v], t) for v, t in zip((*one, len(up), len(down), below), (pa.int32(),) * 3 + (pa.int64(),) * 3, strict=True)], ["i", "r", "k", "up", "down", "twice"])
+
+    keys = F.xxhash64("item_id", "target_id", F.lit(seed))
+    lean = rows.select(F.pmod(keys, F.lit(blocks)).cast("int").alias("block"), F.xxhash64("target_id", "item_id", F.lit(seed)).alias("hash"), F.col(label).cast("int").alias("y"), *[F.col(ranker.features[f]).cast("double") for f in used])
+    lean = lean.mapInArrow(pack, "block int, hash long, y int, codes binary")
+    scores = lean.groupBy("block").applyInArrow(run, "i int, r int, k int, up binary, down binary")
+    compared = scores.groupBy("i", "r", "k").applyInArrow(compare, "i int, r int, k int, up long, down long, twice long").collect()
+    areas: dict[int, list[float]] = {}
+    for i, r in sorted({(x["i"], x["r"]) for x in compared}):
+        own = sorted((x for x in compared if (x["i"], x["r"]) == (i, r)), key=lambda x: x["k"])
+        wins, ups, downs = 0, 0, 0
+        for x in own:
+            wins += x["twice"] + 2 * x["up"] * downs
+            ups, downs = ups + x["up"], downs + x["down"]
+        areas.setdefault(i, []).append(wins / (2 * ups * downs) if ups and downs else 0.0)
+    return [(c, areas[-1][0] - sum(areas[i]) / len(areas[i])) for i, c in enumerate(columns)]

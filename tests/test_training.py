@@ -204,3 +204,19 @@ def test_medians_beyond_a_summary(spark):
     values, edges, n = boosting.medians_and_edges(df, ["x", "y", "z"])
     assert values == model.medians(df, ["x", "y", "z"]) and n == 30000
     assert len(edges[2]) == 0 and 20 <= len(edges[0]) <= 31
+
+
+def test_importances_of_many_copies_are_not_listed(spark, monkeypatch):
+    from matchloom.operators import model
+
+    rows = [(f"i{i}", f"t{i}", (i * 37 % 100) / 100, (i * 53 % 100) / 100, int((i * 37 % 100) > 50) if i % 10 else 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "item_id string, target_id string, good double, noise double, label int")
+    ranker = model.Ranker(["good", "noise"], folds=2, trees=3, depth=2).fit(df)
+    plain = {r.feature: r.loss for r in model.permutation_importance(ranker, df, ["good", "noise"], repeats=3).collect()}
+    monkeypatch.setattr(model, "COPIES", 0)
+    monkeypatch.setattr(ranker, "score", lambda df: pytest.fail("copies were listed"))
+    found = model.permutation_importance(ranker, df, ["good", "noise"], repeats=3).collect()
+    assert [r.feature for r in found][0] == "good" and all(r.loss == pytest.approx(plain[r.feature], abs=0.05) for r in found)
+    # Ranges of scores in tasks of their own give the same areas.
+    whole = model.blocked_losses(ranker, df, ["good"], 2, 42, "label", 2000)
+    assert model.blocked_losses(ranker, df, ["good"], 2, 42, "label", 2000, range_rows=100) == whole
